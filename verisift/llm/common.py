@@ -5,7 +5,10 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +34,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete a staged table that nothing will read again."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._staged_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -92,3 +105,17 @@ def ordered_prefix(df: DataFrame, order: list[str], sums: list[str], name: str,
     for i, c in enumerate(sums):
         out = out.withColumn(f"before_{c}", F.col(f"_s{i}") + F.sum(c).over(upto) - F.col(c))
     return out.drop("_pid", "_n0", *[f"_s{i}" for i in range(len(sums))])
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """``doc_id, th, z``: keyed documents with their texts compressed, for plans that must shuffle whole texts."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for b in it:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                z = pa.array([pack(t) for t in part.column(2).cast(pa.binary()).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), z], names=["doc_id", "th", "z"])
+
+    return rows.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, th long, z binary")

@@ -33,10 +33,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, release, same_doc, stage
+from .common import keyed, packed, release, same_doc, stage, unstage
 
 LENGTH = 200
 GRAM = 32
@@ -186,28 +187,35 @@ def repeated(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_first: b
     reach = length - k
     kind = dict(docs.dtypes)["doc_id"]
     place = F.struct("doc_id", "th", "pos")
-    rows = stage(_anchored(docs, length, k), "lpf-anchors")
-    recurring = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("cx").alias("c0"), F.max("cx").alias("c1")).where("n > 1")
-    rows = stage(rows.join(recurring, "h").select("doc_id", "th", "pos", "h", "cx", (F.col("c0") != F.col("c1")).alias("mixed")), "lpf-recurring")
+    all_rows = stage(_anchored(docs, length, k), "lpf-anchors")
+    recurring = all_rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    rows = stage(all_rows.join(recurring, "h", "left_semi"), "lpf-recurring")
+    unstage(all_rows)
     release(spark)
 
-    # Equal contexts.
-    classes = stage(rows.groupBy("h", "cx").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("p0"), F.first("mixed").alias("mixed")), "lpf-classes")
+    # Equal contexts. ``mixed``: the k-gram has other contexts as well.
+    classes = rows.groupBy("h", "cx").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("p0"))
+    classes = stage(classes, "lpf-classes")
+    sizes = classes.groupBy("h").agg(F.count(F.lit(1)).alias("size"))
     copies = rows.join(classes.where("n > 1").select("h", "cx", "p0"), ["h", "cx"])
     if keep_first:
         copies = copies.where(place > F.col("p0"))
-    whole = copies.select("doc_id", "th", F.greatest(F.col("pos") - reach, F.lit(0)).alias("s"), (F.col("pos") + length).alias("e"))
+    whole = copies.groupBy("doc_id", "th").agg(F.collect_list(F.struct(F.greatest(F.col("pos") - reach, F.lit(0)).alias("s"), (F.col("pos") + length).alias("e"))).alias("spans"))
+    whole = stage(whole, "lpf-whole")
+    unstage(rows)
+    release(spark)
 
     # Distinct contexts of one k-gram: fetch the bytes of one occurrence each.
-    wanted = classes.where("mixed").select("h", "cx", "n", "p0.*")
+    wanted = classes.join(sizes.where("size > 1").select("h"), "h", "left_semi").select("h", "cx", "n", "p0.*")
     wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "cx", "n", "pos")).alias("want"))
-    source = keyed(docs)
-    fetched = wanted.join(source, same_doc(wanted, source)).select(wanted["doc_id"], wanted["th"], "text", "want")
+    source = packed(keyed(docs))
+    fetched = wanted.join(source, same_doc(wanted, source)).select(wanted["doc_id"], wanted["th"], "z", "want")
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in it:
             for i in range(batch.num_rows):
-                raw, want = batch.column(2)[i].as_py().encode(), batch.column(3)[i].as_py()
+                raw, want = unpack(batch.column(2)[i].as_py()), batch.column(3)[i].as_py()
                 bounds = [context(len(raw), w["pos"], length, k) for w in want]
                 own = pa.array(np.full(len(want), i))
                 yield pa.RecordBatch.from_arrays(
@@ -218,11 +226,11 @@ def repeated(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_first: b
                 )
 
     contexts = fetched.mapInArrow(cut, f"h long, cx long, n long, doc_id {kind}, th long, pos int, left int, ctx binary")
-    contexts = stage(contexts.dropDuplicates(["h", "cx"]), "lpf-contexts")
-    release(spark)
-    large = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > group_limit).select("h")
-    small = contexts.join(large, "h", "left_anti")
-    far = contexts.join(large, "h", "left_semi")
+    large = sizes.where(F.col("size") > group_limit).select("h")
+    oversize = bool(large.take(1))
+    if oversize:
+        contexts = stage(contexts, "lpf-contexts")
+    small = contexts.join(large, "h", "left_anti") if oversize else contexts
 
     spans = f"doc_id {kind}, th long, s int, e int"
 
@@ -252,13 +260,24 @@ def repeated(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_first: b
                 for x in batch.slice(at, 1024).to_pylist():
                     if held and held[0]["h"] != x["h"]:
                         settle()
-                    held.append(x)
+                    if not held or held[-1]["cx"] != x["cx"]:  # rows that repeat a document bring a context twice
+                        held.append(x)
                 if len(ready) > 4096:
                     yield out()
         settle()
         yield out()
 
-    near = small.repartition("h").sortWithinPartitions("h").mapInArrow(groups, spans)
+    near = small.repartition("h").sortWithinPartitions("h", "cx").mapInArrow(groups, spans)
+    near = near.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    every = whole.unionByName(stage(near, "lpf-near"))
+    if oversize:
+        every = every.unionByName(_by_windows(contexts.join(large, "h", "left_semi"), length, reach, kind, keep_first))
+    return every.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def _by_windows(far: DataFrame, length: int, reach: int, kind: str, keep_first: bool) -> DataFrame:
+    """The exact way for groups of any size: every window of every context, counted by an aggregate."""
+    place = F.struct("doc_id", "th", "pos")
 
     def windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -273,11 +292,10 @@ def repeated(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_first: b
                 )
 
     each = far.mapInArrow(windows, f"doc_id {kind}, th long, pos int, o int, d binary, n long")
-    shared = each.groupBy("d", "o").agg(F.count(F.lit(1)).alias("m"), F.min(place).alias("w0")).where("m > 1")
-    hits = each.join(shared, ["d", "o"]).where(place > F.col("w0") if keep_first else "n = 1")
-    wide = hits.groupBy(*["doc_id", "th", "pos"]).agg(F.max("o").alias("a"), F.min("o").alias("b")).select("doc_id", "th", (F.col("pos") - F.col("a")).alias("s"), (F.col("pos") - F.col("b") + length).alias("e"))
-    every = whole.unionByName(near).unionByName(wide)
-    return stage(every.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "lpf-spans")
+    shared = each.groupBy("d", "o").agg(F.min(place).alias("w0"), F.max(place).alias("w1")).where("w0 <> w1")
+    hits = each.join(shared, ["d", "o"]).where(place > F.col("w0") if keep_first else F.col("n") == 1)
+    ends = hits.groupBy("doc_id", "th", "pos").agg(F.max("o").alias("a"), F.min("o").alias("b"))
+    return ends.groupBy("doc_id", "th").agg(F.collect_list(F.struct((F.col("pos") - F.col("a")).alias("s"), (F.col("pos") - F.col("b") + length).alias("e"))).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
@@ -292,16 +310,19 @@ def merged(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
 
 
 def _removed(docs: DataFrame, make, schema: str, **options) -> DataFrame:
-    rows, spans = keyed(docs), repeated(docs, **options)
-    joined = rows.join(spans, same_doc(rows, spans), "left").select(rows["doc_id"], rows["th"], rows["text"], F.col("spans.s").alias("s"), F.col("spans.e").alias("e"))
+    spans = repeated(docs, **options)
+    release(docs.sparkSession)
+    rows = packed(keyed(docs))
+    joined = rows.join(spans, same_doc(rows, spans), "left").select(rows["doc_id"], rows["th"], rows["z"], F.col("spans.s").alias("s"), F.col("spans.e").alias("e"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in it:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 made = []
-                for text, s, e in zip(*(part.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
-                    raw = text.encode()
+                for z, s, e in zip(*(part.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
+                    raw = unpack(z)
                     runs = merged(list(zip(s or (), e or (), strict=True)), len(raw))
                     last, kept = 0, []
                     for a, b in runs:
