@@ -1,4 +1,9 @@
 """All queries of the engine by key, with their SQL twins."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from . import scope
+
+_AREAS = (scope,)
+QUERIES = {k: f for a in _AREAS for k, f in a.query.queries.items()}
+ORACLE_SQL = {k: q for a in _AREAS for k, q in a.query.sql.items()}

@@ -1,0 +1,135 @@
+"""Filters and scalar scores over all chunks and candidates."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import scores as S
+from ..functions import text as X
+from ..operators import filters as P
+from ..sources import tables as T
+from .base import CANDIDATES, CHUNKS, Registry
+
+query = Registry()
+IDS = ("chunk_id", "org_id", "source_type")
+
+
+def _filter(name: str, where, sql: str, *more: str) -> None:
+    cols = (*IDS, *more)
+    query(f"SELECT {', '.join(cols)} FROM chunks WHERE {sql}", CHUNKS, name)(lambda s, d: T.chunks(s, d).where(where()).select(*cols))
+
+
+_filter("filter_tenant", lambda: P.tenant("org1"), "org_id = 'org1'")
+_filter("filter_source_policy", lambda: P.Scope("org1", policy="SAFETY_ONLY").column(), "org_id = 'org1' AND source_type = 'SAFETY'")
+_filter("filter_patient_mixed", lambda: P.Scope("org1", patient_id="p5").column(), "org_id = 'org1' AND (source_type <> 'EMR' OR patient_id = 'p5')", "patient_id")
+_filter("filter_patient_hard", lambda: P.Scope("org1", source="EMR", patient_id="p5").column(), "org_id = 'org1' AND source_type = 'EMR' AND patient_id = 'p5'", "patient_id")
+_filter("filter_min_grade", lambda: P.Scope("org0", min_grade=0.7).column(), "org_id = 'org0' AND (grade_score >= 0.7 OR reliability >= 0.7)", "grade_score", "reliability")
+_filter("filter_timeframe", lambda: P.Scope("org2", start="2015-06-01", end="2016-05-31").column(), "org_id = 'org2' AND effective_date BETWEEN DATE '2015-06-01' AND DATE '2016-05-31'")
+_filter("filter_specialties", lambda: P.Scope("org0", specialties=("cardio", "onco")).column(), "org_id = 'org0' AND specialty IN ('cardio', 'onco')", "specialty")
+_filter("filter_safety_search", lambda: P.tenant("org0") & P.safety_search(text=("license", "blest")), "org_id = 'org0' AND (source_type = 'SAFETY' OR regexp_matches(section, '(?i)contraindicat|warning|adverse|interaction') OR regexp_matches(text, '(?i)license|blest'))")
+_filter("filter_embedding_space", lambda: P.Scope("org1", space="cur", dim=64).column(), "org_id = 'org1' AND embedding_space = 'cur' AND embedding_dim = 64")
+_filter("stale_embeddings", lambda: P.stale_embedding("cur", 64), "embedding_space <> 'cur' OR embedding_dim <> 64", "embedding_dim")
+_filter("active_embeddings", lambda: (F.col("embedding_dim") > 0) & (F.col("embedding_space") == "cur"), "embedding_dim > 0 AND embedding_space = 'cur'")
+_filter("filter_scope_any", lambda: P.Scope("org2", min_grade=0.5, start="2015-03-01", safety_search=True).column(), "org_id = 'org2' AND (grade_score >= 0.5 OR reliability >= 0.5) AND effective_date >= DATE '2015-03-01' AND (source_type = 'SAFETY' OR regexp_matches(section, '(?i)contraindicat|warning|adverse|interaction') OR regexp_matches(text, '(?i)contraindicat|adverse|interaction|avoid'))")
+_filter("filter_scope_patient", lambda: P.Scope("org1", patient_id="p5", min_grade=0.3, space="cur", dim=64).column(), "org_id = 'org1' AND (source_type <> 'EMR' OR patient_id = 'p5') AND (grade_score >= 0.3 OR reliability >= 0.3) AND embedding_space = 'cur' AND embedding_dim = 64")
+
+AS_OF = "2017-01-01"
+
+
+def _score(name: str, column, sql: str) -> None:
+    query(f"SELECT chunk_id, round({sql}, 6) AS score FROM cand", CANDIDATES, name)(lambda s, d: T.candidates(s, d).select("chunk_id", F.round(column(), 6).alias("score")))
+
+
+_stems = lambda xs, c="text": " + ".join(f"contains(lower({c}), '{x}')::INT" for x in xs)
+RECENCY = f"exp(-greatest(DATE '{AS_OF}' - effective_date, 0) / 730.0::DOUBLE)"
+SECTION = "CASE WHEN regexp_matches(lower(section), 'recommendation|guideline|contraindication|warning') THEN 1.0 WHEN regexp_matches(lower(section), 'background|introduction') THEN 0.3 ELSE 0.65 END::DOUBLE"
+SOURCE = "CASE source_type WHEN 'CPG' THEN 0.95 WHEN 'EMR' THEN 0.85 WHEN 'SAFETY' THEN 0.88 ELSE 0.75 END::DOUBLE"
+SAFETY = f"least(1.0, ({_stems(T.SAFETY_STEMS)}) * 0.16)::DOUBLE"
+NOISE = "least(1.0, obsolete::INT * 0.45 + mismatch::INT * 0.35 + weak::INT * 0.25)::DOUBLE"
+GRADE = """CASE WHEN source_type = 'CPG' THEN 0.95 WHEN contains(design, 'systematic') THEN 0.90 WHEN contains(design, 'rct') THEN 0.86 WHEN contains(design, 'cohort') THEN 0.62
+ WHEN contains(design, 'case') THEN 0.38 WHEN source_type = 'EMR' THEN 0.70 WHEN source_type = 'SAFETY' THEN 0.88 ELSE 0.568 END::DOUBLE"""
+_clip = lambda x, c: f"greatest(-{c}::DOUBLE, least({c}::DOUBLE, {x}))"
+_P = "greatest(1e-6, least(1 - 1e-6, coalesce(nullif(rerank, 0), 0.5)))"
+FUSED = f"""1 / (1 + exp(-{_clip(f"0.45 * {_clip(f'ln({_P} / (1 - {_P}))', 8)} + 0.25 * dense + 0.10 * coalesce(lexical, 0) + 0.07 * {RECENCY} + 0.08 * {SECTION} + 0.05 * {SOURCE} + 0.12 * {GRADE} + 0.35 * {SAFETY} - 0.20 * {NOISE}", 8)}))"""
+
+
+def fused():
+    """The fusion score of a candidate, with stems that the driver's texts have."""
+    c = F.col
+    noise = S.noise_score(c("obsolete"), c("mismatch"), c("weak"), c("chunk_id").isNull() | c("doc_id").isNull())
+    return S.fusion(
+        c("rerank"), c("dense"), c("lexical"), S.recency(c("effective_date"), F.lit(AS_OF).cast("date")), S.section_score(c("section")), S.source_score(c("source_type")),
+        S.evidence_grade(c("source_type"), c("design")), S.safety_score(c("text"), T.SAFETY_STEMS), noise,
+    )
+
+
+_score("recency_score", lambda: S.recency(F.col("effective_date"), F.lit(AS_OF).cast("date")), RECENCY)
+_score("section_score", lambda: S.section_score(F.col("section")), SECTION)
+_score("source_score", lambda: S.source_score(F.col("source_type")), SOURCE)
+_score("safety_score", lambda: S.safety_score(F.col("text"), T.SAFETY_STEMS), SAFETY)
+_score("contradiction_score", lambda: S.contradiction_score(F.col("text"), T.CONFLICT_STEMS), f"least(1.0, ({_stems(T.CONFLICT_STEMS)}) * 0.16)::DOUBLE")
+_score("noise_score", lambda: S.noise_score(F.col("obsolete"), F.col("mismatch"), F.col("weak"), F.lit(False)), NOISE)
+_score("evidence_grade", lambda: S.evidence_grade(F.col("source_type"), F.col("design")), GRADE)
+_score("calibrate_platt", lambda: S.calibrate(F.col("rerank"), 0.3, 1.7), "1 / (1 + exp(-(ln(greatest(1e-6, least(1 - 1e-6, rerank)) / (1 - greatest(1e-6, least(1 - 1e-6, rerank)))) - 0.3) / 1.7))")
+_score("fusion_score", fused, FUSED)
+_score("facet_entropy", lambda: S.entropy(F.col("dense")), "CASE WHEN dense <= 0 OR dense >= 1 THEN 0 ELSE -(dense * log2(dense) + (1 - dense) * log2(1 - dense)) END")
+
+
+@query("SELECT chunk_id, tokens FROM cand", CANDIDATES)
+def token_counts(s, d):
+    return T.candidates(s, d).select("chunk_id", "tokens")
+
+
+@query(f"""SELECT chunk_id, CASE WHEN {" OR ".join(f"contains(lower(text), '{x}')" for x in T.NEGATIVE)} THEN CASE WHEN source_type = 'SAFETY' THEN 'SAFETY' ELSE 'CONTRADICTS' END
+ WHEN {" OR ".join(f"contains(lower(text), '{x}')" for x in T.QUALIFY)} THEN 'QUALIFIES' ELSE 'SUPPORTS' END AS polarity FROM chunks""", CHUNKS)
+def polarity(s, d):
+    return T.chunks(s, d).select("chunk_id", S.polarity(F.col("text"), F.col("source_type") == "SAFETY", T.NEGATIVE, T.QUALIFY).alias("polarity"))
+
+
+_DESIGN = "CASE WHEN doc_id % 5 = 0 THEN 'bogus' WHEN doc_id % 7 <> 0 THEN source_type END"
+
+
+@query(f"""SELECT chunk_id, CASE WHEN st IS NULL THEN 'CPG' WHEN st IN ('CPG','EMR','LIT','SAFETY') THEN st ELSE 'LIT' END AS source_type, coalesce(nullif(trim(section), ''), 'body') AS section,
+ round(dense, 6) AS dense_score, 'dense' AS retrieved_by FROM (SELECT *, {_DESIGN} AS st FROM cand)""", CANDIDATES)
+def candidate_projection(s, d):
+    st = F.when(F.col("doc_id") % 5 == 0, "bogus").when(F.col("doc_id") % 7 != 0, F.col("source_type"))
+    kind = F.when(st.isNull(), "CPG").when(st.isin("CPG", "EMR", "LIT", "SAFETY"), st).otherwise("LIT")
+    return T.candidates(s, d).select("chunk_id", kind.alias("source_type"), F.coalesce(X.blank_to_null(F.col("section")), F.lit("body")).alias("section"), F.round("dense", 6).alias("dense_score"), F.lit("dense").alias("retrieved_by"))
+
+
+@query("""b AS (SELECT * FROM (VALUES ('emr', 8.0::DOUBLE, 2.0::DOUBLE), ('guideline', 9, 1.5), ('safety', 12, 2), ('quality', 5, 3), ('critic', 2, 2)) t(agent, a, b)),
+ l AS (SELECT agent, greatest(0.0, least(1.0, a / (a + b) - 1.64485 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))))) AS lcb FROM b)
+ SELECT agent, round(lcb, 6) AS lcb, round(lcb / sum(lcb) OVER (), 6) AS weight FROM l""", "o AS (SELECT 1)")
+def agent_weights(s, d):
+    priors = s.createDataFrame([("emr", 8.0, 2.0), ("guideline", 9.0, 1.5), ("safety", 12.0, 2.0), ("quality", 5.0, 3.0), ("critic", 2.0, 2.0)], "agent string, a double, b double")
+    lcb = priors.select("agent", S.beta_lcb(F.col("a"), F.col("b")).alias("lcb"))
+    total = lcb.agg(F.sum("lcb").alias("t"))  # one row beside five
+    return lcb.join(F.broadcast(total)).select("agent", F.round("lcb", 6).alias("lcb"), F.round(F.col("lcb") / F.col("t"), 6).alias("weight"))
+
+
+_N = "len(regexp_extract_all(text, '\\S+'))"
+
+
+@query(f"""SELECT chunk_id, CASE WHEN doc_id % 50 = 0 THEN 'faiss_ivf' WHEN {_N} > 1000 THEN 'tree' WHEN source_type = 'CPG' THEN 'hnsw_precise' WHEN {_N} < 100 THEN 'hnsw_fast' ELSE 'hnsw' END AS strategy FROM chunks""", CHUNKS)
+def index_strategy_ingest(s, d):
+    n = X.word_count(F.col("text"))
+    rule = F.when(F.col("doc_id") % 50 == 0, "faiss_ivf").when(n > 1000, "tree").when(F.col("source_type") == "CPG", "hnsw_precise").when(n < 100, "hnsw_fast").otherwise("hnsw")
+    return T.chunks(s, d).select("chunk_id", rule.alias("strategy"))
+
+
+@query(r"""SELECT item_id, n AS n_words, CASE WHEN n > 50 THEN 'hybrid' WHEN item_id % 3 = 0 THEN 'filtered' WHEN n < 25 THEN 'fast' ELSE 'precise' END AS strategy
+ FROM (SELECT item_id, len(regexp_extract_all(text, '\S+'))::BIGINT AS n FROM benchmark)""")
+def index_strategy_query(s, d):
+    n = F.col("n_words")
+    q = T.table(s, d, "benchmark").select("item_id", X.word_count(F.col("text")).alias("n_words"))
+    return q.withColumn("strategy", F.when(n > 50, "hybrid").when(F.col("item_id") % 3 == 0, "filtered").when(n < 25, "fast").otherwise("precise"))
+
+
+@query("""SELECT source_type, count(*) AS n, greatest(8, least(CASE WHEN count(*) < 200 THEN 16 ELSE 32 END, count(*) - 1)) AS m, greatest(100, least(8192, count(*) // 1000)) AS nlist,
+ least(100, greatest(100, least(8192, count(*) // 1000)) // 10) AS nprobe FROM chunks GROUP BY 1""", CHUNKS)
+def index_config(s, d):
+    n = F.count(F.lit(1))
+    g = T.chunks(s, d).groupBy("source_type").agg(n.alias("n"))
+    lists = F.greatest(F.lit(100), F.least(F.lit(8192), F.floor(F.col("n") / 1000)))
+    m = F.greatest(F.lit(8), F.least(F.when(F.col("n") < 200, 16).otherwise(32), F.col("n") - 1))
+    return g.select("source_type", "n", m.cast("long").alias("m"), lists.cast("long").alias("nlist"), F.least(F.lit(100), F.floor(lists / 10)).cast("long").alias("nprobe"))
