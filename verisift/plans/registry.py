@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import scope
+from . import ingest, scope
 
-_AREAS = (scope,)
+_AREAS = (scope, ingest)
 QUERIES = {k: f for a in _AREAS for k, f in a.query.queries.items()}
 ORACLE_SQL = {k: q for a in _AREAS for k, q in a.query.sql.items()}
