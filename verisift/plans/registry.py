@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import ingest, retrieval, scope
+from . import evidence, ingest, retrieval, scope
 
-_AREAS = (scope, ingest, retrieval)
+_AREAS = (scope, ingest, retrieval, evidence)
 QUERIES = {k: f for a in _AREAS for k, f in a.query.queries.items()}
 ORACLE_SQL = {k: q for a in _AREAS for k, q in a.query.sql.items()}
