@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CASE = T.StructType.fromDDL("case_id string, query string, query_type string, patient_id string, gold_doc_ids array<string>")
+CASE = T.StructType([T.StructField(x, T.StringType()) for x in ("case_id", "query", "query_type", "patient_id")] + [T.StructField("gold_doc_ids", T.ArrayType(T.StringType()))])
 UPLOAD_LIMIT = 100 * 1024 * 1024
 UPLOAD_KINDS = (".csv", ".json", ".txt", ".pdf")
 
