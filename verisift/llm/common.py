@@ -68,6 +68,11 @@ def keyed(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str = "
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"), *more)
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """``doc_id, th, row``: the key beside the whole row, so that no column of the input clashes with a plan's own."""
+    return docs.select("doc_id", F.xxhash64(text_or_empty()).alias("th"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def same_doc(a: DataFrame, b: DataFrame) -> Column:
     """Null-safe equality of document keys; Spark plans it as an equi-join."""
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])

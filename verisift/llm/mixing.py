@@ -20,7 +20,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, ordered_prefix, stage, text_or_empty
+from .common import WORD_PATTERN, ordered_prefix, same_doc, stage, text_or_empty, wrapped
 
 _NO_SOURCE = "\x00none"
 
@@ -118,11 +118,10 @@ def mix(
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The input's rows and columns, each as often as it is scheduled."""
-    times = mix(docs, **options).groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("_k"))
-    times = times.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th2"), "_k")
-    rows = docs.withColumn("_th", F.xxhash64(text_or_empty()))
-    same = rows.groupBy(F.col("doc_id").alias("_id"), F.col("_th").alias("_th2")).agg(F.count(F.lit(1)).alias("_same"))
-    on = times["_id"].eqNullSafe(same["_id"]) & (times["_th2"] == same["_th2"])
-    times = times.join(same, on).select(times["_id"], times["_th2"], F.ceil(F.col("_k") / F.col("_same")).cast("int").alias("_k"))
-    joined = rows.join(times, rows["doc_id"].eqNullSafe(times["_id"]) & (rows["_th"] == times["_th2"]))
-    return joined.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_k")))).select(*[joined[c] for c in docs.columns])
+    times = mix(docs, **options).groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("k"))
+    rows = wrapped(docs)
+    # Rows that repeat a document share its copies.
+    same = rows.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
+    times = times.join(same, same_doc(times, same)).select(times["doc_id"], times["th"], F.ceil(F.col("k") / F.col("n")).cast("int").alias("k"))
+    joined = rows.join(times, same_doc(rows, times)).select("row", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("copy"))
+    return joined.select("row.*")

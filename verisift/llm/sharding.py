@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ordered_prefix, stage, text_or_empty
+from .common import ordered_prefix, same_doc, stage, text_or_empty, wrapped
 
 OVERHEAD = 16
 
@@ -113,7 +113,7 @@ def hilbert_shards(
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
     """Write the documents as one sorted file a shard, in slot order."""
-    keyed = docs.withColumn("_th", F.xxhash64(text_or_empty()))
-    at = placed.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th2"), "shard", "slot")
-    joined = keyed.join(at, keyed["doc_id"].eqNullSafe(at["_id"]) & (keyed["_th"] == at["_th2"])).drop("_id", "_th", "_th2")
-    joined.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    rows = wrapped(docs)
+    at = placed.select("doc_id", "th", "shard", "slot")
+    joined = rows.join(at, same_doc(rows, at)).select("row", at["shard"], at["slot"])
+    joined.repartition("shard").sortWithinPartitions("shard", "slot").select("row.*", F.col("shard").alias("_shard")).write.partitionBy("_shard").parquet(path)
