@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -34,17 +36,19 @@ def _queries(s, d, terms):
 
 @query("WITH " + _bm25_sql(_FTS, f"list_distinct({_FTS})", "1.2", "greatest(x, 1e-6)", "1") + _TOP.replace("SELECT", " SELECT", 1))
 def bm25_topk(s, d):
-    terms = F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9][a-z0-9_.+/-]*"), F.lit(0))
     q = _queries(s, d, X.fts_terms(c("text"))).withColumn("weight", F.lit(1))
-    r = L.bm25(T.table(s, d, "documents"), q, terms, 1.2, 0.75)
-    return L.top_k(r.withColumn("score", F.round("score", 9)), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    find = re.compile(r"[a-z0-9][a-z0-9_.+/-]*").findall
+    r = L.bm25_scan(T.table(s, d, "documents"), q, lambda t: find(t.lower()), 10, 1.2, 0.75)
+    return r.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("WITH " + _bm25_sql(_WS, _WS, "1.5", "CASE WHEN x < 0 THEN 0.25 * (SELECT avg(x) FROM raw) ELSE x END", "count(*)") + _TOP.replace("SELECT", " SELECT", 1).replace("FROM s)", "FROM s WHERE score > 0)"))
 def bm25_okapi(s, d):
     q = _queries(s, d, X.tokens(c("text"))).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("weight"))
-    r = L.bm25(T.table(s, d, "documents"), q, X.tokens(c("text")), 1.5, 0.75, floor="mean").where("score > 0")
-    return L.top_k(r.withColumn("score", F.round("score", 9)), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    docs = T.table(s, d, "documents")
+    split = re.compile(r"[^\t\n\v\f\r ]+").findall
+    r = L.bm25_scan(docs, q, lambda t: split(t.lower()), 10, 1.5, 0.75, mean_idf=L.mean_idf(docs, X.tokens(c("text"))))
+    return r.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({_WS}) AS term FROM documents) GROUP BY ALL")
