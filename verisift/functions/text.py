@@ -61,10 +61,14 @@ def redact_nested(value: Column, kind: T.DataType) -> Column:
     return value
 
 
+def count_in(low: Column, stems: tuple[str, ...]) -> Column:
+    """How many of the stems occur in a text that is lower-cased already."""
+    return sum((low.contains(s).cast("int") for s in stems), F.lit(0))
+
+
 def count_stems(text: Column, stems: tuple[str, ...]) -> Column:
     """How many of the stems occur in the lower-cased text."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return sum((low.contains(s).cast("int") for s in stems), F.lit(0))
+    return count_in(F.lower(F.coalesce(text, F.lit(""))), stems)
 
 
 def has_any(text: Column, stems: tuple[str, ...]) -> Column:

@@ -11,17 +11,23 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import scores as S
-from ..functions.text import count_stems
+from ..functions.text import count_in
 
 
 def align(passages: DataFrame, facets: DataFrame, safety_stems: tuple[str, ...], negative: tuple[str, ...], qualify: tuple[str, ...]) -> DataFrame:
     """A row for each passage and facet: ``score`` and ``polarity``. Facets are a few rows and are broadcast."""
-    low, c = F.lower("text"), F.col
-    j = passages.withColumn("safety", S.facet_safety(c("text"), safety_stems)).join(F.broadcast(facets))
+    c, low = F.col, F.col("_low")
+    # What does not depend on the facet is found once a passage, before rows are multiplied.
+    once = passages.withColumn("_low", F.lower(F.coalesce("text", F.lit(""))))
+    once = once.select(
+        "*", S.clamp(count_in(low, safety_stems) * 0.18).alias("_safety"), (count_in(low, negative) > 0).alias("_negative"), (count_in(low, qualify) > 0).alias("_qualify"), S.section_score(c("section")).alias("_section")
+    )
+    j = once.join(F.broadcast(facets))
     hits = F.size(F.filter("keywords", lambda k: low.contains(k)))
     is_safety = c("facet") == "safety_contraindications"
-    score = S.facet_alignment(hits, S.policy_bonus(c("policy"), c("source_type")), S.section_score(c("section")), is_safety, c("safety"))
-    return j.withColumn("score", score).withColumn("polarity", S.polarity(c("text"), is_safety, negative, qualify)).drop("keywords", "safety")
+    score = S.facet_alignment(hits, S.policy_bonus(c("policy"), c("source_type")), c("_section"), is_safety, c("_safety"))
+    polarity = F.when(c("_negative"), F.when(is_safety, "SAFETY").otherwise("CONTRADICTS")).when(c("_qualify"), "QUALIFIES").otherwise("SUPPORTS")
+    return j.withColumn("score", score).withColumn("polarity", polarity).drop("keywords", "_low", "_safety", "_negative", "_qualify", "_section")
 
 
 def conflicting() -> Column:

@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..operators import evidence as E
 from ..operators import selection
 from ..operators.lexical import top_k
+from ..operators.pipeline import sufficiency, written
 from ..sources import tables as T
 from . import scope as P
 from .base import CANDIDATES, Registry
@@ -138,12 +139,14 @@ _GATE = f"""{PAIRS}, fr AS (SELECT q.query_id, f.facet, f.required, f.threshold,
 
 
 def gate(s, d):
-    cov = E.coverage(contrib(s, d))
+    """The ledger without texts is written once; coverage and contradictions both read it."""
+    slim = written(ledger(s, d).select("query_id", "facet", "parent", "chunk_id", "score", "rerank", "grade", "polarity"), "gate-ledger")
+    cov = E.coverage(E.contributions(slim.withColumnRenamed("parent", "doc_id")))
     every = T.candidates(s, d).select("query_id").distinct().join(F.broadcast(T.facets(s)))
     f = every.join(cov, ["query_id", "facet"], "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
     f = f.withColumn("lcb", F.greatest(F.lit(0.0), c("coverage") - 0.08)).withColumn("entropy", S.entropy(c("coverage")))
     bundle = T.candidates(s, d).where("dense >= 0.5").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"), F.count_if(c("weak")).alias("weak"))
-    return E.decide(f, pairs(s, d), bundle)
+    return E.decide(f, E.adjudicate(E.contradictions(slim)), bundle)
 
 
 @query("SELECT query_id, missing, unresolved, uh AS unresolved_high, CASE WHEN len(missing) = 0 AND uh = 0 AND unresolved <= 0 AND n > 0 AND weak = 0 THEN 'ACCEPT' WHEN len(missing) > 0 OR uh > 0 OR unresolved > 0 OR marginal > 2e-4 THEN 'RETRIEVE_MORE' ELSE 'INSUFFICIENT' END AS action FROM g", _GATE)
@@ -321,6 +324,4 @@ def pack_bundle(s, d):
 @query()
 def sufficiency_loop(s, d):
     """Retrieve, align, judge; queries that lack evidence look at more candidates, up to three times."""
-    from ..operators.pipeline import sufficiency
-
     return sufficiency(passages(s, d), T.facets(s), Settings())
