@@ -95,12 +95,13 @@ def hilbert_shards(
 
     rows = rows.withColumn("cell", cell(F.struct(*[f"d{i}" for i in range(len(dims))])))
     group = ["th", "text_crc32", "size"]
-    homes = rows.groupBy(*group).agg(F.min(F.struct(F.col("doc_id"), F.col("cell"))).getField("cell").alias("home"))
+    # Written, so that the join has plain shuffles on both sides and a large group can be split.
+    homes = stage(rows.groupBy(*group).agg(F.min(F.struct(F.col("doc_id"), F.col("cell"))).getField("cell").alias("home")), "shard-homes")
     placed = rows.join(homes, group).select("doc_id", "size", "text_crc32", "th", "home", F.col("cell").alias("own_cell"))
     placed = ordered_prefix(placed, ["home", "th", "text_crc32", "doc_id", "own_cell"], ["size"], "shard-order")
     placed = stage(placed, "shard-placed")
     total = placed.agg(F.sum("size")).first()[0] or 0
-    starts = placed.groupBy(*group, "home").agg(F.min("before_size").alias("g0"), F.sum("size").alias("g_bytes"))
+    starts = stage(placed.groupBy(*group, "home").agg(F.min("before_size").alias("g0"), F.sum("size").alias("g_bytes")), "shard-groups")
     placed = placed.join(starts, [*group, "home"])
     at = F.when(F.col("g_bytes") <= whole_group * total / n_shards, F.col("g0")).otherwise(F.col("before_size"))
     placed = placed.withColumn("shard", F.least(F.floor(at * n_shards / F.lit(max(total, 1))), F.lit(n_shards - 1)).cast("int"))
