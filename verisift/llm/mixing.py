@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import WORD_PATTERN, ordered_prefix, same_doc, stage, text_or_empty, wrapped
 
 _NO_SOURCE = "\x00none"
+#: Sources up to which their table is broadcast; beyond it the joins shuffle.
+BROADCAST_SOURCES = 100_000
 
 
 def fit_exponent(shares: DataFrame, target_entropy: float | None, max_repetition: float | None, grid: int = 64, rounds: int = 4) -> float:
@@ -99,7 +101,8 @@ def mix(
     order = ordered_prefix(order, ["src", "h", "doc_id"], ["n_tokens"], "mix-order")
     order = stage(order, "mix-placed")
     begins = order.groupBy("src").agg(F.min("before_n_tokens").alias("s0"))
-    line = order.join(begins.join(weighted, "src"), "src").withColumn("at", F.col("before_n_tokens") - F.col("s0"))
+    begins = stage(begins.join(weighted, "src"), "mix-begins")
+    line = order.join(F.broadcast(begins) if begins.count() <= BROADCAST_SOURCES else begins, "src").withColumn("at", F.col("before_n_tokens") - F.col("s0"))
     copies = F.when(F.col("t") > 0, F.ceil((F.col("quota") - F.col("at")) / F.col("t"))).otherwise(F.lit(0)).cast("int")
     copies = F.greatest(copies, F.when(F.col("n_tokens") == 0, 1).otherwise(0))
     line = line.withColumn("copies", copies).where("copies > 0")
