@@ -188,7 +188,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_first: b
     kind = dict(docs.dtypes)["doc_id"]
     place = F.struct("doc_id", "th", "pos")
     all_rows = stage(_anchored(docs, length, k), "lpf-anchors")
-    recurring = all_rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # Written, so that the join has plain shuffles on both sides and a hot k-gram's rows can be split.
+    recurring = stage(all_rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "lpf-grams")
     rows = stage(all_rows.join(recurring, "h", "left_semi"), "lpf-recurring")
     unstage(all_rows)
     release(spark)
