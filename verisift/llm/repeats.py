@@ -197,7 +197,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_first: b
     # Equal contexts. ``mixed``: the k-gram has other contexts as well.
     classes = rows.groupBy("h", "cx").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("p0"))
     classes = stage(classes, "lpf-classes")
-    sizes = classes.groupBy("h").agg(F.count(F.lit(1)).alias("size"))
+    sizes = stage(classes.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "lpf-sizes")
     copies = rows.join(classes.where("n > 1").select("h", "cx", "p0"), ["h", "cx"])
     if keep_first:
         copies = copies.where(place > F.col("p0"))
@@ -207,7 +207,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_first: b
     release(spark)
 
     # Distinct contexts of one k-gram: fetch the bytes of one occurrence each.
-    wanted = classes.join(sizes.where("size > 1").select("h"), "h", "left_semi").select("h", "cx", "n", "p0.*")
+    wanted = classes.join(sizes.select("h"), "h", "left_semi").select("h", "cx", "n", "p0.*")
     wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "cx", "n", "pos")).alias("want"))
     source = packed(keyed(docs))
     fetched = wanted.join(source, same_doc(wanted, source)).select(wanted["doc_id"], wanted["th"], "z", "want")
