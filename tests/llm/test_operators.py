@@ -310,6 +310,19 @@ def test_near_duplicate_classes(spark):
     assert [got[i] for i in range(len(texts))] == [(first[f], first[f] == i) for i, f in enumerate(family)]
 
 
+def test_sketch_recall_at_the_threshold():
+    rng = np.random.default_rng(5)
+    odd, salt = rng.integers(0, 1 << 63, (2, neardup.SKETCHES), np.uint64) | np.uint64(1)
+    for rate, least in ((0.2, 0.88), (0.15, 0.97)):
+        found = 0
+        for _ in range(150):
+            a = rng.integers(1, 1 << 62, 200, np.uint64)
+            b = a.copy()
+            b[rng.choice(200, int(rate * 200), replace=False)] = rng.integers(1, 1 << 62, int(rate * 200), np.uint64)
+            found += (neardup.sketch(a, odd, salt) == neardup.sketch(b, odd, salt)).any()
+        assert found >= least * 150
+
+
 def test_order_and_occurrence_matter():
     words = np.arange(1, 40, dtype=np.uint64)
     odd, salt = np.array([3, 5, 7], np.uint64), np.array([1, 2, 3], np.uint64)
