@@ -310,6 +310,23 @@ def test_near_duplicate_classes(spark):
     assert [got[i] for i in range(len(texts))] == [(first[f], first[f] == i) for i, f in enumerate(family)]
 
 
+@pytest.mark.parametrize("block", [4096, 64])
+def test_copies_that_only_resemble_their_original_are_one_class(spark, block):
+    r = random.Random(23)
+    words = prose(r, 100).split()
+    texts = [" ".join(words)]
+    for i in range(300):
+        w = list(words)
+        for at in r.sample(range(100), r.randint(12, 15)):
+            w[at] = f"{prose(r, 1)}{i}"
+        texts.append(" ".join(w))
+    split = [x.split() for x in texts]
+    apart = sum(neardup.edits_within(split[i], split[j], 20) > 20 for i in range(1, 40) for j in range(i))
+    assert apart > 600  # The copies are not similar to each other.
+    got = neardup.near_duplicates(table(spark, texts[1:] + texts[:1]), block=block).collect()
+    assert {(x.class_id, x.n_docs) for x in got} == {(0, 301)}
+
+
 def test_sketch_recall_at_the_threshold():
     rng = np.random.default_rng(5)
     odd, salt = rng.integers(0, 1 << 63, (2, neardup.SKETCHES), np.uint64) | np.uint64(1)

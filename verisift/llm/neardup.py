@@ -7,10 +7,13 @@ candidates, which makes the sketch sensitive to edits rather than to sets.
 Candidates are verified by exact banded alignment of the words: similarity
 is 1 - edits / words of the longer text, 0.8 or more.
 
-Copies (equal words, lower case) are one class from the start. A code's bucket
-is never expanded into pairs: each member is paired with the bucket's least
-and greatest class, so candidates grow linearly with the sketches however
-large a bucket is. Components of the verified links are the classes.
+Copies (equal words, lower case) are one class from the start. In a first
+round each member of a code's bucket is paired with the bucket's least and
+greatest class, which joins most at linear cost. In a second round the buckets
+whose members are still in several components are paired in full, in blocks,
+between components; pairs that length or word parities show to be too far apart
+are left out, which loses none. In the end no two components hold an unverified
+pair with a common code. Components of the verified links are the classes.
 
 Null texts and texts without words are never duplicates: each is a class of
 its own. Texts of fewer than five words have one k-mer, all their words. Ties
@@ -35,6 +38,9 @@ from .graph import components
 K = 5
 SKETCHES = 96
 SIMILARITY = 0.8
+#: Members of a bucket on each side of a block of pairs; 64-bit words of a text's parities.
+BLOCK = 4096
+PARITY = 8
 _C1, _C2, _C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD))
 _SHIFT = np.uint64(32)
 
@@ -95,6 +101,12 @@ def sketch(words: np.ndarray, odd: np.ndarray, salt: np.ndarray, step: int = 819
     return _mix(kmer[pair[:, 0]] * _C1 + kmer[pair[:, -1]] + salt)
 
 
+def parities(words: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of words in hashed cells. An edit changes two at most."""
+    cells = (_mix(words) >> np.uint64(48)).astype(np.int64) % (64 * PARITY)
+    return np.packbits((np.bincount(cells, minlength=64 * PARITY) & 1).astype(np.uint8)).view(np.int64)
+
+
 def edits_within(a: list, b: list, d: int) -> int:
     """Edit distance of two sequences if it is at most ``d``, else d + 1.
 
@@ -144,8 +156,13 @@ def similar(a: str, b: str, similarity: float) -> bool:
     return edits_within(x, y, d) <= d
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    sizes = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(parts)))
+
+
 def sketched(docs: DataFrame, sketches: int, seed: int = 23) -> DataFrame:
-    """``doc_id, th, h, codes``: h hashes the words, null for texts without words."""
+    """``doc_id, th, h, m, sig, codes``: h hashes the m words, null for texts without words; sig holds their parities."""
     rows = keyed(docs)
     kind = dict(rows.dtypes)["doc_id"]
     rng = np.random.default_rng(seed)
@@ -157,21 +174,23 @@ def sketched(docs: DataFrame, sketches: int, seed: int = 23) -> DataFrame:
         for b in it:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                hs, codes = [], []
+                hs, ms, sigs, codes = [], [], [], []
                 for text in part.column(2).to_pylist():
                     words = text.lower().split()
+                    ms.append(len(words))
                     if not words:
                         hs.append(None)
+                        sigs.append(None)
                         codes.append(np.zeros(0, np.int64))
                         continue
                     hs.append(xxhash.xxh3_64_intdigest(" ".join(words)) - (1 << 63))
                     x = np.fromiter(map(word.__getitem__, words), np.uint64, len(words))
+                    sigs.append(parities(x))
                     codes.append(sketch(x, odd, salt).view(np.int64))
-                sizes = np.cumsum([0, *map(len, codes)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(codes)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hs, pa.int64()), lists], names=["doc_id", "th", "h", "codes"])
+                columns = [pa.array(hs, pa.int64()), pa.array(ms, pa.int32()), pa.array(sigs, pa.list_(pa.int64())), _lists(codes)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["doc_id", "th", "h", "m", "sig", "codes"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, th long, h long, codes array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, th long, h long, m int, sig array<long>, codes array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -191,13 +210,43 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
+def _placed(rows: DataFrame, roots: DataFrame, h: str, root: str) -> DataFrame:
+    """``rows`` with the component of ``h``; classes without links are their own."""
+    known = roots.select(F.col("node").alias(h), F.col("root").alias("_root"))
+    return rows.join(known, h, "left").withColumn(root, F.coalesce("_root", h)).drop("_root")
+
+
+def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose two classes are not in one component."""
+    return _placed(_placed(pairs, roots, "a", "ra"), roots, "b", "rb").where("ra <> rb").drop("ra", "rb")
+
+
+def _open_pairs(members: DataFrame, sizes: DataFrame, roots: DataFrame, similarity: float, block: int) -> DataFrame:
+    """``a, b, n``: all pairs of different components with a common code that can be similar; n codes in common.
+
+    A bucket of more than ``block`` members is cut into blocks; each pair of
+    blocks is a join key of its own.
+    """
+    placed = stage(_placed(members, roots, "h", "root"), "omh-placed")
+    several = placed.groupBy("code").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi")
+    several = stage(several.select("code", F.ceil(F.col("k") / block).cast("int").alias("blocks")), "omh-open")
+    rows = placed.join(several, "code").join(sizes, "h")
+    rows = stage(rows.withColumn("x", F.pmod(F.xxhash64("h", "code"), "blocks").cast("int")), "omh-open-members")
+    left = rows.select("code", "x", F.explode(F.expr("sequence(x, blocks - 1)")).alias("y"), F.col("h").alias("a"), F.col("root").alias("ra"), F.col("m").alias("ma"), F.col("sig").alias("sa"))
+    right = rows.select("code", F.explode(F.expr("sequence(0, x)")).alias("x"), F.col("x").alias("y"), F.col("h").alias("b"), F.col("root").alias("rb"), F.col("m").alias("mb"), F.col("sig").alias("sb"))
+    d = F.floor(F.lit(1 - similarity) * F.greatest("ma", "mb") + 1e-9)
+    apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(PARITY)), F.lit(0))
+    pairs = left.join(right, ["code", "x", "y"]).where("ra <> rb and (x < y or a < b)").where((F.abs(F.col("ma") - F.col("mb")) <= d) & (apart <= 2 * d))
+    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, sketches: int = SKETCHES, block: int = BLOCK) -> DataFrame:
     """``doc_id, th, class_id`` (smallest document id of the class), ``n_docs`` in it and ``kept``."""
     spark = docs.sparkSession
     rows = stage(sketched(docs, sketches), "omh-sketches")
     codes = rows.where("h is not null").select("h", F.explode("codes").alias("code"))
     buckets = stage(codes.groupBy("code").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi"), "omh-buckets")
-    members = codes.join(buckets, "code")
+    members = stage(codes.join(buckets, "code"), "omh-members")
     stars = members.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("h").alias("b")), F.struct(F.col("hi").alias("a"), F.col("h").alias("b")))).alias("p"))
     stars = stars.select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).where("a <> b")
     pairs = stage(stars.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "omh-pairs")
@@ -205,9 +254,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, sketches: i
     release(spark)
 
     # The texts of candidate classes, one document each.
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    firsts = rows.where("h is not null").groupBy("h").agg(F.min(F.struct("doc_id", "th")).alias("d"))
-    firsts = firsts.join(wanted, "h").select("h", F.col("d.doc_id").alias("doc_id"), F.col("d.th").alias("th"))
+    wanted = members.select("h").distinct()
+    firsts = rows.where("h is not null").groupBy("h").agg(F.min(F.struct("doc_id", "th")).alias("d"), F.first("m").alias("m"), F.first("sig").alias("sig"))
+    firsts = stage(firsts.join(wanted, "h").select("h", F.col("d.doc_id").alias("doc_id"), F.col("d.th").alias("th"), "m", "sig"), "omh-firsts")
     source = packed(keyed(docs))
     texts = stage(source.join(firsts, same_doc(source, firsts)).groupBy(firsts["h"]).agg(F.first("z").alias("z")), "omh-texts")
     release(spark)
@@ -216,14 +265,23 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, sketches: i
     best = pairs.groupBy("b").agg(F.max(F.struct("n", F.col("a"))).alias("x")).select(F.col("x.a").alias("a"), "b")
     links = stage(_verified(best, texts, similarity), "omh-links1")
     roots = stage(components(links), "omh-roots1")
-    tried = best.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
-    rest = pairs.join(tried, (pairs["a"] == tried["ta"]) & (pairs["b"] == tried["tb"]), "left_anti").select("a", "b")
-    ra = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-    rb = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    rest = rest.join(ra, "a", "left").join(rb, "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
+    rest = _between(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), roots)
     links = links.unionByName(stage(_verified(rest, texts, similarity), "omh-links2"))
     roots = stage(components(links), "omh-roots2")
 
+    # Then all pairs of the buckets that still hold several components, less those already tried, again the best first.
+    some = members.select("code", "h").distinct()
+    more = _open_pairs(some, firsts.select("h", "m", "sig"), roots, similarity, block)
+    more = stage(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "omh-pairs3")
+    ends = more.select(F.explode(F.array(F.struct(F.col("a").alias("h"), F.col("b").alias("o")), F.struct(F.col("b").alias("h"), F.col("a").alias("o")))).alias("e"), "n")
+    best = ends.groupBy("e.h").agg(F.max(F.struct("n", "e.o")).alias("x")).select(F.least("h", "x.o").alias("a"), F.greatest("h", "x.o").alias("b")).distinct()
+    best = stage(best, "omh-best3")
+    links = links.unionByName(stage(_verified(best, texts, similarity), "omh-links3"))
+    roots = stage(components(links), "omh-roots3")
+    rest = _between(more.select("a", "b").join(best, ["a", "b"], "left_anti"), roots)
+    links = links.unionByName(stage(_verified(rest, texts, similarity), "omh-links4"))
+    roots = stage(components(links), "omh-roots4")
+
     named = rows.select("doc_id", "th", "h").join(roots.select(F.col("node").alias("h"), "root"), "h", "left")
     # Texts without words: the document is its own class.
     named = named.select("doc_id", "th", F.when(F.col("h").isNull(), F.xxhash64("doc_id", "th")).otherwise(F.coalesce("root", "h")).alias("root"), F.col("h").isNull().alias("bare"))
