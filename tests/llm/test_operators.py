@@ -340,6 +340,28 @@ def test_sketch_recall_at_the_threshold():
         assert found >= least * 150
 
 
+def test_short_texts_within_the_limit_are_all_found(spark):
+    r = random.Random(24)
+    texts, family = [], []
+    for n in (4, 5, 6, 7, 9, 10, 14, 15, 20, 25, 30, 40, 50):
+        for f in range(6):
+            words = [f"w{n}x{f}x{i}" for i in range(n)]
+            d = n // 5
+            other = list(words)
+            for at in range(4, n, 5) if f == 0 else r.sample(range(n), d):
+                other[at] = f"e{n}x{f}x{at}"
+            if f == 1 and n > 5:
+                other = [w for w in words if w in other]  # deleted
+            if n == 4:
+                other = [*words[:f % 4], "more", *words[f % 4:]]
+            family += [len(texts)] * 2
+            texts += [" ".join(words), " ".join(other)]
+    alike = [texts[f] == texts[i] or neardup.similar(texts[f], texts[i], 0.8) for i, f in enumerate(family)]
+    got = {x.doc_id: x.class_id for x in neardup.near_duplicates(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [f if ok else i for i, (f, ok) in enumerate(zip(family, alike, strict=True))]
+    assert sum(alike) > 0.9 * len(texts)
+
+
 def test_order_and_occurrence_matter():
     words = np.arange(1, 40, dtype=np.uint64)
     odd, salt = np.array([3, 5, 7], np.uint64), np.array([1, 2, 3], np.uint64)

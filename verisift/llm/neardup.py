@@ -7,11 +7,16 @@ candidates, which makes the sketch sensitive to edits rather than to sets.
 Candidates are verified by exact banded alignment of the words: similarity
 is 1 - edits / words of the longer text, 0.8 or more.
 
+Short texts have too few k-mers for that. A text of ``EXACT`` words or fewer
+also gives all runs of as many words as the shortest of edits + 1 disjoint
+pieces has; of those pieces one is intact in any similar text, so that similar
+short texts always have such a run in common, wherever they are edited.
+
 Copies (equal words, lower case) are one class from the start. In a first
 round each member of a code's bucket is paired with the bucket's least and
 greatest class, which joins most at linear cost. In a second round the buckets
-whose members are still in several components are paired in full, in blocks,
-between components; pairs that length or word parities show to be too far apart
+whose members are still in several components, and those of short texts' runs,
+are paired in full, in blocks, between components; pairs that length or word parities show to be too far apart
 are left out, which loses none. In the end no two components hold an unverified
 pair with a common code. Components of the verified links are the classes.
 
@@ -38,6 +43,8 @@ from .graph import components
 K = 5
 SKETCHES = 96
 SIMILARITY = 0.8
+#: Pairs of texts of at most so many words are all found.
+EXACT = 50
 #: Members of a bucket on each side of a block of pairs; 64-bit words of a text's parities.
 BLOCK = 4096
 PARITY = 8
@@ -101,6 +108,19 @@ def sketch(words: np.ndarray, odd: np.ndarray, salt: np.ndarray, step: int = 819
     return _mix(kmer[pair[:, 0]] * _C1 + kmer[pair[:, -1]] + salt)
 
 
+def allowed(n: int, similarity: float) -> int:
+    """Edits at which texts, the longer one of n words, are still similar."""
+    return int((1 - similarity) * n + 1e-9)
+
+
+def runs(words: np.ndarray, similarity: float, longest: int = EXACT) -> np.ndarray:
+    """Codes of the word runs of which similar texts of at most ``longest`` words have one in common."""
+    n = len(words)
+    sizes = {m // (allowed(m, similarity) + 1) for m in range(n, longest + 1) if 0 < allowed(m, similarity) >= m - n}
+    codes = [kmers(words, k) * _C1 + np.uint64(k) for k in sizes if k <= n]
+    return np.unique(_mix(np.concatenate(codes))) if codes else np.zeros(0, np.uint64)
+
+
 def parities(words: np.ndarray) -> np.ndarray:
     """Parities of the numbers of words in hashed cells. An edit changes two at most."""
     cells = (_mix(words) >> np.uint64(48)).astype(np.int64) % (64 * PARITY)
@@ -152,7 +172,7 @@ def edits_within(a: list, b: list, d: int) -> int:
 
 def similar(a: str, b: str, similarity: float) -> bool:
     x, y = a.lower().split(), b.lower().split()
-    d = int((1 - similarity) * max(len(x), len(y)) + 1e-9)
+    d = allowed(max(len(x), len(y)), similarity)
     return edits_within(x, y, d) <= d
 
 
@@ -161,8 +181,8 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(parts)))
 
 
-def sketched(docs: DataFrame, sketches: int, seed: int = 23) -> DataFrame:
-    """``doc_id, th, h, m, sig, codes``: h hashes the m words, null for texts without words; sig holds their parities."""
+def sketched(docs: DataFrame, sketches: int, similarity: float, seed: int = 23) -> DataFrame:
+    """``doc_id, th, h, m, sig, codes, runs``: h hashes the m words, null for texts without words; sig holds their parities."""
     rows = keyed(docs)
     kind = dict(rows.dtypes)["doc_id"]
     rng = np.random.default_rng(seed)
@@ -174,7 +194,7 @@ def sketched(docs: DataFrame, sketches: int, seed: int = 23) -> DataFrame:
         for b in it:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                hs, ms, sigs, codes = [], [], [], []
+                hs, ms, sigs, codes, short = [], [], [], [], []
                 for text in part.column(2).to_pylist():
                     words = text.lower().split()
                     ms.append(len(words))
@@ -182,15 +202,17 @@ def sketched(docs: DataFrame, sketches: int, seed: int = 23) -> DataFrame:
                         hs.append(None)
                         sigs.append(None)
                         codes.append(np.zeros(0, np.int64))
+                        short.append(np.zeros(0, np.int64))
                         continue
                     hs.append(xxhash.xxh3_64_intdigest(" ".join(words)) - (1 << 63))
                     x = np.fromiter(map(word.__getitem__, words), np.uint64, len(words))
                     sigs.append(parities(x))
                     codes.append(sketch(x, odd, salt).view(np.int64))
-                columns = [pa.array(hs, pa.int64()), pa.array(ms, pa.int32()), pa.array(sigs, pa.list_(pa.int64())), _lists(codes)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["doc_id", "th", "h", "m", "sig", "codes"])
+                    short.append(runs(x, similarity).view(np.int64))
+                columns = [pa.array(hs, pa.int64()), pa.array(ms, pa.int32()), pa.array(sigs, pa.list_(pa.int64())), _lists(codes), _lists(short)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["doc_id", "th", "h", "m", "sig", "codes", "runs"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, th long, h long, m int, sig array<long>, codes array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, th long, h long, m int, sig array<long>, codes array<long>, runs array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -243,7 +265,7 @@ def _open_pairs(members: DataFrame, sizes: DataFrame, roots: DataFrame, similari
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, sketches: int = SKETCHES, block: int = BLOCK) -> DataFrame:
     """``doc_id, th, class_id`` (smallest document id of the class), ``n_docs`` in it and ``kept``."""
     spark = docs.sparkSession
-    rows = stage(sketched(docs, sketches), "omh-sketches")
+    rows = stage(sketched(docs, sketches, similarity), "omh-sketches")
     codes = rows.where("h is not null").select("h", F.explode("codes").alias("code"))
     buckets = stage(codes.groupBy("code").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi"), "omh-buckets")
     members = stage(codes.join(buckets, "code"), "omh-members")
@@ -254,7 +276,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, sketches: i
     release(spark)
 
     # The texts of candidate classes, one document each.
-    wanted = members.select("h").distinct()
+    short = stage(rows.where("h is not null").select("h", F.explode("runs").alias("code")).distinct(), "omh-runs")
+    met = stage(short.groupBy("code").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("code"), "omh-runs-met")
+    some = members.select("code", "h").unionByName(short.join(met, "code").select("code", "h")).distinct()
+    wanted = some.select("h").distinct()
     firsts = rows.where("h is not null").groupBy("h").agg(F.min(F.struct("doc_id", "th")).alias("d"), F.first("m").alias("m"), F.first("sig").alias("sig"))
     firsts = stage(firsts.join(wanted, "h").select("h", F.col("d.doc_id").alias("doc_id"), F.col("d.th").alias("th"), "m", "sig"), "omh-firsts")
     source = packed(keyed(docs))
@@ -270,7 +295,6 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, sketches: i
     roots = stage(components(links), "omh-roots2")
 
     # Then all pairs of the buckets that still hold several components, less those already tried, again the best first.
-    some = members.select("code", "h").distinct()
     more = _open_pairs(some, firsts.select("h", "m", "sig"), roots, similarity, block)
     more = stage(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "omh-pairs3")
     ends = more.select(F.explode(F.array(F.struct(F.col("a").alias("h"), F.col("b").alias("o")), F.struct(F.col("b").alias("h"), F.col("a").alias("o")))).alias("e"), "n")
