@@ -425,3 +425,15 @@ def test_repeated_runs_of_a_host_go(spark):
     assert got == {i: prose(random.Random(i), 40) for i in range(6)}
     alone = html.extract(spark.createDataFrame(pages[:1], "page_id long, url string, html string")).first().text
     assert alone == f"{top}\n{prose(random.Random(0), 40)}\n{bottom}"
+
+
+def test_copies_and_quotations_stay(spark):
+    quote = "no one who reads this line will ever forget it again"
+    top = "All rights to this site are with its owner alone"
+    body = [f"{prose(random.Random(100 + i), 30)}{' ' + quote if i < 2 else ''}" for i in range(12)]
+    pages = [(i, f"https://h.org/p{i}", f"<body><div>{top}</div><div>{b}</div></body>") for i, b in enumerate(body)]
+    pages += [(20 + i, f"https://h.org/q{i}", pages[5][2]) for i in range(4)]
+    pages += [(30 + i, f"https://copies.org/{i}", f"<body><div>{body[3]}</div></body>") for i in range(3)]
+    got = {x.page_id: x.text for x in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    want = dict(enumerate(body)) | {20 + i: body[5] for i in range(4)} | {30 + i: body[3] for i in range(3)}
+    assert got == want
