@@ -362,6 +362,61 @@ def test_short_texts_within_the_limit_are_all_found(spark):
     assert sum(alike) > 0.9 * len(texts)
 
 
+def test_recall_at_the_threshold_by_length(spark):
+    """Pairs at exactly the allowed number of edits, of replaced words and of insertions and deletions mixed."""
+    r = random.Random(25)
+    texts, want = [], []
+    for n in (5, 8, 15, 30, 50, 51, 60, 80, 120, 300):
+        for f in range(12 if n <= 50 else 60):
+            a = [f"w{n}x{f}x{i}" for i in range(n)]
+            b = list(a)
+            for at in sorted(r.sample(range(n), neardup.allowed(n, 0.8)), reverse=True):
+                kind = r.random() if f % 2 else 0
+                b[at : at + 1] = [f"e{f}x{at}"] if kind < 0.4 else [] if kind < 0.7 else [b[at], f"i{f}x{at}"]
+            texts += [" ".join(a), " ".join(b)]
+            want.append((n, neardup.similar(*texts[-2:], 0.8)))
+    got = {x.doc_id: x.class_id for x in neardup.near_duplicates(table(spark, texts)).collect()}
+    for n in {n for n, _ in want}:
+        found = [got[2 * i + 1] == 2 * i for i, (m, ok) in enumerate(want) if m == n and ok]
+        assert sum(found) >= (0.9 if n > neardup.EXACT else 1) * len(found), n
+    assert all(got[2 * i + 1] == 2 * i + 1 for i, (_, ok) in enumerate(want) if not ok)
+
+
+def test_classes_equal_brute_force(spark):
+    r = random.Random(26)
+    texts = []
+    for _ in range(60):
+        words = [r.choice(VOCAB) for _ in range(r.choice([3, 6, 12, 25, 45, 90]))]
+        for _ in range(r.randint(1, 6)):
+            w = list(words)
+            for _ in range(int(len(w) * r.choice([0, 0.05, 0.12, 0.3]))):
+                at = r.randrange(len(w))
+                w[at : at + 1] = r.choice([[], [r.choice(VOCAB)], [w[at], r.choice(VOCAB)]])
+            texts.append(" ".join(w))
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and neardup.similar(texts[i], texts[j], 0.8):
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if x == hi else x for x in root]
+    got = {x.doc_id: x.class_id for x in neardup.near_duplicates(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == root
+
+
+def test_the_filter_of_open_pairs_loses_none():
+    r = random.Random(27)
+    words = neardup.WordHash()
+    for _ in range(300):
+        a = [r.choice(VOCAB) for _ in range(r.choice([4, 30, 60, 70, 200]))]
+        b = list(a)
+        for _ in range(r.randint(0, len(a) // 4)):
+            at = r.randrange(len(b))
+            b[at : at + 1] = r.choice([[], [r.choice(VOCAB)], [b[at], r.choice(VOCAB)]])
+        if neardup.similar(" ".join(a), " ".join(b), 0.8):
+            made = [(i, len(t), neardup.parities(np.fromiter((words[w] for w in t), np.uint64, len(t))).tobytes(), i, 0) for i, t in enumerate((a, b))]
+            assert [x[:2] for x in neardup.not_apart(made, 0.8, False)] == [(0, 1)]
+
+
 def test_order_and_occurrence_matter():
     words = np.arange(1, 40, dtype=np.uint64)
     odd, salt = np.array([3, 5, 7], np.uint64), np.array([1, 2, 3], np.uint64)

@@ -16,8 +16,9 @@ Copies (equal words, lower case) are one class from the start. In a first
 round each member of a code's bucket is paired with the bucket's least and
 greatest class, which joins most at linear cost. In a second round the buckets
 whose members are still in several components, and those of short texts' runs,
-are paired in full, in blocks, between components; pairs that length or word parities show to be too far apart
-are left out, which loses none. In the end no two components hold an unverified
+are compared in full, block by block, between components, by length and by the
+parities of their words; only pairs that these do not show to be too far apart
+leave a block, which loses none. In the end no two components hold an unverified
 pair with a common code. Components of the verified links are the classes.
 
 Null texts and texts without words are never duplicates: each is a class of
@@ -41,13 +42,12 @@ from .common import keyed, packed, release, same_doc, stage, unstage, wrapped
 from .graph import components
 
 K = 5
-SKETCHES = 96
+SKETCHES = 128
 SIMILARITY = 0.8
 #: Pairs of texts of at most so many words are all found.
 EXACT = 50
-#: Members of a bucket on each side of a block of pairs; 64-bit words of a text's parities.
+#: Members of a bucket on each side of a block of pairs.
 BLOCK = 4096
-PARITY = 8
 _C1, _C2, _C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD))
 _SHIFT = np.uint64(32)
 
@@ -122,9 +122,35 @@ def runs(words: np.ndarray, similarity: float, longest: int = EXACT) -> np.ndarr
 
 
 def parities(words: np.ndarray) -> np.ndarray:
-    """Parities of the numbers of words in hashed cells. An edit changes two at most."""
-    cells = (_mix(words) >> np.uint64(48)).astype(np.int64) % (64 * PARITY)
-    return np.packbits((np.bincount(cells, minlength=64 * PARITY) & 1).astype(np.uint8)).view(np.int64)
+    """Bits: parities of the numbers of words, labelled by occurrence, in hashed cells, 8 to 16 cells a word. An edit changes two at most."""
+    cells = 512
+    while cells < 8 * len(words):
+        cells *= 2
+    at = (_mix(labelled(words)) & np.uint64(cells - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=cells) & 1).astype(np.uint8), bitorder="little")
+
+
+def not_apart(members: list[tuple], similarity: float, two_sides: bool) -> Iterator[tuple]:
+    """``a, b, bits``: the members (hash, words, parities, component, side) of different components (and sides) that
+    may be similar by their numbers of words and by the bits in which their parities differ."""
+    made = []
+    for h, m, sig, root, side in members:
+        bits = int.from_bytes(sig, "little")
+        half = len(sig) * 4
+        made.append((m, h, root, side, len(sig), bits, (bits >> half) ^ (bits & ((1 << half) - 1))))
+    made.sort()
+    for j, (m, h, root, side, size, bits, folded) in enumerate(made):
+        d = allowed(m, similarity)
+        for i in range(j - 1, -1, -1):
+            m2, h2, root2, side2, size2, bits2, _ = made[i]
+            if m - m2 > d:
+                break
+            if root2 != root and (not two_sides or side2 != side):
+                # The shorter text has as many cells or half of them; lengths that fit lie closer than that.
+                apart = ((bits if size == size2 else folded) ^ bits2).bit_count()
+                # Words of the longer text that the shorter one lacks: half of what differs and of what it has more.
+                if apart + m - m2 <= 2 * d:
+                    yield min(h, h2), max(h, h2), apart
 
 
 def edits_within(a: list, b: list, d: int) -> int:
@@ -182,7 +208,7 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def sketched(docs: DataFrame, sketches: int, similarity: float, seed: int = 23) -> DataFrame:
-    """``doc_id, th, h, m, sig, codes, runs``: h hashes the m words, null for texts without words; sig holds their parities."""
+    """``doc_id, th, h, codes, runs``: h hashes the words, null for texts without words."""
     rows = keyed(docs)
     kind = dict(rows.dtypes)["doc_id"]
     rng = np.random.default_rng(seed)
@@ -194,25 +220,22 @@ def sketched(docs: DataFrame, sketches: int, similarity: float, seed: int = 23)
         for b in it:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                hs, ms, sigs, codes, short = [], [], [], [], []
+                hs, codes, short = [], [], []
                 for text in part.column(2).to_pylist():
                     words = text.lower().split()
-                    ms.append(len(words))
                     if not words:
                         hs.append(None)
-                        sigs.append(None)
                         codes.append(np.zeros(0, np.int64))
                         short.append(np.zeros(0, np.int64))
                         continue
                     hs.append(xxhash.xxh3_64_intdigest(" ".join(words)) - (1 << 63))
                     x = np.fromiter(map(word.__getitem__, words), np.uint64, len(words))
-                    sigs.append(parities(x))
                     codes.append(sketch(x, odd, salt).view(np.int64))
                     short.append(runs(x, similarity).view(np.int64))
-                columns = [pa.array(hs, pa.int64()), pa.array(ms, pa.int32()), pa.array(sigs, pa.list_(pa.int64())), _lists(codes), _lists(short)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["doc_id", "th", "h", "m", "sig", "codes", "runs"])
+                columns = [pa.array(hs, pa.int64()), _lists(codes), _lists(short)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["doc_id", "th", "h", "codes", "runs"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, th long, h long, m int, sig array<long>, codes array<long>, runs array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, th long, h long, codes array<long>, runs array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -243,23 +266,70 @@ def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return _placed(_placed(pairs, roots, "a", "ra"), roots, "b", "rb").where("ra <> rb").drop("ra", "rb")
 
 
-def _open_pairs(members: DataFrame, sizes: DataFrame, roots: DataFrame, similarity: float, block: int) -> DataFrame:
-    """``a, b, n``: all pairs of different components with a common code that can be similar; n codes in common.
+def _measured(texts: DataFrame) -> DataFrame:
+    """``h, m, sig``: number of words and their parities."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word, unpack = WordHash(), zstandard.ZstdDecompressor().decompress
+        for b in it:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                ms, sigs = [], []
+                for z in part.column(1).to_pylist():
+                    words = unpack(z).decode().lower().split()
+                    ms.append(len(words))
+                    sigs.append(parities(np.fromiter(map(word.__getitem__, words), np.uint64, len(words))).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ms, pa.int32()), pa.array(sigs, pa.binary())], names=["h", "m", "sig"])
+
+    return texts.select("h", "z").mapInArrow(run, "h long, m int, sig binary")
 
-    A bucket of more than ``block`` members is cut into blocks; each pair of
-    blocks is a join key of its own.
+
+def _open_pairs(members: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float, block: int) -> DataFrame:
+    """``a, b, apart``: the pairs of different components with a common code that can be similar.
+
+    Codes with equal members count once. A bucket of more than ``block``
+    members is cut into blocks; each pair of blocks is a group of its own, and
+    only pairs that pass the filters leave it.
     """
     placed = stage(_placed(members, roots, "h", "root"), "omh-placed")
-    several = placed.groupBy("code").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi")
+    one, two = F.xxhash64("h"), F.xxhash64(F.lit(1), "h")
+    several = placed.groupBy("code").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k"), F.bit_xor(one).alias("x1"), F.bit_xor(two).alias("x2"))
+    several = several.where("lo <> hi").groupBy("k", "x1", "x2").agg(F.min("code").alias("code"))
     several = stage(several.select("code", F.ceil(F.col("k") / block).cast("int").alias("blocks")), "omh-open")
-    rows = placed.join(several, "code").join(sizes, "h")
-    rows = stage(rows.withColumn("x", F.pmod(F.xxhash64("h", "code"), "blocks").cast("int")), "omh-open-members")
-    left = rows.select("code", "x", F.explode(F.expr("sequence(x, blocks - 1)")).alias("y"), F.col("h").alias("a"), F.col("root").alias("ra"), F.col("m").alias("ma"), F.col("sig").alias("sa"))
-    right = rows.select("code", F.explode(F.expr("sequence(0, x)")).alias("x"), F.col("x").alias("y"), F.col("h").alias("b"), F.col("root").alias("rb"), F.col("m").alias("mb"), F.col("sig").alias("sb"))
-    d = F.floor(F.lit(1 - similarity) * F.greatest("ma", "mb") + 1e-9)
-    apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(PARITY)), F.lit(0))
-    pairs = left.join(right, ["code", "x", "y"]).where("ra <> rb and (x < y or a < b)").where((F.abs(F.col("ma") - F.col("mb")) <= d) & (apart <= 2 * d))
-    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    rows = stage(placed.join(several, "code"), "omh-open-members")
+    sizes = stage(_measured(texts.join(rows.select("h").distinct(), "h")), "omh-sizes")
+    rows = rows.join(sizes, "h").withColumn("x", F.pmod(F.xxhash64("h", "code"), "blocks").cast("int"))
+    rows = rows.select("code", "x", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"), "h", "m", "sig", "root")
+    rows = rows.select("code", F.least("x", "other").alias("i"), F.greatest("x", "other").alias("j"), "x", "h", "m", "sig", "root")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group; a group may go over batches."""
+        key, held, ready = None, [], []
+
+        def out() -> pa.RecordBatch:
+            cols = [pa.array(c, pa.int64()) for c in zip(*ready, strict=True)] or [pa.array([], pa.int64())] * 3
+            ready.clear()
+            return pa.RecordBatch.from_arrays(cols, names=["a", "b", "apart"])
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            if key:
+                for pair in not_apart(held, similarity, key[1] != key[2]):
+                    ready.append(pair)
+                    if len(ready) >= 4096:
+                        yield out()
+            held.clear()
+
+        for b in it:
+            for code, i, j, *member in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key != (code, i, j):
+                    yield from settle()
+                    key = code, i, j
+                held.append(member)
+        yield from settle()
+        yield out()
+
+    ordered = rows.select("code", "i", "j", "h", "m", "sig", "root", "x").repartition("code", "i", "j").sortWithinPartitions("code", "i", "j")
+    return ordered.mapInArrow(run, "a long, b long, apart long").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, sketches: int = SKETCHES, block: int = BLOCK) -> DataFrame:
@@ -280,8 +350,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, sketches: i
     met = stage(short.groupBy("code").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("code"), "omh-runs-met")
     some = members.select("code", "h").unionByName(short.join(met, "code").select("code", "h")).distinct()
     wanted = some.select("h").distinct()
-    firsts = rows.where("h is not null").groupBy("h").agg(F.min(F.struct("doc_id", "th")).alias("d"), F.first("m").alias("m"), F.first("sig").alias("sig"))
-    firsts = stage(firsts.join(wanted, "h").select("h", F.col("d.doc_id").alias("doc_id"), F.col("d.th").alias("th"), "m", "sig"), "omh-firsts")
+    firsts = rows.where("h is not null").groupBy("h").agg(F.min(F.struct("doc_id", "th")).alias("d"))
+    firsts = stage(firsts.join(wanted, "h").select("h", F.col("d.doc_id").alias("doc_id"), F.col("d.th").alias("th")), "omh-firsts")
     source = packed(keyed(docs))
     texts = stage(source.join(firsts, same_doc(source, firsts)).groupBy(firsts["h"]).agg(F.first("z").alias("z")), "omh-texts")
     release(spark)
@@ -294,11 +364,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, sketches: i
     links = links.unionByName(stage(_verified(rest, texts, similarity), "omh-links2"))
     roots = stage(components(links), "omh-roots2")
 
-    # Then all pairs of the buckets that still hold several components, less those already tried, again the best first.
-    more = _open_pairs(some, firsts.select("h", "m", "sig"), roots, similarity, block)
+    # Then all pairs of the buckets that still hold several components, less those already tried, again the closest first.
+    more = _open_pairs(some, texts, roots, similarity, block)
     more = stage(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "omh-pairs3")
-    ends = more.select(F.explode(F.array(F.struct(F.col("a").alias("h"), F.col("b").alias("o")), F.struct(F.col("b").alias("h"), F.col("a").alias("o")))).alias("e"), "n")
-    best = ends.groupBy("e.h").agg(F.max(F.struct("n", "e.o")).alias("x")).select(F.least("h", "x.o").alias("a"), F.greatest("h", "x.o").alias("b")).distinct()
+    ends = more.select(F.explode(F.array(F.struct(F.col("a").alias("h"), F.col("b").alias("o")), F.struct(F.col("b").alias("h"), F.col("a").alias("o")))).alias("e"), "apart")
+    best = ends.groupBy("e.h").agg(F.min(F.struct("apart", "e.o")).alias("x")).select(F.least("h", "x.o").alias("a"), F.greatest("h", "x.o").alias("b")).distinct()
     best = stage(best, "omh-best3")
     links = links.unionByName(stage(_verified(best, texts, similarity), "omh-links3"))
     roots = stage(components(links), "omh-roots3")
