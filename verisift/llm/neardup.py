@@ -13,8 +13,8 @@ pieces has; of those pieces one is intact in any similar text, so that similar
 short texts always have such a run in common, wherever they are edited.
 
 Copies (equal words, lower case) are one class from the start. In a first
-round each member of a code's bucket is paired with the bucket's least and
-greatest class, which joins most at linear cost. In a second round the buckets
+round each member of a code's bucket is paired with the bucket's least class,
+which joins most at linear cost. In a second round the buckets
 whose members are still in several components, and those of short texts' runs,
 are compared in full, block by block, between components, by length and by the
 parities of their words; only pairs that these do not show to be too far apart
@@ -339,8 +339,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, sketches: i
     codes = rows.where("h is not null").select("h", F.explode("codes").alias("code"))
     buckets = stage(codes.groupBy("code").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi"), "omh-buckets")
     members = stage(codes.join(buckets, "code"), "omh-members")
-    stars = members.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("h").alias("b")), F.struct(F.col("hi").alias("a"), F.col("h").alias("b")))).alias("p"))
-    stars = stars.select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).where("a <> b")
+    stars = members.select(F.col("lo").alias("a"), F.col("h").alias("b")).where("a <> b")
     pairs = stage(stars.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "omh-pairs")
     unstage(buckets)
     release(spark)
