@@ -413,8 +413,8 @@ def test_the_filter_of_open_pairs_loses_none():
             at = r.randrange(len(b))
             b[at : at + 1] = r.choice([[], [r.choice(VOCAB)], [b[at], r.choice(VOCAB)]])
         if neardup.similar(" ".join(a), " ".join(b), 0.8):
-            made = [(i, len(t), neardup.parities(np.fromiter((words[w] for w in t), np.uint64, len(t))).tobytes(), i, 0) for i, t in enumerate((a, b))]
-            assert [x[:2] for x in neardup.not_apart(made, 0.8, False)] == [(0, 1)]
+            made = [(i, len(t), neardup.parities(np.fromiter((words[w] for w in t), np.uint64, len(t))).tobytes(), [1, 2], i, 0) for i, t in enumerate((a, b))]
+            assert [x[:2] for x in neardup.not_apart(made, 0.8, False, 1)] == [(0, 1)]
 
 
 def test_order_and_occurrence_matter():

@@ -130,26 +130,27 @@ def parities(words: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(at, minlength=cells) & 1).astype(np.uint8), bitorder="little")
 
 
-def not_apart(members: list[tuple], similarity: float, two_sides: bool) -> Iterator[tuple]:
-    """``a, b, bits``: the members (hash, words, parities, component, side) of different components (and sides) that
-    may be similar by their numbers of words and by the bits in which their parities differ."""
+def not_apart(members: list[tuple], similarity: float, two_sides: bool, code: int) -> Iterator[tuple]:
+    """``a, b, bits``: the members (hash, words, parities, codes, component, side) of different components (and sides)
+    that may be similar by their numbers of words and by the bits in which their parities differ; each pair under the
+    least code in common."""
     made = []
-    for h, m, sig, root, side in members:
+    for h, m, sig, codes, root, side in members:
         bits = int.from_bytes(sig, "little")
         half = len(sig) * 4
-        made.append((m, h, root, side, len(sig), bits, (bits >> half) ^ (bits & ((1 << half) - 1))))
-    made.sort()
-    for j, (m, h, root, side, size, bits, folded) in enumerate(made):
+        made.append((m, h, root, side, len(sig), bits, (bits >> half) ^ (bits & ((1 << half) - 1)), frozenset(codes)))
+    made.sort(key=lambda x: x[:2])
+    for j, (m, h, root, side, size, bits, folded, codes) in enumerate(made):
         d = allowed(m, similarity)
         for i in range(j - 1, -1, -1):
-            m2, h2, root2, side2, size2, bits2, _ = made[i]
+            m2, h2, root2, side2, size2, bits2, _, codes2 = made[i]
             if m - m2 > d:
                 break
             if root2 != root and (not two_sides or side2 != side):
                 # The shorter text has as many cells or half of them; lengths that fit lie closer than that.
                 apart = ((bits if size == size2 else folded) ^ bits2).bit_count()
                 # Words of the longer text that the shorter one lacks: half of what differs and of what it has more.
-                if apart + m - m2 <= 2 * d:
+                if apart + m - m2 <= 2 * d and min(codes & codes2) == code:
                     yield min(h, h2), max(h, h2), apart
 
 
@@ -296,11 +297,11 @@ def _open_pairs(members: DataFrame, texts: DataFrame, roots: DataFrame, similari
     several = placed.groupBy("code").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k"), F.bit_xor(one).alias("x1"), F.bit_xor(two).alias("x2"))
     several = several.where("lo <> hi").groupBy("k", "x1", "x2").agg(F.min("code").alias("code"))
     several = stage(several.select("code", F.ceil(F.col("k") / block).cast("int").alias("blocks")), "omh-open")
-    rows = stage(placed.join(several, "code"), "omh-open-members")
-    sizes = stage(_measured(texts.join(rows.select("h").distinct(), "h")), "omh-sizes")
-    rows = rows.join(sizes, "h").withColumn("x", F.pmod(F.xxhash64("h", "code"), "blocks").cast("int"))
-    rows = rows.select("code", "x", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"), "h", "m", "sig", "root")
-    rows = rows.select("code", F.least("x", "other").alias("i"), F.greatest("x", "other").alias("j"), "x", "h", "m", "sig", "root")
+    rows = stage(placed.join(several, "code").groupBy("h", "root").agg(F.collect_list(F.struct("code", "blocks")).alias("open")), "omh-open-members")
+    sizes = stage(_measured(texts.join(rows.select("h"), "h")), "omh-sizes")
+    rows = rows.join(sizes, "h").select("h", "m", "sig", "root", F.col("open.code").alias("codes"), F.explode("open").alias("o")).select("*", "o.code", "o.blocks")
+    rows = rows.withColumn("x", F.pmod(F.xxhash64("h", "code"), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.withColumn("i", F.least("x", "other")).withColumn("j", F.greatest("x", "other"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by group; a group may go over batches."""
@@ -313,7 +314,7 @@ def _open_pairs(members: DataFrame, texts: DataFrame, roots: DataFrame, similari
 
         def settle() -> Iterator[pa.RecordBatch]:
             if key:
-                for pair in not_apart(held, similarity, key[1] != key[2]):
+                for pair in not_apart(held, similarity, key[1] != key[2], key[0]):
                     ready.append(pair)
                     if len(ready) >= 4096:
                         yield out()
@@ -328,8 +329,8 @@ def _open_pairs(members: DataFrame, texts: DataFrame, roots: DataFrame, similari
         yield from settle()
         yield out()
 
-    ordered = rows.select("code", "i", "j", "h", "m", "sig", "root", "x").repartition("code", "i", "j").sortWithinPartitions("code", "i", "j")
-    return ordered.mapInArrow(run, "a long, b long, apart long").distinct()
+    ordered = rows.select("code", "i", "j", "h", "m", "sig", "codes", "root", "x").repartition("code", "i", "j").sortWithinPartitions("code", "i", "j")
+    return ordered.mapInArrow(run, "a long, b long, apart long")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, sketches: int = SKETCHES, block: int = BLOCK) -> DataFrame:
