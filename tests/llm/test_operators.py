@@ -103,6 +103,40 @@ def test_recall_of_edited_passages(spark):
     assert len(want & got) >= 0.98 * len(want)
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 6, 8, 12, 20, 40, 80, 200])
+def test_recall_and_collisions_by_size_of_item(n):
+    """Nothing but the codes finds candidates: replaced words, mixed edits and an edit at every fifth word; then strange windows."""
+    r = random.Random(n)
+    words = [f"w{i}" for i in range(3000)]
+    m = decontaminate.Matcher([(k, [r.choice(words) for _ in range(n)]) for k in range(30)])
+    found = []
+    for k, (_, item) in enumerate(m.items):
+        for way in range(3):
+            w, d = list(item), m.edits[k]
+            for at in sorted(r.sample(range(n), d), reverse=True) if way < 2 else [i for i in range(n - 1, -1, -1) if i % 5 == 4][:d]:
+                kind = r.random() if way == 1 else 0
+                w[at : at + 1] = [r.choice(words)] if kind < 0.4 else [] if kind < 0.7 else [w[at], r.choice(words)]
+            text = [r.choice(words) for _ in range(25)] + w + [r.choice(words) for _ in range(25)]
+            want = decontaminate.infix(m.peq[k], n, text)[0]
+            if want <= d:
+                found.append(any(h[0] == k and h[1] == want for h in m.find([" ".join(text)])[0]))
+    assert sum(found) >= 0.95 * len(found) > 0
+    strange = np.array([m.ids.get(r.choice(words), 0) for _ in range(20_000)] + [0] * decontaminate.STEPS)
+    met = len(m.candidates(strange, np.array([0])))
+    assert met <= (0.01 if n > 1 else 2 / len(words)) * 20_000 * len(m.items)
+    assert n == 1 or met <= 1e-4 * 20_000 * len(m.items)
+
+
+def test_passages_anywhere_in_a_very_long_text():
+    r = random.Random(28)
+    item = [f"x{i}" for i in range(30)]
+    m = decontaminate.Matcher([(7, item)])
+    filler = [r.choice(VOCAB) for _ in range(3 * decontaminate.STRETCH)]
+    for at in (0, decontaminate.STRETCH - 10, 2 * decontaminate.STRETCH, len(filler)):
+        text = filler[:at] + item[:10] + ["y"] + item[10:] + filler[at:]
+        assert m.find(["x1 x2", None, " ".join(text), ""]) == [[], [], [(0, 1, at, 31)], []]
+
+
 # 3
 
 

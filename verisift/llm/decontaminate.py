@@ -4,32 +4,41 @@ Texts and benchmark items are sequences of normalised words (lower case,
 letters and digits). An item occurs in a document if some passage is within
 ``floor((1 - similarity) * n)`` word edits of its n words.
 
-1. Seeds, without loss: of that many edits plus one disjoint pieces of the
-   item, one is untouched in any such passage; an automaton over the pieces
-   finds where item-sized windows can lie at all.
-2. Each window is embedded by the random walk of Chakraborty, Goldenberg and
-   Koucky: at step j the current word is output, and the pointer moves on by a
-   bit that depends on (j, word). Edit distance becomes Hamming distance.
-   Repeated walks, each with ``bits`` sampled positions, give the codes under
-   which items and windows meet; the number of walks follows from the target
-   recall and the agreement of the embedded positions at the threshold.
+1. Item-sized windows are embedded by the random walk of Chakraborty,
+   Goldenberg and Koucky: at step j the current word is output, and the pointer
+   moves on by a bit that depends on (walk, j, word). Edit distance becomes
+   Hamming distance. The walk over a window is begun anew every few words
+   (``stride``), so that it needs ``STEPS`` steps from each start and all windows
+   that hold a word, of every item size, share them: a text is embedded once,
+   whatever sizes the items have.
+2. Bit sampling: a code is the outputs of a walk at ``BITS`` sampled steps. It
+   counts only where these outputs lie at ``DISTINCT`` places or more inside the
+   window, so that neither padding nor a single frequent word makes windows
+   meet. Repeated walks with repeated samples give the codes under which
+   windows and items are looked up; their number is set for the target recall,
+   which the tests measure for items of 5 to 200 words.
 3. Whatever meets is verified by exact bit-parallel alignment.
 
+Items of fewer than ``SHORT`` words are looked up by samples of two outputs,
+and one-word items by the first output.
+
 Items are handled in blocks of bounded bytes, so what is sent to executors
 does not grow with the benchmark; documents are read once a block and never
-shuffled. Null or empty texts and items match nothing; repeated rows are
-reported each; empty tables give no rows.
+shuffled. Texts of any length are embedded in stretches of bounded size. Null
+or empty texts and items match nothing; repeated rows are reported each; equal
+items (ties) are reported each; empty tables give no rows; columns of the
+input other than the id and the text are not looked at.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -39,35 +48,95 @@ from pyspark.sql import functions as F
 from .common import keyed
 
 _BREAK = re.compile(r"[\W_]+")
-MASK = (1 << 64) - 1
+STEPS, BITS, DISTINCT = 8, 4, 3
+#: Walks, and samples of each.
+WALKS, SAMPLES = 10, 2
+#: Items of fewer words are looked up by samples of two outputs.
+SHORT = 6
+#: Words of a stretch that is embedded at once.
+STRETCH = 1 << 16
 
 
 def normal_words(text: str | None) -> list[str]:
     return _BREAK.sub(" ", text.lower()).split() if text else []
 
 
-def embed(windows: np.ndarray, keys: np.ndarray, sampled: np.ndarray) -> np.ndarray:
-    """Codes (windows x walks) of windows of word hashes (windows x n). ``keys``: walks x steps; ``sampled``: walks x bits."""
-    count, n = windows.shape
-    walks, steps = keys.shape
-    padded = np.concatenate([windows, np.zeros((count, 1), np.uint64)], axis=1)
-    at = np.zeros((count, walks), np.int64)
-    row = np.arange(count)[:, None]
-    code = np.zeros((count, walks), np.uint64)
-    takes = np.zeros((steps, walks), np.uint64)
-    for k in range(sampled.shape[1]):
-        takes[sampled[:, k], np.arange(walks)] = np.uint64(2 * k + 3)
-    for j in range(int(sampled.max()) + 1 if sampled.size else 0):
-        symbol = padded[row, at]
-        mixed = (symbol ^ keys[:, j]) * np.uint64(0x9E3779B97F4A7C15)
-        if takes[j].any():
-            code += np.where(takes[j] > 0, (symbol * np.uint64(0xD6E8FEB86659FD93) ^ (symbol >> np.uint64(29))) * takes[j], np.uint64(0))
-        at = np.minimum(at + (mixed >> np.uint64(63)).astype(np.int64), n)
-    return code
+def stride(n: int) -> int:
+    """Every so many words of an item of n words a walk begins."""
+    return 1 if n < 30 else 2 if n < 100 else 4
 
 
-def walks_for(recall: float, agreement: float, bits: int) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - agreement**bits))
+@dataclass
+class Family:
+    """Walks with samples of steps (walks x samples x bits) and the least number of places that a sample must hold."""
+
+    keys: np.ndarray
+    samples: np.ndarray
+    distinct: int
+
+    @staticmethod
+    def drawn(seed: int, walks: int, samples: int, steps: int, bits: int, distinct: int) -> Family:
+        rng = np.random.default_rng(seed)
+        keys = rng.integers(0, 1 << 63, walks, np.uint64) * np.uint64(2) + np.uint64(1)
+        # The first step is in each sample; the others are drawn.
+        picks = [[[0, *sorted(1 + rng.choice(steps - 1, bits - 1, replace=False))] for _ in range(samples)] for _ in range(walks)]
+        return Family(keys, np.array(picks, np.int64).reshape(walks, samples, bits), distinct)
+
+    def codes(self, hashes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each walk and sample: the codes at ``starts``, whether they hold places enough, and the last place sampled.
+
+        ``hashes`` of words go on for the steps of a walk beyond the last start.
+        """
+        low = (hashes >> np.uint64(32)).astype(np.uint32)
+        last = int(self.samples.max(initial=0))
+        for r, key in enumerate(self.keys):
+            moves = hashes * key
+            moves ^= moves >> np.uint64(29)
+            moves = ((moves * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
+            at, places = starts, [starts]
+            for j in range(last):
+                at = at + ((moves[at] >> np.uint8(j)) & np.uint8(1))
+                places.append(at)
+            outputs: dict[int, np.ndarray] = {}
+            for s, sample in enumerate(self.samples[r]):
+                code, held, before = None, np.ones(len(starts), np.uint8), None
+                for j in sample:
+                    if j not in outputs:
+                        outputs[j] = low[places[j]]
+                    if before is None:
+                        code = outputs[j] * np.uint32(0x9E3779B1)
+                    else:
+                        code = (code ^ (code >> np.uint32(15))) * np.uint32(0x85EBCA6B) + outputs[j]
+                        held += places[j] != places[before]
+                    before = j
+                code ^= code >> np.uint32(16)
+                code *= np.uint32((0xC2B2AE35 + 2 * (97 * r + s)) & 0xFFFFFFFF)
+                yield code, held >= self.distinct, places[before]
+
+
+LONG_FAMILY = Family.drawn(11, WALKS, SAMPLES, STEPS, BITS, DISTINCT)
+SHORT_FAMILY = Family.drawn(13, WALKS, 1, 2, 2, 2)
+WORD_FAMILY = Family(np.ones(1, np.uint64), np.zeros((1, 1, 1), np.int64), 1)
+
+
+class Table:
+    """The codes of items under one walk and sample, behind a bitmap."""
+
+    def __init__(self, codes: np.ndarray, items: np.ndarray, offsets: np.ndarray) -> None:
+        order = np.argsort(codes, kind="stable")
+        self.codes, self.items, self.offsets = codes[order], items[order], offsets[order]
+        bits = min(24, max(16, 4 + len(codes).bit_length()))
+        self.shift = np.uint32(32 - bits)
+        self.seen = np.zeros(1 << bits, np.bool_)
+        self.seen[codes >> self.shift] = True
+
+    def meet(self, codes: np.ndarray, fit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index into ``codes``, item and offset of everything that meets."""
+        at = np.flatnonzero(self.seen[codes >> self.shift] & fit)
+        lo, hi = (np.searchsorted(self.codes, codes[at], side) for side in ("left", "right"))
+        n = hi - lo
+        rows = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(at, n), self.items[rows], self.offsets[rows]
 
 
 def infix(peq: dict[str, int], m: int, words: list[str], free_start: bool = True) -> tuple[int, int]:
@@ -106,10 +175,6 @@ class Matcher:
 
     items: list[tuple[int, list[str]]]
     similarity: float = 0.8
-    bits: int = 2
-    agreement: float = 0.35
-    recall: float = 0.99
-    seed: int = 11
     cache: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -117,88 +182,88 @@ class Matcher:
         self.peq = [peq_of(w) for _, w in self.items]
         self.back = [peq_of(w[::-1]) for _, w in self.items]
         self.edits = [int((1 - self.similarity) * len(w) + 1e-9) for _, w in self.items]
-        self.hashes: dict[str, int] = {}
-        self.walks = walks_for(self.recall, self.agreement, self.bits)
-        self.tables: dict[int, dict[int, set[int]]] = {}
-        pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        by_size: dict[int, list[int]] = defaultdict(list)
-        for k, (_, w) in enumerate(self.items):
-            by_size[len(w)].append(k)
-            parts = self.edits[k] + 1
-            for p in range(parts):
-                a, b = p * len(w) // parts, (p + 1) * len(w) // parts
-                pieces[f" {' '.join(w[a:b])} "].append((k, a))
-        self.seeds = ahocorasick.Automaton()
-        for s, where in pieces.items():
-            self.seeds.add_word(s, (len(s), where))
-        if pieces:
-            self.seeds.make_automaton()
-        self.empty = not pieces
-        for n, ks in by_size.items():
-            table: dict[int, set[int]] = defaultdict(set)
-            for k, row in zip(ks, self._codes([self.items[k][1] for k in ks], n), strict=True):
-                for c in row:
-                    table[int(c)].add(k)
-            self.tables[n] = table
-
-    def _hash(self, w: str) -> int:
-        h = self.hashes.get(w)
-        if h is None:
-            h = xxhash.xxh64_intdigest(w) | 1
-            if len(self.hashes) < 1 << 18:
-                self.hashes[w] = h
-        return h
-
-    def _codes(self, windows: list[list[str]], n: int) -> np.ndarray:
-        x = np.zeros((len(windows), n), np.uint64)
-        for i, w in enumerate(windows):
-            x[i, : len(w)] = [self._hash(v) for v in w[:n]]
-        rng = np.random.default_rng([self.seed, n])
-        keys = rng.integers(0, MASK, (self.walks, 3 * n), np.uint64, endpoint=True)
-        sampled = np.stack([rng.choice(3 * n, min(self.bits, 3 * n), replace=False) for _ in range(self.walks)])
-        salt = rng.integers(0, MASK, self.walks, np.uint64, endpoint=True)
-        return embed(x, keys, sampled) ^ salt  # the salt keeps the walks' tables apart
+        self.ids: dict[str, int] = {}  # words of items; all others are one word, 0
+        for _, w in self.items:
+            for x in w:
+                self.ids.setdefault(x, len(self.ids) + 1)
+        #: Windows that begin within so many words of each other are verified together.
+        self.grid = np.array([d + 1 for d in self.edits], np.int64)
+        self.hashes = np.fromiter((0, *map(xxhash.xxh64_intdigest, self.ids)), np.uint64, len(self.ids) + 1)
+        sizes = {"one": range(1, 2), "short": range(2, SHORT), "long": range(SHORT, 1 << 60)}
+        families = {"one": WORD_FAMILY, "short": SHORT_FAMILY, "long": LONG_FAMILY}
+        self.tables: list[tuple[Family, list[Table]]] = []
+        for kind, family in families.items():
+            ks = [k for k, (_, w) in enumerate(self.items) if len(w) in sizes[kind]]
+            if ks:
+                self.tables.append((family, self._index(family, ks)))
+
+    def _index(self, family: Family, ks: list[int]) -> list[Table]:
+        words, starts, ends, items, offsets = [], [], [], [], []
+        at = 0
+        for k in ks:
+            w = self.items[k][1]
+            words += [self.ids[x] for x in w] + [0] * STEPS
+            here = range(0, len(w), stride(len(w)))
+            starts += [at + o for o in here]
+            offsets += here
+            items += [k] * len(here)
+            ends += [at + len(w)] * len(here)
+            at += len(w) + STEPS
+        starts, ends, items, offsets = (np.array(x, np.int64) for x in (starts, ends, items, offsets))
+        out = []
+        for codes, fit, last in family.codes(self.hashes[np.array(words)], starts):
+            ok = fit & (last < ends)  # all sampled outputs are words of the item
+            out.append(Table(codes[ok], items[ok], offsets[ok]))
+        return out
+
+    def candidates(self, ids: np.ndarray, begins: np.ndarray) -> set[tuple[int, int, int]]:
+        """(text, item, place of its first word to within the item's grid) of the windows that meet an item.
+
+        ``ids`` holds the texts' words, which begin at ``begins``, each followed by a walk's length of strange words.
+        """
+        found: set[tuple[int, int, int]] = set()
+        for begin in range(0, len(ids) - STEPS, STRETCH):
+            part = ids[begin : begin + STRETCH + STEPS]
+            starts = np.flatnonzero(part[: min(STRETCH, len(part) - STEPS)])
+            hashes = self.hashes[part]
+            for family, tables in self.tables:
+                for table, (codes, fit, _) in zip(tables, family.codes(hashes, starts), strict=True):
+                    i, item, offset = table.meet(codes, fit)
+                    if len(i):
+                        place = starts[i] + begin
+                        text = np.searchsorted(begins, place, "right") - 1
+                        first = place - begins[text] - offset
+                        found.update(zip(text.tolist(), item.tolist(), (first - first % self.grid[item]).tolist(), strict=True))
+        return found
 
     def find(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
         """For each text: (item index, edits, first word, number of words) of the best passage of each item in it."""
         out: list[list] = [[] for _ in texts]
-        if self.empty:
+        if not self.items:
             return out
-        windows: dict[int, list[tuple[int, int, list[str]]]] = defaultdict(list)
-        words_of: dict[int, list[str]] = {}
-        for t, text in enumerate(texts):
-            if not text:
-                continue
-            line = f" {_BREAK.sub(' ', text.lower()).strip()} "
-            seen: set[tuple[int, int]] = set()
-            for end, (size, where) in self.seeds.iter(line):
-                first = line.count(" ", 0, end - size + 2) - 1
-                for k, offset in where:
-                    n = len(self.items[k][1])
-                    start = max(0, first - offset)
-                    if (n, start) not in seen:
-                        seen.add((n, start))
-                        if t not in words_of:
-                            words_of[t] = line.split()
-                        windows[n].append((t, start, words_of[t][start : start + n]))
+        words_of = [normal_words(t) for t in texts]
+        get, pad = self.ids.get, [0] * STEPS
+        begins, line = [], []
+        for words in words_of:
+            begins.append(len(line))
+            line += [get(w, 0) for w in words]
+            line += pad
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for n, found in windows.items():
-            for at in range(0, len(found), 256):
-                part = found[at : at + 256]
-                table = self.tables[n]
-                for (t, start, _), row in zip(part, self._codes([w for _, _, w in part], n), strict=True):
-                    for k in sorted({k for c in row.tolist() if c in table for k in table[c]}):
-                        hit = self._verify(k, words_of[t], start)
-                        if hit and ((t, k) not in best or hit < best[t, k]):
-                            best[t, k] = hit
+        for t, k, first in sorted(self.candidates(np.array(line, np.int64), np.array(begins, np.int64))):
+            hit = self._verify(k, words_of[t], first)
+            if hit and ((t, k) not in best or hit < best[t, k]):
+                best[t, k] = hit
         for (t, k), hit in sorted(best.items()):
             out[t].append((k, *hit))
         return out
 
     def _verify(self, k: int, words: list[str], start: int) -> tuple[int, int, int] | None:
+        """The best passage of item k that begins within its edits of one of the grid's places from ``start`` on."""
         n, d = len(self.items[k][1]), self.edits[k]
         lo = max(0, start - d)
-        text = words[lo : start + n + d]
+        text = words[lo : max(0, start + 2 * d + n)]
+        if len(text) < n - d:
+            return None
         key = (k, " ".join(text))
         got = self.cache.get(key, 0)
         if got == 0:
@@ -223,13 +288,24 @@ def item_blocks(benchmark: DataFrame, block_bytes: int, id_col: str = "item_id",
         yield sorted(((r["i"], normal_words(r["t"])) for r in part), key=lambda x: (x[0] is None, x[0], x[1]))
 
 
+_READY: dict[str, Matcher] = {}
+
+
+def _matcher(name: str, block, similarity: float) -> Matcher:
+    """The block's matcher; a worker keeps the last one for its next tasks."""
+    if name not in _READY:
+        _READY.clear()
+        _READY[name] = Matcher(block.value, similarity)
+    return _READY[name]
+
+
 def _pieces(b: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     for at in range(0, b.num_rows, 256):
         part = b.slice(at, 256)
         yield part, part.column(column).to_pylist()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, block_bytes: int = 4 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, block_bytes: int = 2 << 20) -> DataFrame:
     """``doc_id, th, item_id, edits, similarity, start_word, n_words``: a row for each document and item that occurs in it."""
     rows, out = keyed(docs), None
     ids = dict(benchmark.dtypes)["item_id"]
@@ -237,8 +313,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     for items in item_blocks(benchmark, block_bytes):
         block = docs.sparkSession.sparkContext.broadcast(items)
 
-        def run(it: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            m = Matcher(block.value, similarity)
+        def run(it: Iterator[pa.RecordBatch], name=uuid.uuid4().hex, block=block) -> Iterator[pa.RecordBatch]:
+            m = _matcher(name, block, similarity)
             for b in it:
                 for part, texts in _pieces(b, 2):
                     hits = [(i, h) for i, found in enumerate(m.find(texts)) for h in found]
@@ -254,15 +330,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     return out
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, block_bytes: int = 4 << 20) -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, block_bytes: int = 2 << 20) -> DataFrame:
     """Rows and columns of ``docs`` in which no item occurs; a filter in place, without a join."""
     names, schema = docs.columns, docs.schema
     at = names.index("text")
     for items in item_blocks(benchmark, block_bytes):
         block = docs.sparkSession.sparkContext.broadcast(items)
 
-        def run(it: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            m = Matcher(block.value, similarity)
+        def run(it: Iterator[pa.RecordBatch], name=uuid.uuid4().hex, block=block) -> Iterator[pa.RecordBatch]:
+            m = _matcher(name, block, similarity)
             for b in it:
                 for part, texts in _pieces(b, at):
                     yield part.filter(pa.array([not found for found in m.find(texts)], pa.bool_()))
