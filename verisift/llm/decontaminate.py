@@ -38,6 +38,7 @@ import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,7 @@ from pyspark.sql import functions as F
 
 from .common import keyed
 
-_BREAK = re.compile(r"[\W_]+")
+_WORD = re.compile(r"[^\W_]+")
 STEPS, BITS, DISTINCT = 8, 4, 3
 #: Walks, and samples of each.
 WALKS, SAMPLES = 10, 2
@@ -58,7 +59,7 @@ STRETCH = 1 << 16
 
 
 def normal_words(text: str | None) -> list[str]:
-    return _BREAK.sub(" ", text.lower()).split() if text else []
+    return _WORD.findall(text.lower()) if text else []
 
 
 def stride(n: int) -> int:
@@ -246,7 +247,7 @@ class Matcher:
         begins, line = [], []
         for words in words_of:
             begins.append(len(line))
-            line += [get(w, 0) for w in words]
+            line += map(get, words, repeat(0))
             line += pad
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for t, k, first in sorted(self.candidates(np.array(line, np.int64), np.array(begins, np.int64))):
