@@ -304,7 +304,9 @@ def test_shards_are_even_whole_and_gapless(spark):
         group[texts[x.doc_id]].add(x.shard)
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
     assert all(len(v) == 1 for v in group.values())
-    assert max(size.values()) - min(size.values()) < 0.15 * sum(size.values()) / 8
+    largest = max(sum(x["size"] for x in got if texts[x.doc_id] == t) for t in set(texts))
+    even = sum(size.values()) / 8
+    assert len(size) == 8 and all(abs(v - even) <= largest for v in size.values())
 
 
 def test_a_huge_group_is_cut(spark):
@@ -313,6 +315,47 @@ def test_a_huge_group_is_cut(spark):
     assert max(n.values()) - min(n.values()) <= 10
 
 
+def curve_brute(rows):
+    """Groups of equal texts, curve index and size of each of the rows (doc_id, text, source, lang), and the total size."""
+    size = {d: len(t.encode()) + 16 for d, t, *_ in rows}
+
+    def cells(values):
+        bounds = sorted({v for v in np.quantile(values, [k / 32 for k in range(1, 32)], method="inverted_cdf")})
+        return np.searchsorted(bounds, values, side="right")
+
+    rank = lambda c: [sum(x[c] < r[c] for x in rows) for r in rows]
+    grid = np.stack([cells(rank(3)), cells(rank(2)), cells([size[r[0]] for r in rows])])
+    cell = dict(zip((r[0] for r in rows), sharding.hilbert_index(grid, 5).tolist(), strict=True))
+    group = defaultdict(list)
+    for r in sorted(rows):
+        group[r[1]].append(r[0])
+    return group, cell, size, sum(size.values())
+
+
+def test_groups_lie_in_the_order_of_the_curve(spark):
+    r = random.Random(29)
+    rows = [(i, prose(r, r.randint(0, 30)) if i % 5 else f"copy {i % 35}", f"https://host/{r.randint(0, 9)}", r.choice(["de", "en"])) for i in range(300)]
+    group, cell, size, total = curve_brute(rows)
+    got = {x.doc_id: x for x in sharding.hilbert_shards(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), 6).collect()}
+    assert {i: x.cell for i, x in got.items()} == {i: cell[min(g)] for g in group.values() for i in g}
+    line = sorted(got.values(), key=lambda x: (x.shard, x.slot))
+    assert [x.cell for x in line] == sorted(x.cell for x in line)
+    before, of = 0, {}
+    for x in line:
+        of.setdefault(rows[x.doc_id][1], []).append(before)
+        before += size[x.doc_id]
+    for t, g in group.items():
+        assert {got[i].shard for i in g} == {min(5, int((of[t][0] + len(g) * size[g[0]] / 2) * 6 / total))}
+
+
+def test_written_shards_hold_each_row_once(spark, tmp_path):
+    d = table(spark, [f"text {i % 7}" for i in range(60)])
+    d = d.unionByName(d.where("doc_id < 20")).unionByName(d.where("doc_id < 5"))
+    sharding.write_shards(d, sharding.hilbert_shards(d, 3), f"{tmp_path}/out")
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(tuple(x) for x in back.drop("_shard").collect()) == sorted(tuple(x) for x in d.collect())
+
+
 # 8
 
 

@@ -94,13 +94,13 @@ def ordered_prefix(df: DataFrame, order: list[str], sums: list[str], name: str,
     n = partitions(spark)
     ranged = stage(df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()), name)
     totals = sorted(
-        ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in sums]).collect(),
+        ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_rows"), *[F.sum(c).alias(c) for c in sums]).collect(),
         key=lambda r: r["_pid"],
     )
     offsets, run = [], [0] * (1 + len(sums))
     for r in totals:
         offsets.append((r["_pid"], *run))
-        run = [a + (b or 0) for a, b in zip(run, [r["n"], *[r[c] for c in sums]], strict=True)]
+        run = [a + (b or 0) for a, b in zip(run, [r["_rows"], *[r[c] for c in sums]], strict=True)]
     schema = "_pid int, _n0 long" + "".join(f", _s{i} long" for i in range(len(sums)))
     small = F.broadcast(spark.createDataFrame(offsets, schema))  # one row a partition
     inside = Window.partitionBy("_pid").orderBy(*order)

@@ -7,23 +7,34 @@ dimensions, so the files' min/max statistics prune on each of them.
 
 Law ``bytes``: shard sizes are near equal. Documents of equal text form a
 group, placed at the curve index of its smallest document id and kept in one
-shard; only a group above ``whole_group`` of a shard is cut between its rows,
-so that the law also holds when copies make up a third of the input.
-
-Null or empty text has size 16 and CRC 0; null metadata sorts first; repeated
-rows get a slot each; an empty table gives no rows.
+shard: the one that holds the group's middle on the line of all bytes. Cuts are
+so made at the group boundary nearest to each even cut, and a shard differs
+from an even share by no more than the largest group. Only a group above a
+whole share is cut between its rows, so that the law also holds when copies
+make up a third of the input.
+
+String dimensions are ranked among their distinct values by a distributed sort,
+so common prefixes do no harm; the values' table is broadcast up to
+``BROADCAST_VALUES`` of them and joined by shuffle beyond.
+
+Null or empty text has size 16 and CRC 0; null metadata sorts first, with empty
+strings; texts of any length count whole; repeated rows get a slot each, ties
+are in the order of the document id; only the id, the text and the dimensions
+are read, so other columns may have any names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ordered_prefix, same_doc, stage, text_or_empty, wrapped
 
 OVERHEAD = 16
+#: Distinct values of a string dimension up to which their table is broadcast.
+BROADCAST_VALUES = 100_000
 
 
 def hilbert_index(coords: np.ndarray, bits: int) -> np.ndarray:
@@ -54,9 +65,12 @@ def hilbert_index(coords: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def string_code(c: Column) -> Column:
-    """The first seven bytes as a number: keeps the order of strings, so range pruning on the column works."""
-    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long"), F.lit(-1))
+def ranked(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the strings of column ``name`` replaced by the number of rows with smaller values."""
+    values = rows.groupBy(name).agg(F.count(F.lit(1)).alias("rows"))
+    values = stage(ordered_prefix(values, [name], ["rows"], "shard-values").select(name, F.col("before_rows").alias("_rank")), "shard-ranks")
+    small = values.count() <= BROADCAST_VALUES
+    return rows.join(F.broadcast(values) if small else values, name).drop(name).withColumnRenamed("_rank", name)
 
 
 def hilbert_shards(
@@ -64,7 +78,6 @@ def hilbert_shards(
     n_shards: int = 40,
     dims: tuple[str, ...] = ("lang", "source", "size"),
     bits: int = 5,
-    whole_group: float = 0.05,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -74,7 +87,7 @@ def hilbert_shards(
     size = F.octet_length(text).cast("long") + OVERHEAD
     kinds = dict(docs.dtypes)
     coded = [
-        (size if d == "size" else string_code(F.col(d)) if kinds[d] == "string" else F.coalesce(F.col(d).cast("long"), F.lit(-1))).alias(f"d{i}")
+        (size if d == "size" else F.coalesce(F.col(d), F.lit("")) if kinds[d] == "string" else F.coalesce(F.col(d).cast("long"), F.lit(-1))).alias(f"d{i}")
         for i, d in enumerate(dims)
     ]
     rows = stage(
@@ -83,6 +96,9 @@ def hilbert_shards(
         ),
         "shard-rows",
     )
+    for i, d in enumerate(dims):
+        if d != "size" and kinds[d] == "string":
+            rows = ranked(rows, f"d{i}")
     cells = 1 << bits
     probs = [k / cells for k in range(1, cells)]
     found = rows.agg(*[F.percentile_approx(f"d{i}", probs, 2000).alias(f"d{i}") for i in range(len(dims))]).first()
@@ -103,8 +119,9 @@ def hilbert_shards(
     total = placed.agg(F.sum("size")).first()[0] or 0
     starts = stage(placed.groupBy(*group, "home").agg(F.min("before_size").alias("g0"), F.sum("size").alias("g_bytes")), "shard-groups")
     placed = placed.join(starts, [*group, "home"])
-    at = F.when(F.col("g_bytes") <= whole_group * total / n_shards, F.col("g0")).otherwise(F.col("before_size"))
-    placed = placed.withColumn("shard", F.least(F.floor(at * n_shards / F.lit(max(total, 1))), F.lit(n_shards - 1)).cast("int"))
+    # Twice the middle of the group, or of the row of a group that has to be cut.
+    middle = F.when(F.col("g_bytes") <= total / n_shards, 2 * F.col("g0") + F.col("g_bytes")).otherwise(2 * F.col("before_size") + F.col("size"))
+    placed = placed.withColumn("shard", F.least(F.floor(middle * n_shards / F.lit(max(2 * total, 1))), F.lit(n_shards - 1)).cast("int"))
     first = placed.groupBy("shard").agg(F.min("rn").alias("rn0"))  # n_shards rows
     return placed.join(F.broadcast(first), "shard").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rn") - F.col("rn0")).alias("slot"),
@@ -113,8 +130,9 @@ def hilbert_shards(
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Write the documents as one sorted file a shard, in slot order."""
-    rows = wrapped(docs)
-    at = placed.select("doc_id", "th", "shard", "slot")
-    joined = rows.join(at, same_doc(rows, at)).select("row", at["shard"], at["slot"])
+    """Write the documents as files of one folder a shard, in slot order. Rows that repeat a document take its slots in turn."""
+    turn = Window.partitionBy("doc_id", "th").orderBy("_o")
+    rows = wrapped(docs).withColumn("_o", F.lit(0)).withColumn("_k", F.row_number().over(turn)).drop("_o")
+    at = placed.select("doc_id", "th", "shard", "slot").withColumn("_o", F.col("slot")).withColumn("_k", F.row_number().over(turn)).drop("_o")
+    joined = rows.join(at, same_doc(rows, at) & (rows["_k"] == at["_k"])).select("row", at["shard"], at["slot"])
     joined.repartition("shard").sortWithinPartitions("shard", "slot").select("row.*", F.col("shard").alias("_shard")).write.partitionBy("_shard").parquet(path)
