@@ -140,16 +140,17 @@ def test_passages_anywhere_in_a_very_long_text():
 # 3
 
 
-def lines_brute(texts, m):
+def lines_brute(texts, m, words):
     seqs = [[x for x in t.split("\n") if x.split()] for t in texts]
     seen, out = set(), []
     for t, s in zip(texts, seqs, strict=True):
         gone = set()
-        for i in range(len(s) - m + 1):
-            w = tuple(s[i:i + m])
-            if w in seen:
-                gone |= set(range(i, i + m))
-            seen.add(w)
+        for i in range(len(s)):
+            for n in range(1, min(m, len(s) - i) + 1):
+                w = tuple(s[i : i + n])
+                if w in seen and (n == m or sum(len(x.split()) for x in w) >= words or n == len(s)):
+                    gone |= set(range(i, i + n))
+                seen.add(w)
         k, kept = 0, []
         for x in t.split("\n"):
             if x.split():
@@ -162,13 +163,26 @@ def lines_brute(texts, m):
     return out
 
 
-@pytest.mark.parametrize("m", [1, 2, 3, 5])
-def test_line_runs(spark, m):
+@pytest.mark.parametrize(("m", "words"), [(1, 50), (2, 9), (3, 50), (3, 8), (4, 12), (5, 14)])
+def test_line_runs(spark, m, words):
     r = random.Random(6)
-    pool = [prose(r, 3) for _ in range(12)] + ["", "  "]
-    texts = ["\n".join(r.choice(pool) for _ in range(r.randint(1, 14))) for _ in range(60)]
-    got = {x.doc_id: x.text for x in lines.dedup_lines(table(spark, texts), m).collect()}
-    assert [got[i] for i in range(60)] == lines_brute(texts, m)
+    pool = [prose(r, k) for k in (1, 1, 2, 2, 3, 3, 4, 4, 6, 9, 9, 14)] + ["", "  "]
+    texts = ["\n".join(r.choice(pool) for _ in range(r.choice([1, 2, 3, 5, 14]))) for _ in range(90)]
+    got = {x.doc_id: x for x in lines.dedup_lines(table(spark, texts), m, words).collect()}
+    assert [got[i].text for i in range(90)] == lines_brute(texts, m, words)
+    for i, t in enumerate(texts):
+        seq = [x for x in t.split("\n") if x.split()]
+        removed = [k for run in got[i].runs or [] for k in range(run["first"], run["first"] + run["n"])]
+        assert got[i].n_removed == len(removed) == len(set(removed)) and got[i].n_runs == len(got[i].runs or [])
+        assert [x for x in got[i].text.split("\n") if x.split()] == [x for k, x in enumerate(seq) if k not in removed]
+
+
+def test_long_lines_between_other_neighbours_go(spark):
+    r = random.Random(30)
+    passage, pair = prose(r, 60), [prose(r, 26), prose(r, 26)]
+    texts = ["\n".join(["a b", passage, "c d", *pair, "e"]), "\n".join(["f", passage, "g", *pair]), "\n".join(pair), "short line", "x\nshort line\ny", "short line"]
+    got = {x.doc_id: x.text for x in lines.dedup_lines(table(spark, texts)).collect()}
+    assert [got[i] for i in range(6)] == [texts[0], "f\ng", "", "short line", "x\nshort line\ny", ""]
 
 
 # 4

@@ -76,13 +76,20 @@ ORACLE_SQL: dict[str, str] = {
 WITH all_lines AS (
   SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS j FROM documents),
 worded AS (
-  SELECT doc_id, j, line, row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1 AS i FROM all_lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+  SELECT doc_id, j, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS m
+  FROM all_lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 suffixes AS (
-  SELECT doc_id, i, line AS a, lead(line) OVER w AS b, lead(line, 2) OVER w AS c FROM worded WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+  SELECT doc_id, i, m, w, line AS a, lead(line) OVER s AS b, lead(line, 2) OVER s AS c, w + lead(w) OVER s AS w2 FROM worded WINDOW s AS (PARTITION BY doc_id ORDER BY i)),
 starts AS (
-  SELECT doc_id, i FROM (
-    SELECT doc_id, i, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) AS n FROM suffixes WHERE c IS NOT NULL) WHERE n > 1),
-gone AS (SELECT DISTINCT doc_id, i + k AS i FROM starts, (SELECT unnest([0, 1, 2]) AS k)),
+  SELECT doc_id, i, 3 AS n FROM (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) AS n FROM suffixes WHERE c IS NOT NULL) WHERE n > 1
+  UNION ALL
+  SELECT doc_id, i, 2 FROM (
+    SELECT doc_id, i, m, w2, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, i) AS n FROM suffixes WHERE b IS NOT NULL) WHERE n > 1 AND (w2 >= 50 OR m = 2)
+  UNION ALL
+  SELECT doc_id, i, 1 FROM (
+    SELECT doc_id, i, m, w, row_number() OVER (PARTITION BY a ORDER BY doc_id, i) AS n FROM suffixes) WHERE n > 1 AND (w >= 50 OR m = 1)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM starts),
 runs AS (
   SELECT doc_id, min(i) AS first, count(*) AS n FROM (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM gone) GROUP BY doc_id, g),
 run_list AS (SELECT doc_id, count(*) AS n_runs, sum(n)::BIGINT AS n_removed, string_agg(first || '+' || n, ',' ORDER BY first) AS runs FROM runs GROUP BY doc_id),
