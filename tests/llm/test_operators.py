@@ -564,6 +564,27 @@ def test_boilerplate_containers():
     assert html.split_page(page)[0] == "Head­line\nOne two three four\nFive <six> é\na\nb"
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<article class="post comments-open"><p>kept</p></article>', "kept"),
+        ('<article class="post related-posts-enabled"><p>kept</p></article>', "kept"),
+        ('<article><div class="share-price"><p>12 euros</p></div><section class="social-history"><p>of work</p></section></article>', "12 euros\nof work"),
+        ('<article><p>main text here</p><div class="share-buttons">Tell</div><div class="relatedPosts">More</div><div id="cookie-notice-2">Ok</div></article>', "main text here"),
+        ('<main><article><p>the long text of the page</p></article><article class="teaser"><p>read this</p></article></main>', "the long text of the page"),
+        ('<article><p>the text</p><section><article class="comment"><p>a comment that is longer than the text itself</p></article></section><p>goes on</p></article>', "the text\ngoes on"),
+        ('<article><p>the text of the page goes on</p><article><p>I agree</p></article></article>', "the text of the page goes on"),
+        ('<article class="comment"><p>all there is</p></article>', "all there is"),
+        ('<main class="has-sidebar"><p>long text in the main element</p><article><p>teaser</p></article></main>', "long text in the main element"),
+        ('<main class="sidebar"><p>kept</p></main>', "kept"),
+        ('<aside><article><p>aside</p></article></aside><article><p>x</p></article>', "x"),
+        ('<div itemprop="articleBody"><p>body</p></div><p>rest</p>', "body"),
+    ],
+)
+def test_choice_of_the_article(page, want):
+    assert html.split_page(f"<html><body>{page}</body></html>")[0] == want
+
+
 def test_repeated_runs_of_a_host_go(spark):
     top, bottom = "All rights to this site are with its owner alone", "Write to us at the desk on any day of the week"
     pages = [(i, f"https://h{i % 2}.org/p{i}", f"<body><div>{top}</div><div>{prose(random.Random(i), 40)}</div><div>{bottom}</div></body>") for i in range(6)]
