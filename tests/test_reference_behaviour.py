@@ -1,5 +1,7 @@
 """Literal rows with known results, and properties that hold for any input."""
 
+import hashlib
+import json
 import random
 
 import pytest
@@ -21,6 +23,8 @@ REDACTED = [
     ("Été. patient élevé 1234-5678-9012 a@b.com é", "Été. patient élevé [REDACTED_PHONE] [REDACTED_EMAIL] é"),
     ("Medicare #A1-22BB; date of birth 1-2-70", "[REDACTED_PATIENT_ID]; [REDACTED_DOB]"),
     ("no identifiers; avoid adverse risk in allergy", "no identifiers; avoid adverse risk in allergy"),
+    ("ring +44 20 7946 0958 or (02) 9123 4567.", "ring +[REDACTED_PHONE] or ([REDACTED_PHONE]."),
+    ("MRN-12345, DOB# 1/2/70, mrn 77A2", "[REDACTED_PATIENT_ID], [REDACTED_DOB], [REDACTED_PATIENT_ID]"),
     ("patient continued therapy; patient id ZZ-9 9", "[REDACTED_PATIENT_ID] therapy; [REDACTED_PATIENT_ID] 9"),
 ]
 
@@ -42,6 +46,8 @@ def test_nested_redaction(spark):
 
 
 def test_reference_tail(spark):
+    for head in ("Acknowledgments of help", "appendix", "AUTHOR CONTRIBUTION", "Bibliography"):
+        assert one(spark, t=f" body\n\n\n\ntext \n{head}\n1. x").select(X.strip_reference_tail(F.col("t"))).first()[0] == "body\n\ntext"
     assert one(spark, t="body text\nReferences\n1. x\nAppendix").select(X.strip_reference_tail(F.col("t"))).first()[0] == "body text"
 
 
@@ -53,8 +59,10 @@ def test_fusion_orders_and_stays_bounded(spark):
 
 
 def test_grades(spark):
-    rows = spark.createDataFrame([("CPG", None), ("LIT", "systematic review"), ("LIT", "rct"), ("LIT", "cohort"), ("LIT", "case report"), ("EMR", ""), ("SAFETY", ""), ("LIT", "")], "s string, d string")
+    rows = spark.createDataFrame([("CPG", None), ("LIT", "systematic review"), ("LIT", "rct"), ("LIT", "observational"), ("LIT", "case report"), ("EMR", ""), ("SAFETY", ""), ("LIT", "")], "s string, d string")
     assert [r[0] for r in rows.select(S.evidence_grade(F.col("s"), F.col("d"))).collect()] == [0.95, 0.90, 0.86, 0.62, 0.38, 0.70, 0.88, 0.568]
+    rows = spark.createDataFrame([("LIT", "cohort", None), ("LIT", "case report", 0.95), ("WEB", "", None), ("LIT", "clinical trial", 1.4), ("EMR", "guideline", None)], "s string, d string, g double")
+    assert [r[0] for r in rows.select(S.evidence_grade(F.col("s"), F.col("d"), F.col("g"))).collect()] == [0.568, 0.95, 0.5, 1.0, 0.95]
 
 
 def test_cosine_guards(spark):
@@ -265,3 +273,39 @@ def test_settings_are_checked():
 def test_platt_is_identity_by_default(spark):
     got = one(spark, p=0.3).select(S.calibrate(F.col("p")), S.calibrate(F.col("p"), 0.0, 0.0), S.calibrate(F.lit(1.0))).first()
     assert got[0] == pytest.approx(0.3) and got[1] == pytest.approx(0.3) and got[2] < 1
+
+
+def test_decisions(spark):
+    from verisift.operators import strategy as D
+
+    lit = F.lit
+    row = spark.range(1).select(
+        D.ingestion_strategy(lit("complete_dialogue"), lit(10), lit(100_001)).alias("a"), D.ingestion_strategy(lit("answer_part1"), lit(199), lit(5)).alias("b"), D.ingestion_strategy(lit("question_part1"), lit(200), lit(5)).alias("c"),
+        D.retrieval_strategy(lit(51), lit(True), lit(False), lit("speed")).alias("d"), D.retrieval_strategy(lit(4), lit(False), lit(True), lit("accuracy")).alias("e"),
+        D.should_rebuild(lit(True), lit(19), lit(100)).alias("f"), D.should_rebuild(lit(True), lit(1), lit(0)).alias("g"), D.should_rebuild(lit(False), lit(0), lit(9)).alias("h"),
+        D.canonical_facet(lit(" contraindication of x ")).alias("i"), D.canonical_facet(lit("guideline"), ("evidence_quality",)).alias("j"), D.canonical_facet(lit(None).cast("string")).alias("k"),
+        D.expand_query(lit("Metformin"), F.array(lit("safety_risk"))).alias("l"), D.expand_query(lit("plain"), F.expr("cast(array() as array<string>)")).alias("m"),
+        D.scope_key(lit("o"), lit(None).cast("string"), lit("p1"), lit(None).cast("string")).alias("n"),
+        D.concurrency_plan(lit("naive_rag"), lit(9), lit(3)).alias("o"), D.concurrency_plan(lit("full"), lit(9), lit(3)).alias("p"), D.concurrency_plan(lit("full"), lit(0), lit(None).cast("int")).alias("q"),
+        D.readiness_error(lit(None).cast("boolean"), lit(1), lit(1)).alias("r"), D.readiness_error(lit(True), lit(12), lit(0)).alias("s"), D.readiness_error(lit(True), lit(0), lit(0)).alias("t"),
+    ).first()
+    assert tuple(row[:8]) == ("faiss_only", "tree_only", "hnsw_faiss", "faiss_only", "tree_only", False, True, True)
+    assert tuple(row[8:13]) == ("safety_contraindications", "guideline", "clinical_evidence", "Metformin biguanide glucophage risk safety", "plain")
+    key = hashlib.sha256(json.dumps({"org_id": "o", "source": None, "patient_id": "p1", "constraints": {}, "space": "local"}, sort_keys=True).encode()).hexdigest()[:16]
+    assert row.n == f"o_{key}"
+    assert (tuple(row.o), tuple(row.p), tuple(row.q)) == ((0, 9, 4), (3, 3, 4), (1, 1, 1))
+    assert tuple(row[17:]) == ("unavailable", "no_embeddings", None)
+
+
+def test_hints_change_the_next_round(spark):
+    from verisift.operators import strategy as D
+
+    def h(focus, exclusive, safety, relax, review, more, top_k=None, policy=None):
+        b = lambda x: F.lit(x)
+        e = D.apply_hints(F.lit(focus).cast("string"), b(exclusive), b(safety), b(relax), b(review), b(more), F.lit(top_k).cast("int"), F.lit(policy).cast("string"), F.lit(0.5))
+        return spark.range(1).select(e.alias("h")).first().h.asDict()
+
+    assert h("safety", True, True, False, False, False) == {"k": 80, "source": "SAFETY", "policy": "SAFETY_ONLY", "preferred": None, "safety_search": True, "min_grade": 0.5, "relaxed": False, "review": False}
+    assert h("web", True, False, True, True, False, 30, "LIT_ONLY") == {"k": 120, "source": None, "policy": "LIT_ONLY", "preferred": None, "safety_search": False, "min_grade": None, "relaxed": True, "review": True}
+    got = h("cpg", False, True, False, False, True, 30)
+    assert (got["k"], got["preferred"], got["policy"]) == (120, "CPG", "ANY")

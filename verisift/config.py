@@ -61,6 +61,21 @@ class Settings:
                 raise ValueError(f"{name} must lie in [0, 1]")
 
 
+# The facets that a question of a type asks for (type, place, id, name, weight, critical, threshold, source, keywords).
+TEMPLATES = (
+    ("diagnosis", 0, "dx", "diagnosis evidence", 1.0, True, 0.76, "LIT", ["diagnosis", "symptom", "findings", "assessment", "differential", "presentation"]),
+    ("diagnosis", 1, "patient_fit", "patient applicability", 1.0, True, 0.74, "EMR", ["patient", "history", "pmh", "age", "male", "female", "comorbidity", "medication"]),
+    ("test", 0, "test_indication", "test indication", 1.0, True, 0.76, "LIT", ["test", "indication", "diagnostic", "screening", "workup", "evaluation"]),
+    ("test", 1, "patient_fit", "patient applicability", 1.0, True, 0.74, "EMR", ["patient", "history", "pmh", "age", "pregnancy", "comorbidity", "allergy"]),
+    ("test", 2, "risk", "test risks or limitations", 0.75, False, 0.70, "LIT", ["risk", "limitation", "contraindication", "false positive", "false negative", "harm"]),
+    ("treatment", 0, "treatment", "treatment recommendation evidence", 1.0, True, 0.76, "LIT", ["treatment", "recommendation", "management", "therapy", "dose", "intervention"]),
+    ("treatment", 1, "safety", "safety contraindications or adverse risks", 1.2, True, 0.76, "LIT", ["safety", "contraindication", "adverse", "risk", "avoid", "interaction"]),
+    ("treatment", 2, "patient_fit", "patient applicability", 1.0, True, 0.74, "EMR", ["patient", "history", "pmh", "age", "comorbidity", "allergy", "medication"]),
+    ("*", 0, "clinical_evidence", "clinically relevant evidence", 1.0, True, 0.76, "LIT", ["evidence", "finding", "diagnosis", "treatment", "management"]),
+    ("*", 1, "patient_fit", "patient applicability", 1.0, True, 0.74, "EMR", ["patient", "history", "pmh", "age", "comorbidity", "allergy", "medication"]),
+)
+
+
 @dataclass(frozen=True)
 class Facet:
     name: str

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,19 +79,22 @@ def noise_score(obsolete: Column, mismatch: Column, weak: Column, incomplete: Co
     return clamp(sum(F.when(c, w).otherwise(0.0) for c, w in ((obsolete, 0.45), (mismatch, 0.35), (weak, 0.25), (incomplete, 0.15))))
 
 
-def evidence_grade(source: Column, design: Column) -> Column:
-    """Ladder from study design and source to a grade in [0, 1]."""
-    d = F.lower(F.coalesce(design, F.lit("")))
-    return (
-        F.when((source == "CPG") | d.contains("guideline"), EBM["cpg"])
-        .when(d.contains("systematic") | d.contains("meta"), EBM["sr"])
-        .when(d.contains("rct") | d.contains("random"), EBM["rct"])
-        .when(d.contains("cohort") | d.contains("observational"), EBM["obs"])
-        .when(d.contains("case"), EBM["case"])
-        .when(source == "EMR", EBM["emr"])
-        .when(source == "SAFETY", EBM["safety"])
-        .otherwise(round(0.5 * EBM["obs"] + 0.3 * EBM["rct"], 6))
+def evidence_grade(source: Column, design: Column, given: Column | None = None) -> Column:
+    """A given grade counts as it is; else the ladder from the label (grade or study design, or the source) and the source."""
+    label = F.lower(F.coalesce(F.when(design != "", design), source, F.lit("")))
+    has = lambda *xs: reduce(or_, (label.contains(x) for x in xs))
+    ladder = (
+        F.when((source == "CPG") | has("guideline", "cpg"), EBM["cpg"])
+        .when(has("systematic") | label.isin("sr", "systematic_review"), EBM["sr"])
+        .when(has("rct", "trial"), EBM["rct"])
+        .when(has("observ") | (label == "obs"), EBM["obs"])
+        .when(has("case"), EBM["case"])
+        .when((source == "EMR") | has("emr"), EBM["emr"])
+        .when((source == "SAFETY") | has("safety"), EBM["safety"])
+        .when(source == "LIT", round(0.5 * EBM["obs"] + 0.3 * EBM["rct"], 6))
+        .otherwise(0.5)
     )
+    return ladder if given is None else F.when(given.isNotNull(), clamp(given)).otherwise(ladder)
 
 
 def fusion(p: Column, dense: Column, lexical: Column, recent: Column, section: Column, source: Column, ebm: Column, safety: Column, noise: Column, w: Weights = Weights()) -> Column:  # noqa: B008

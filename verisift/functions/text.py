@@ -9,10 +9,12 @@ from pyspark.sql import types as T
 # What is redacted, in this order.
 REDACTIONS = (
     (r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", "[REDACTED_EMAIL]"),
-    (r"\b(?:\d{3}[-.\s]?\d{3}[-.\s]?\d{4}|\d{4}-\d{4}-\d{4}|1 \d{3} \d{3} \d{4})\b", "[REDACTED_PHONE]"),
-    (r"(?i)\b(?:patient(?: id)?|mrn|medicare)[\s:#]+[A-Z0-9][A-Z0-9-]{3,}\b", "[REDACTED_PATIENT_ID]"),
-    (r"(?i)\b(?:dob|date of birth)[\s:]+\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b", "[REDACTED_DOB]"),
+    (r"\b(?:\+?\d[\d .()-]{7,}\d)\b", "[REDACTED_PHONE]"),
+    (r"(?i)\b(?:MRN|patient(?:\s+id)?|medicare)\s*[:#-]?\s*[A-Z0-9-]{4,}\b", "[REDACTED_PATIENT_ID]"),
+    (r"(?i)\b(?:DOB|date of birth)\s*[:#-]?\s*\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b", "[REDACTED_DOB]"),
 )
+# Headings at which an article's tail begins.
+TAIL_HEADS = r"references|bibliography|acknowledg(?:e)?ments?|author contributions?|appendix"
 
 
 def words(text: Column) -> Column:
@@ -83,10 +85,10 @@ def first_present(*cols: Column) -> Column:
     return F.coalesce(*[blank_to_null(c) for c in cols], F.lit(""))
 
 
-def strip_reference_tail(text: Column, heads: str = "references|bibliography|works cited|acknowledgements") -> Column:
-    """Text before a line that only says references or the like, with runs of blank lines squeezed."""
-    head = F.get(F.split(text, rf"(?i)\n\s*(?:{heads})\s*\n", 2), F.lit(0))
-    return F.trim(F.regexp_replace(head, r"\n{3,}", "\n\n"))
+def strip_reference_tail(text: Column) -> Column:
+    """Text before the first line that begins with a heading of the tail, with runs of blank lines squeezed."""
+    head = F.get(F.split(text, rf"(?i)\n(?:{TAIL_HEADS})\b", 2), F.lit(0))
+    return F.regexp_replace(F.regexp_replace(head, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def content_hash(*cols: Column) -> Column:

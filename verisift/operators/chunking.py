@@ -6,7 +6,8 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 _PARAGRAPH = re.compile(r"\n\s*\n")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -81,6 +82,14 @@ def packed_sentences(text: str | None, limit: int) -> list[str]:
     return out
 
 
+def split_strategy(given: Column, answer: Column, limit: int = 400, overhead: int = 20) -> Column:
+    """How a row is cut, from the words of its input and output; rows without either are skipped."""
+    return (
+        F.when((given == 0) | (answer == 0), "skip").when(given + answer + overhead <= limit, "single_chunk").when((given > limit) & (answer <= limit), "split_input_keep_output")
+        .when((given <= limit) & (answer > limit), "keep_input_split_output").otherwise("split_both_fields")
+    )
+
+
 def dialogue_parts(question: str, context: str, answer: str, limit: int = 400, overhead: int = 20) -> list[tuple[str, str]]:
     """(strategy, text): whole if it fits; else the longer side is split, or both."""
     q, c, a = (len((x or "").split()) for x in (question, context, answer))

@@ -28,6 +28,7 @@ class Scope:
     safety_search: bool = False
     space: str | None = None
     dim: int | None = None
+    model: str | None = None
 
     def column(self) -> Column:
         parts = [tenant(self.org_id), source_policy(self.source, self.policy)]
@@ -39,11 +40,11 @@ class Scope:
         if self.start or self.end:
             parts.append(timeframe(self.start, self.end))
         if self.specialties:
-            parts.append(F.col("specialty").isin(*self.specialties))
+            parts.append(specialties(*self.specialties))
         if self.safety_search:
             parts.append(safety_search())
         if self.space is not None:
-            parts.append(embedding_space(self.space, self.dim or 0))
+            parts.append(embedding_space(self.space, self.dim or 0, self.model))
         out = parts[0]
         for p in parts[1:]:
             if p is not None:
@@ -69,21 +70,35 @@ def min_grade(least: float) -> Column:
     return (F.coalesce(F.col("grade_score"), F.lit(0.0)) >= least) | (F.coalesce(F.col("reliability"), F.lit(0.0)) >= least)
 
 
-def timeframe(start: str | None, end: str | None) -> Column:
-    c = F.col("effective_date")
-    if start and end:
-        return c.between(F.lit(start).cast("date"), F.lit(end).cast("date"))
-    return c >= F.lit(start).cast("date") if start else c <= F.lit(end).cast("date")
+def timeframe(start: str | None, end: str | None = None) -> Column:
+    """Either date of a chunk lies in the range; four digits alone are a year."""
+    if start and len(start) == 4 and start.isdigit():
+        start, end = f"{start}-01-01", f"{start}-12-31"
+
+    def within(name: str) -> Column:
+        c = F.col(name)
+        if start and end:
+            return c.between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+        return c >= F.lit(start).cast("date") if start else c <= F.lit(end).cast("date")
+
+    return within("stamp") | within("effective_date")
+
+
+def specialties(*names: str) -> Column:
+    """A chunk's tags or its specialty meet the names."""
+    return F.arrays_overlap("tags", F.array(*map(F.lit, names))) | F.col("specialty").isin(*names)
 
 
 def safety_search(section: tuple[str, ...] = SECTION_STEMS, text: tuple[str, ...] = TEXT_STEMS) -> Column:
     return (F.col("source_type") == "SAFETY") | F.col("section").rlike(f"(?i){'|'.join(section)}") | F.col("text").rlike(f"(?i){'|'.join(text)}")
 
 
-def embedding_space(space: str, dim: int) -> Column:
-    return (F.col("embedding_space") == space) & (F.col("embedding_dim") == dim)
+def embedding_space(space: str, dim: int, model: str | None = None) -> Column:
+    own = (F.col("embedding_space") == space) & (F.col("embedding_dim") == dim)
+    return own if model is None else own & (F.col("embedding_model") == model)
 
 
-def stale_embedding(space: str, dim: int) -> Column:
-    """Missing, empty or of another space or size."""
-    return ~F.col("embedding_space").eqNullSafe(space) | ~F.col("embedding_dim").eqNullSafe(dim)
+def stale_embedding(space: str, model: str, dim: int) -> Column:
+    """Without a vector, or with one of another space, model or size; what is not known is stale."""
+    known = F.coalesce(F.col("embedding_size") > 0, F.lit(False))
+    return ~known | ~F.col("embedding_space").eqNullSafe(space) | ~F.col("embedding_model").eqNullSafe(model) | ~F.col("embedding_dim").eqNullSafe(dim)

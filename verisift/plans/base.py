@@ -14,7 +14,9 @@ CHUNKS = """chunks AS (SELECT doc_id AS chunk_id, doc_id, 'org' || (doc_id % 3)
  (doc_id % 11) / 10.0::DOUBLE AS grade_score, (doc_id % 8) / 8.0::DOUBLE AS reliability, (DATE '2015-01-01' + (doc_id % 3650)::INT)::DATE AS effective_date,
  CASE WHEN doc_id % 9 = 0 THEN 'old' ELSE 'cur' END AS embedding_space, CASE WHEN doc_id % 10 = 0 THEN 32 WHEN doc_id % 23 = 0 THEN 0 ELSE 64 END AS embedding_dim,
  doc_id % 13 = 0 AS obsolete, doc_id % 17 = 0 AS mismatch, doc_id % 19 = 0 AS weak,
- (['rct','cohort','systematic review','case report',''])[(doc_id // 3) % 5 + 1] AS design, (['cardio','renal','onco'])[doc_id % 3 + 1] AS specialty FROM documents)"""
+ (DATE '2014-06-01' + (doc_id * 7 % 3650)::INT)::DATE AS stamp, CASE WHEN doc_id % 14 = 0 THEN NULL WHEN doc_id % 15 = 0 THEN 'm0' ELSE 'm1' END AS embedding_model,
+ CASE WHEN doc_id % 21 = 0 THEN NULL WHEN doc_id % 22 = 0 THEN 0 ELSE 64 END AS embedding_size, [(['cardio','renal','neuro'])[(doc_id // 2) % 3 + 1], 'general'] AS tags,
+ (['rct','cohort','systematic review','case report','observational',''])[(doc_id // 3) % 6 + 1] AS design, (['cardio','renal','onco'])[doc_id % 3 + 1] AS specialty FROM documents)"""
 CANDIDATES = CHUNKS + """, cand AS (SELECT *, doc_id // 25 AS query_id, (doc_id * 37 % 101) / 100.0::DOUBLE AS rerank, (doc_id * 53 % 97) / 96.0::DOUBLE AS dense,
  CASE WHEN doc_id % 3 <> 0 THEN (doc_id * 29 % 89) / 88.0::DOUBLE END AS lexical, len(regexp_extract_all(text, '\\S+'))::BIGINT AS tokens FROM chunks)"""
 

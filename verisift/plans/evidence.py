@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..config import Settings
+from ..config import TEMPLATES, Settings
 from ..functions import scores as S
 from ..functions import text as X
 from ..operators import evidence as E
-from ..operators import selection
+from ..operators import selection, strategy
 from ..operators.lexical import top_k
 from ..operators.pipeline import sufficiency, written
 from ..sources import tables as T
@@ -76,7 +78,20 @@ def facet_coverage(s, d):
     return E.coverage(contrib(s, d)).select("query_id", "facet", F.round("coverage", 6).alias("coverage"), "n_docs")
 
 
-@query()
+def _draws(most: int = 16, rounds: int = 64, seed: int = 42) -> str:
+    """The resamples of 2 to ``most`` contributions, as the seeded generator draws them, for the SQL twins."""
+    rows = []
+    for n in range(2, most + 1):
+        rng = random.Random(seed)
+        rows.append(f"({n}, {[[rng.randrange(n) for _ in range(n)] for _ in range(rounds)]})")
+    return f"draws AS (SELECT * FROM (VALUES {', '.join(rows)}) t(n, d))"
+
+
+LCB = f"""{PAIRS}, {_draws()}, cs AS (SELECT query_id, facet, list(c ORDER BY c DESC, parent) AS v FROM contrib GROUP BY ALL),
+ bounds AS (SELECT query_id, facet, CASE WHEN len(v) = 1 THEN greatest(0, least(1, v[1] - 0.08)) ELSE list_sort(list_transform(d, lambda r: 1 - list_product(list_transform(r, lambda i: 1 - v[i + 1]))))[4] END AS lcb FROM cs LEFT JOIN draws ON n = len(v))"""
+
+
+@query("SELECT query_id, facet, round(lcb, 6) AS lcb FROM bounds", LCB)
 def facet_lcb(s, d):
     return E.lcb(contrib(s, d)).select("query_id", "facet", F.round("lcb", 6).alias("lcb"))
 
@@ -130,8 +145,8 @@ def ledger_semi(s, d):
     return ledger(s, d).join(keep, "chunk_id", "left_semi").groupBy("query_id", "facet").agg(F.count(F.lit(1)).alias("n"))
 
 
-_GATE = f"""{PAIRS}, fr AS (SELECT q.query_id, f.facet, f.required, f.threshold, greatest(0, coalesce(coverage, 0) - 0.08) AS lcb, CASE WHEN coalesce(coverage, 0) <= 0 OR coverage >= 1 THEN 0 ELSE -(coverage * log2(coverage) + (1 - coverage) * log2(1 - coverage)) END AS entropy
- FROM (SELECT DISTINCT query_id FROM cand) q CROSS JOIN facets f LEFT JOIN cover USING (query_id, facet)),
+_GATE = f"""{LCB}, fr AS (SELECT q.query_id, f.facet, f.required, f.threshold, coalesce(lcb, 0) AS lcb, CASE WHEN coalesce(coverage, 0) <= 0 OR coverage >= 1 THEN 0 ELSE -(coverage * log2(coverage) + (1 - coverage) * log2(1 - coverage)) END AS entropy
+ FROM (SELECT DISTINCT query_id FROM cand) q CROSS JOIN facets f LEFT JOIN cover USING (query_id, facet) LEFT JOIN bounds USING (query_id, facet)),
  fa AS (SELECT query_id, list_sort(list(facet) FILTER (required AND (lcb < threshold OR entropy > 0.88))) AS missing, sum(CASE WHEN required THEN greatest(0, threshold - lcb) ELSE 0 END) AS deficit FROM fr GROUP BY 1),
  pa AS (SELECT query_id, count(*) FILTER (NOT resolved) AS unresolved, count(*) FILTER (NOT resolved AND severity = 'high') AS uh FROM judged GROUP BY 1),
  ba AS (SELECT query_id, count(*) AS n, sum(tokens)::BIGINT AS tokens, count(*) FILTER (weak) AS weak FROM cand WHERE dense >= 0.5 GROUP BY 1),
@@ -141,10 +156,11 @@ _GATE = f"""{PAIRS}, fr AS (SELECT q.query_id, f.facet, f.required, f.threshold,
 def gate(s, d):
     """The ledger without texts is written once; coverage and contradictions both read it."""
     slim = written(ledger(s, d).select("query_id", "facet", "parent", "chunk_id", "score", "rerank", "grade", "polarity"), "gate-ledger")
-    cov = E.coverage(E.contributions(slim.withColumnRenamed("parent", "doc_id")))
+    parts = E.contributions(slim.withColumnRenamed("parent", "doc_id"))
+    cov = E.coverage(parts).join(E.lcb(parts), ["query_id", "facet"])
     every = T.candidates(s, d).select("query_id").distinct().join(F.broadcast(T.facets(s)))
     f = every.join(cov, ["query_id", "facet"], "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
-    f = f.withColumn("lcb", F.greatest(F.lit(0.0), c("coverage") - 0.08)).withColumn("entropy", S.entropy(c("coverage")))
+    f = f.withColumn("lcb", F.coalesce("lcb", F.lit(0.0))).withColumn("entropy", S.entropy(c("coverage")))
     bundle = T.candidates(s, d).where("dense >= 0.5").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"), F.count_if(c("weak")).alias("weak"))
     return E.decide(f, E.adjudicate(E.contradictions(slim)), bundle)
 
@@ -197,7 +213,7 @@ def naive_pack(s, d):
 
 @query("SELECT query_id, list(chunk_id ORDER BY dense DESC, chunk_id)[1:50] AS rejected FROM cand WHERE dense < 0.5 GROUP BY 1", CANDIDATES)
 def rejected_ids(s, d):
-    r = T.candidates(s, d).where("dense < 0.5").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-c("dense")).alias("m"), "chunk_id"))).alias("x"))
+    r = top_k(T.candidates(s, d).where("dense < 0.5"), 50, "dense", "chunk_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-c("dense")).alias("m"), "chunk_id"))).alias("x"))
     return r.select("query_id", F.slice(F.transform("x", lambda v: v["chunk_id"]), 1, 50).alias("rejected"))
 
 
@@ -218,7 +234,7 @@ def passage_context(s, d):
 @query("SELECT query_id, list_sort(list(chunk_id) FILTER (rank <= 5 AND doc_id % 2 = 0)) AS cited, list_sort(list(chunk_id) FILTER (rank > 5 AND doc_id % 7 = 0)) AS rejected FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, chunk_id) AS rank FROM cand) GROUP BY 1", CANDIDATES)
 def citation_hardening(s, d):
     """Citations of an answer inside its bundle (first five), and those outside, which are refused."""
-    r = top_k(T.candidates(s, d), 1_000_000, "dense", "chunk_id")
+    r = T.candidates(s, d).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(c("dense").desc(), "chunk_id")))
     pick = lambda cond: F.array_sort(F.collect_list(F.when(cond, c("chunk_id"))))
     none = lambda x: F.when(F.size(x) > 0, x)
     return r.groupBy("query_id").agg(none(pick((c("rank") <= 5) & (c("doc_id") % 2 == 0))).alias("cited"), none(pick((c("rank") > 5) & (c("doc_id") % 7 == 0))).alias("rejected"))
@@ -252,31 +268,26 @@ def build_facets(s, d):
     return j.select("facet", F.greatest("threshold", "t").alias("threshold"), F.greatest("weight", "w").alias("weight"), F.coalesce("p", "policy").alias("policy"), (F.coalesce("required", F.lit(False)) | F.coalesce("r", F.lit(False))).alias("required"), F.array_union(F.coalesce("keywords", none), F.coalesce("k", none)).alias("keywords"))
 
 
-#: Facets a question type requires, then those of every type; fixed values.
-TEMPLATES = (("treatment", "guideline_concordance", 1.2), ("treatment", "safety_contraindications", 1.35), ("diagnosis", "evidence_quality", 1.0), ("diagnosis", "differential", 1.1), ("test", "test_accuracy", 1.0), ("*", "patient_applicability", 1.05), ("*", "safety_contraindications", 1.2))
-_TPL = "tpl AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {w}::DOUBLE)" for a, b, w in TEMPLATES) + ") t(query_type, facet, weight))"
+_TPL = "tpl AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', {n}, '{i}', '{name}', {w}::DOUBLE, {crit}, {th}::DOUBLE, '{p}', {list(k)})" for t, n, i, name, w, crit, th, p, k in TEMPLATES) + ") t(query_type, n, facet_id, name, weight, critical, threshold, policy, keywords))"
 
 
 def templates(s):
-    return s.createDataFrame(TEMPLATES, "query_type string, facet string, weight double")
+    return s.createDataFrame(TEMPLATES, "query_type string, n int, facet_id string, name string, weight double, critical boolean, threshold double, policy string, keywords array<string>")
 
 
-@query("SELECT query_type, facet, weight FROM tpl", _TPL)
+@query("SELECT * FROM tpl", _TPL)
 def facet_templates(s, d):
     return templates(s)
 
 
-@query("""SELECT item_id, facet, coalesce(o.weight, a.weight, b.weight) AS weight FROM (SELECT item_id, t, facet FROM (SELECT item_id, ['treatment','diagnosis','test'][item_id % 3 + 1] AS t FROM benchmark), LATERAL (SELECT facet FROM tpl WHERE query_type IN (t, '*') UNION SELECT 'differential' WHERE item_id % 2 = 0))
- LEFT JOIN (SELECT 'differential' AS facet, 2.0::DOUBLE AS weight) o ON o.facet = x.facet AND x.item_id % 2 = 0 LEFT JOIN tpl a ON a.query_type = t AND a.facet = x.facet LEFT JOIN tpl b ON b.query_type = '*' AND b.facet = x.facet""".replace("item_id % 2 = 0))\n LEFT", "item_id % 2 = 0)) x\n LEFT").replace("SELECT item_id, facet, coalesce", "SELECT x.item_id, x.facet, coalesce"), _TPL)
+@query("""SELECT item_id, facet_id, name, weight, critical, threshold, policy, keywords FROM (SELECT item_id, (['treatment','diagnosis','TEST','prognosis',NULL])[item_id % 5 + 1] AS t FROM benchmark) q
+ JOIN tpl ON query_type = CASE WHEN lower(t) IN ('treatment', 'diagnosis', 'test') THEN lower(t) ELSE '*' END""", _TPL)
 def required_facets(s, d):
-    """A case's own facets first, then its type's, then the global ones fill what is absent."""
-    kind = F.element_at(F.array(*map(F.lit, ("treatment", "diagnosis", "test"))), (c("item_id") % 3 + 1).cast("int"))
-    cases = T.table(s, d, "benchmark").select("item_id", kind.alias("t"))
-    own = cases.where("item_id % 2 = 0").select("item_id", F.lit("differential").alias("facet"), F.lit(2.0).alias("weight"), F.lit(0).alias("p"))
-    tpl = F.broadcast(templates(s))
-    typed = cases.join(tpl, c("t") == c("query_type")).select("item_id", "facet", "weight", F.lit(1).alias("p"))
-    glob = cases.join(tpl.where("query_type = '*'")).select("item_id", "facet", "weight", F.lit(2).alias("p"))
-    return own.unionByName(typed).unionByName(glob).groupBy("item_id", "facet").agg(F.min_by("weight", "p").alias("weight"))
+    """The facets of each case's question type; other types share a template."""
+    kind = F.element_at(F.array(*map(F.lit, ("treatment", "diagnosis", "TEST", "prognosis", None))), (c("item_id") % 5 + 1).cast("int"))
+    known = F.lower(kind).isin("treatment", "diagnosis", "test")
+    cases = T.table(s, d, "benchmark").select("item_id", F.when(known, F.lower(kind)).otherwise("*").alias("query_type"))
+    return cases.join(F.broadcast(templates(s)), "query_type").select("item_id", "facet_id", "name", "weight", "critical", "threshold", "policy", "keywords")
 
 
 @query("SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'clinician_cds' ELSE 'research' END AS scope, coalesce(CASE WHEN item_id % 4 <> 1 THEN (item_id % 10) / 10.0 END, 0.7)::DOUBLE AS threshold, coalesce(CASE WHEN item_id % 2 = 0 THEN 1.25 END, 1.0)::DOUBLE AS weight, [CASE WHEN item_id % 2 = 0 THEN 'therapy' ELSE 'a' END] AS keywords FROM benchmark")
@@ -290,11 +301,16 @@ def coerce_spec(s, d):
     return r.select("item_id", F.when(c("scope").isin("clinician_cds", "research"), c("scope")).otherwise("clinician_cds").alias("scope"), F.expr("coalesce(try_cast(t as double), 0.7D)").alias("threshold"), F.expr("coalesce(try_cast(w as double), 1.0D)").alias("weight"), words.alias("keywords"))
 
 
-@query("SELECT event_id, CASE WHEN n = 'click' THEN 'guideline_concordance' WHEN contains(n, 'sign') THEN 'patient_applicability' WHEN n IN ('error', 'purchase') THEN 'safety_contraindications' ELSE 'evidence_quality' END AS facet FROM (SELECT event_id, lower(event_type) AS n FROM events)")
+_NAMES = ("", "Contraindications", "guideline", "Patient applicability", "safety", "Grade", "Dosing rules", "evidence_quality", "quality of life", "concord")
+
+
+@query("""SELECT doc_id, CASE n WHEN '' THEN 'clinical_evidence' WHEN 'Contraindications' THEN 'safety_contraindications' WHEN 'guideline' THEN 'guideline_concordance' WHEN 'Patient applicability' THEN 'patient_applicability'
+ WHEN 'safety' THEN 'safety_contraindications' WHEN 'Grade' THEN 'evidence_quality' WHEN 'Dosing rules' THEN 'dosing_rules' WHEN 'evidence_quality' THEN n WHEN 'quality of life' THEN 'evidence_quality' ELSE 'guideline_concordance' END AS facet
+ FROM (SELECT doc_id, (['', 'Contraindications', 'guideline', 'Patient applicability', 'safety', 'Grade', 'Dosing rules', 'evidence_quality', 'quality of life', 'concord'])[doc_id % 10 + 1] AS n FROM documents)""")
 def canonical_facet(s, d):
     """A name to its facet: exact, then by part, then by alias."""
-    n = F.lower("event_type")
-    return T.table(s, d, "events").select("event_id", F.when(n == "click", "guideline_concordance").when(n.contains("sign"), "patient_applicability").when(n.isin("error", "purchase"), "safety_contraindications").otherwise("evidence_quality").alias("facet"))
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (c("doc_id") % 10 + 1).cast("int"))
+    return T.table(s, d, "documents").select("doc_id", strategy.canonical_facet(name, tuple(f[0] for f in T.FACETS)).alias("facet"))
 
 
 def pool(s, d):

@@ -27,28 +27,30 @@ def fts_query_terms(s, d):
     return T.table(s, d, "benchmark").select("item_id", X.fts_terms(c("text")).alias("terms"))
 
 
-_PAT = [(p.replace("'", "''"), m) for p, m in X.REDACTIONS]
-
-
 def _red(x: str) -> str:
-    for pattern, mark in _PAT:
-        x = f"regexp_replace({x}, '{pattern}', '{mark}', 'g')"
-    return x
+    x = rf"regexp_replace({x}, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}\b', '[REDACTED_EMAIL]', 'g')"
+    x = rf"regexp_replace({x}, '\b\+?\d[\d .()-]{{7,}}\d\b', '[REDACTED_PHONE]', 'g')"
+    x = rf"regexp_replace({x}, '\b(MRN|patient\s+id|patient|medicare)\s*[:#-]?\s*[A-Z0-9-]{{4,}}\b', '[REDACTED_PATIENT_ID]', 'gi')"
+    return rf"regexp_replace({x}, '\b(DOB|date of birth)\s*[:#-]?\s*\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}\b', '[REDACTED_DOB]', 'gi')"
 
 
+# Identifiers in the forms that letters use, one a document, before its own text.
+_IDS = ("call +44 20 7946 0958 or (02) 9123 4567", "MRN-12345 seen", "DOB# 1/2/70", "Patient ID: ABC1234, DOB: 01/02/1970", "medicare 2222-33333-1", "a.b@c.org wrote", "Date of Birth: 3-4-1999; patient id#XY-9987", "no identifier")
+_NOTE = "(['" + "','".join(_IDS) + "'])[doc_id % 8 + 1] || ' ' || text"
 
-@query(f"SELECT doc_id, md5({_red('text')}) AS redacted_md5, {_red('text')} <> text AS changed FROM documents")
-def redact_phi(s, d):
-    r = X.redact(c("text"))
-    return T.table(s, d, "documents").select("doc_id", F.md5(r).alias("redacted_md5"), (r != c("text")).alias("changed"))
 
+def _note():
+    return F.concat(F.element_at(F.array(*map(F.lit, _IDS)), (c("doc_id") % 8 + 1).cast("int")), F.lit(" "), c("text"))
 
-_T160 = "substr(text, 1, 400)"
+
+@query(f"SELECT doc_id, md5({_red(_NOTE)}) AS redacted_md5, {_red('text')} <> text AS changed FROM documents")
+def redact_phi(s, d):
+    return T.table(s, d, "documents").select("doc_id", F.md5(X.redact(_note())).alias("redacted_md5"), (X.redact(c("text")) != c("text")).alias("changed"))
 
 
-@query(f"SELECT doc_id, md5({_red(_T160)}) AS query, md5({_red('source')}) AS first_item, md5({_red('text')}) AS last_item FROM documents")
+@query(f"SELECT doc_id, md5({_red(_NOTE)}) AS query, md5({_red('source')}) AS first_item, md5({_red('text')}) AS last_item FROM documents")
 def redact_nested(s, d):
-    rows = T.table(s, d, "documents").select("doc_id", F.struct(F.substring("text", 1, 400).alias("query"), F.array("source", "text").alias("items")).alias("payload"))
+    rows = T.table(s, d, "documents").select("doc_id", F.struct(_note().alias("query"), F.array("source", "text").alias("items")).alias("payload"))
     r = rows.select("doc_id", X.redact_nested(c("payload"), rows.schema["payload"].dataType).alias("p"))
     return r.select("doc_id", F.md5("p.query").alias("query"), F.md5(c("p.items")[0]).alias("first_item"), F.md5(c("p.items")[1]).alias("last_item"))
 
@@ -70,13 +72,15 @@ def topic_text(s, d):
     return T.table(s, d, "pages").select("page_id", F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1).alias("title"), F.md5(body).alias("body_md5"))
 
 
-_TAIL = "text || chr(10) || 'References' || chr(10) || source"
+_HEADS = ("References", "bibliography", "Acknowledgments", "ACKNOWLEDGEMENT", "Author contributions", "Appendix B", "Referencesque")
+_TAIL = "text || chr(10) || chr(10) || chr(10) || source || chr(10) || (['" + "','".join(_HEADS) + "'])[doc_id % 7 + 1] || chr(10) || source"
 
 
-@query(rf"SELECT doc_id, md5(trim(regexp_replace(split_part(regexp_replace({_TAIL}, '(?i)\n\s*(?:references|bibliography|works cited|acknowledgements)\s*\n', chr(1)), chr(1), 1), '\n{{3,}}', chr(10) || chr(10), 'g'))) AS kept_md5, doc_id % 2 = 0 AS even FROM documents")
+@query(rf"SELECT doc_id, md5(regexp_replace(regexp_replace(split_part(regexp_replace({_TAIL}, '(?i)\n(references|bibliography|acknowledgements?|acknowledgments?|author contributions?|appendix)\b', chr(1)), chr(1), 1), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS kept_md5 FROM documents")
 def strip_reference_tail(s, d):
-    t = F.concat(c("text"), F.lit("\nReferences\n"), c("source"))
-    return T.table(s, d, "documents").select("doc_id", F.md5(X.strip_reference_tail(t)).alias("kept_md5"), (c("doc_id") % 2 == 0).alias("even"))
+    head = F.element_at(F.array(*map(F.lit, _HEADS)), (c("doc_id") % 7 + 1).cast("int"))
+    t = F.concat(c("text"), F.lit("\n\n\n"), c("source"), F.lit("\n"), head, F.lit("\n"), c("source"))
+    return T.table(s, d, "documents").select("doc_id", F.md5(X.strip_reference_tail(t)).alias("kept_md5"))
 
 
 @query(f"""SELECT doc_id, 'Title' || chr(10) || array_to_string({W}[1:32], ' ') || chr(10) || chr(10) || 'Abstract' || chr(10) || array_to_string({W}[33:132], ' ') || chr(10) || chr(10) || 'Body' || chr(10)
@@ -151,12 +155,11 @@ def dialogue_clean(s, d):
 _WC = lambda x: f"len(regexp_extract_all(coalesce({x}, ''), '\\S+'))"
 
 
-@query(f"""SELECT conv_id, CASE WHEN q + a + 20 <= 60 THEN 'single' WHEN a + 20 <= 30 THEN 'input_split' WHEN q + 20 <= 30 THEN 'output_split' ELSE 'both_split' END AS strategy
+@query(f"""SELECT conv_id, CASE WHEN q = 0 OR a = 0 THEN 'skip' WHEN q + a + 20 <= 400 THEN 'single_chunk' WHEN q > 400 AND a <= 400 THEN 'split_input_keep_output' WHEN q <= 400 AND a > 400 THEN 'keep_input_split_output' ELSE 'split_both_fields' END AS strategy
  FROM (SELECT conv_id, {_WC('question')} + {_WC('context')} AS q, {_WC('answer')} AS a FROM qca)""", _QCA)
 def chunk_strategy(s, d):
     n = lambda x: X.word_count(F.coalesce(x, F.lit("")))
-    r = qca(s, d).select("conv_id", (n(c("question")) + n(c("context"))).alias("q"), n(c("answer")).alias("a"))
-    return r.select("conv_id", F.when(c("q") + c("a") + 20 <= 60, "single").when(c("a") + 20 <= 30, "input_split").when(c("q") + 20 <= 30, "output_split").otherwise("both_split").alias("strategy"))
+    return qca(s, d).select("conv_id", chunking.split_strategy(n(c("question")) + n(c("context")), n(c("answer"))).alias("strategy"))
 
 
 @query()

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import text as X
 from ..operators import dense as D
+from ..operators import strategy as decide
+from ..operators.pipeline import written
 from ..operators import lexical as L
 from ..sources import tables as T
 from .base import CANDIDATES, CHUNKS, Registry
@@ -127,15 +129,21 @@ def l2_normalize(s, d):
     return r.select("vec_id", F.round(F.aggregate("n", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"), F.round(c("n")[0], 6).alias("first"))
 
 
-@query(f"""WITH {_DENSE}, a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s WHERE vec_id % 2 = 0) WHERE r <= 10),
- b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s WHERE vec_id % 3 = 0) WHERE r <= 10),
- u AS (SELECT query_id, vec_id, max(score) AS score FROM (SELECT query_id, vec_id, score FROM a UNION ALL SELECT query_id, vec_id, score - 0.01 FROM b) GROUP BY ALL)
+_CODE = "list_transform(embedding::DOUBLE[], lambda x: round(x * 127))"
+
+
+@query(f"""WITH {_DENSE}, code AS (SELECT vec_id, {_CODE} AS e FROM embeddings),
+ z AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.e, q.e), 9) AS score FROM code v, code q WHERE q.vec_id % 20 = 0),
+ a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 10),
+ b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM z) WHERE r <= 10),
+ u AS (SELECT query_id, vec_id, max(score) AS score FROM (SELECT query_id, vec_id, score FROM a UNION ALL SELECT query_id, vec_id, score FROM b) GROUP BY ALL)
  {_DTOP.replace("FROM s", "FROM u")}""")
 def ann_union_max(s, d):
-    """Two indexes over parts of the corpus, joined by the greatest similarity."""
+    """Two indexes over all vectors, exact and in 8-bit codes, joined by the greatest similarity."""
     v, q = _vectors(s, d), _asked(s, d)
-    a = D.exact_topk(v.where("vec_id % 2 = 0"), q, 10).select("query_id", "vec_id", "score")
-    b = D.exact_topk(v.where("vec_id % 3 = 0"), q, 10).select("query_id", "vec_id", (c("score") - 0.01).alias("score"))
+    code = lambda r: r.withColumn("embedding", F.transform("embedding", lambda x: F.round(x.cast("double") * 127)))
+    a = D.exact_topk(v, q, 10).select("query_id", "vec_id", "score")
+    b = D.exact_topk(code(v), code(q), 10).select("query_id", "vec_id", "score")
     u = a.unionByName(b).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return L.top_k(u, 10, item="vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
@@ -166,7 +174,8 @@ def hash_embed(s, d):
 def label_mapping(s, d):
     """Contiguous labels in id order, numbered without a global window."""
     v = _vectors(s, d).select("vec_id").repartitionByRange("vec_id").sortWithinPartitions("vec_id").withColumn("_m", F.monotonically_increasing_id())
-    v = v.select("vec_id", F.shiftright("_m", 33).alias("_p"), c("_m").bitwiseAND((1 << 33) - 1).alias("_i"))
+    # Written once: both uses must see the same bounds of the ranges.
+    v = written(v.select("vec_id", F.shiftright("_m", 33).alias("_p"), c("_m").bitwiseAND((1 << 33) - 1).alias("_i")), "labels")
     sizes = v.groupBy("_p").agg(F.count(F.lit(1)).alias("n"))  # one row a partition
     before = sizes.select("_p", (F.sum("n").over(Window.orderBy("_p")) - c("n")).alias("n0"))
     return v.join(F.broadcast(before), "_p").select("vec_id", (c("n0") + c("_i")).alias("label"), F.concat(F.lit("c"), c("vec_id").cast("string")).alias("chunk_id"))
@@ -241,12 +250,13 @@ def rerank_order(s, d):
 
 
 @query("""SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, round(coalesce(nullif(a.dense, 0), b.dense), 6) AS dense, round(coalesce(b.rerank, a.rerank), 6) AS rerank
- FROM (SELECT * FROM cand WHERE doc_id % 2 = 0) a FULL JOIN (SELECT *, 1 - 0 AS one FROM cand WHERE doc_id % 3 = 0) b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id""", CANDIDATES)
+ FROM dl a FULL JOIN rl b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id""", CANDIDATES + """, dl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, chunk_id) AS r FROM cand) WHERE r <= 16),
+ rl AS (SELECT query_id, chunk_id, dense / 2 AS dense, round(1 - rerank / 2, 9) AS rerank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, chunk_id) AS r FROM cand) WHERE r <= 16)""")
 def candidate_merge(s, d):
-    """Two rounds of retrieval: the first non-zero dense score stays, the newest rerank score wins."""
-    cand = T.candidates(s, d).select("query_id", "chunk_id", "doc_id", "dense", "rerank")
-    a = cand.where("doc_id % 2 = 0").select("query_id", "chunk_id", c("dense").alias("d1"), c("rerank").alias("r1"))
-    b = cand.where("doc_id % 3 = 0").select("query_id", "chunk_id", c("dense").alias("d2"), c("rerank").alias("r2"))
+    """Two rounds of retrieval over all candidates, the second with scores of its own: the first non-zero dense score stays, the newest rerank score wins."""
+    cand = T.candidates(s, d).select("query_id", "chunk_id", "dense", "rerank")
+    a = L.top_k(cand, 16, "dense", "chunk_id").select("query_id", "chunk_id", c("dense").alias("d1"), c("rerank").alias("r1"))
+    b = L.top_k(cand, 16, "rerank", "chunk_id").select("query_id", "chunk_id", (c("dense") / 2).alias("d2"), F.round(1 - c("rerank") / 2, 9).alias("r2"))
     return a.join(b, ["query_id", "chunk_id"], "full_outer").select("query_id", "chunk_id", F.round(F.coalesce(S.truthy(c("d1")), "d2"), 6).alias("dense"), F.round(F.coalesce("r2", "r1"), 6).alias("rerank"))
 
 
@@ -268,15 +278,34 @@ def redundancy_pairs(s, d):
     return j.select("query_id", "chunk_id", "selected_id", F.round(F.least(F.lit(1.0), F.when(n == 0, 0.0).otherwise(F.size(F.array_intersect("w", "v")) / n) + same), 6).alias("redundancy"))
 
 
-_SYN = {"ouou": ("sound", "vowel"), "blest": ("holy",), "whou": ("who", "owl")}
+_ASK = ("renal dosing of metformin", "drug allergy", "Hypertension in diabetes", "plain words")
+_MISSING = (("safety_contraindications", "evidence_quality"), ("dose",), ())
 
 
-@query(f"SELECT item_id, list_sort(list_distinct(list_concat({', '.join(f'CASE WHEN contains(lower(text), {chr(39)}{k}{chr(39)}) THEN {list(v)} ELSE [] END' for k, v in _SYN.items())}, ['evidence', 'quality']))) AS added FROM benchmark".replace("list_concat(", "flatten([").replace(", ['evidence', 'quality'])", ", ['evidence', 'quality']])"))
+@query("""SELECT item_id, CASE WHEN len(x) > 0 THEN q || ' ' || array_to_string(x, ' ') ELSE q END AS query FROM (SELECT item_id, q, list_sort(list_distinct(flatten([
+ CASE WHEN contains(lower(q), 'metformin') THEN ['biguanide', 'glucophage'] ELSE [] END, CASE WHEN contains(lower(q), 'renal') THEN ['kidney', 'egfr', 'creatinine', 'ckd'] ELSE [] END,
+ CASE WHEN contains(lower(q), 'contraindication') THEN ['contraindicated', 'do not use', 'avoid', 'not recommended'] ELSE [] END, CASE WHEN contains(lower(q), 'allergy') THEN ['hypersensitivity', 'allergic reaction'] ELSE [] END,
+ CASE WHEN contains(lower(q), 'hypertension') THEN ['high blood pressure', 'htn'] ELSE [] END, CASE WHEN contains(lower(q), 'diabetes') THEN ['dm', 't2dm', 'type 2 diabetes'] ELSE [] END,
+ ([['safety', 'contraindications', 'evidence', 'quality'], ['dose'], []])[item_id % 3 + 1]]))) AS x
+ FROM (SELECT item_id, (['renal dosing of metformin', 'drug allergy', 'Hypertension in diabetes', 'plain words'])[item_id % 4 + 1] || ' ' || text AS q FROM benchmark))""")
 def expand_query(s, d):
-    low = F.lower("text")
-    none = F.expr("cast(array() as array<string>)")
-    parts = [F.when(low.contains(k), F.array(*map(F.lit, v))).otherwise(none) for k, v in _SYN.items()]
-    return T.table(s, d, "benchmark").select("item_id", F.array_sort(F.array_distinct(F.concat(*parts, F.array(F.lit("evidence"), F.lit("quality"))))).alias("added"))
+    i = c("item_id")
+    ask = F.element_at(F.array(*map(F.lit, _ASK)), (i % 4 + 1).cast("int"))
+    missing = F.element_at(F.array(*[F.array(*map(F.lit, m)).cast("array<string>") for m in _MISSING]), (i % 3 + 1).cast("int"))
+    return T.table(s, d, "benchmark").select("item_id", decide.expand_query(F.concat(ask, F.lit(" "), "text"), missing).alias("query"))
+
+
+@query("""SELECT vec_id, CASE WHEN vec_id % 6 = 5 THEN 0 ELSE 2 END AS n, CASE WHEN vec_id % 6 <> 5 THEN round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 3) END AS total FROM embeddings""")
+def parse_embeddings(s, d):
+    """A service's replies in five shapes, and one that holds no vectors."""
+    i, v = c("vec_id") % 6, F.to_json(F.transform("embedding", lambda x: x.cast("double")))
+    two = F.concat(F.lit("["), v, F.lit(", "), v, F.lit("]"))
+    body = (
+        F.when(i == 0, F.concat(F.lit('{"data": [{"embedding": '), v, F.lit('}, {"index": 1}, {"embedding": '), v, F.lit("}]}"))).when(i == 1, F.concat(F.lit('{"embeddings": '), two, F.lit("}")))
+        .when(i == 2, F.concat(F.lit('{"embeddings": {"float": '), two, F.lit("}}"))).when(i == 3, F.concat(F.lit('{"embeddings": {"float_": '), two, F.lit("}}"))).when(i == 4, two).otherwise('{"error": "busy"}')
+    )
+    r = _vectors(s, d).select("vec_id", decide.embedding_response(body).alias("e"))
+    return r.select("vec_id", F.size("e").alias("n"), F.round(F.aggregate(F.get("e", F.lit(0)), F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
 
 
 @query("""SELECT patient_id, string_agg(array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')[1:140], ' '), ' ' ORDER BY chunk_id) AS synopsis FROM (

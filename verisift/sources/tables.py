@@ -24,7 +24,9 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((d % 11) / 10.0).alias("grade_score"), ((d % 8) / 8.0).alias("reliability"), F.date_add(F.lit("2015-01-01").cast("date"), (d % 3650).cast("int")).alias("effective_date"),
         F.when(d % 9 == 0, "old").otherwise("cur").alias("embedding_space"), F.when(d % 10 == 0, 32).when(d % 23 == 0, 0).otherwise(64).alias("embedding_dim"),
         (d % 13 == 0).alias("obsolete"), (d % 17 == 0).alias("mismatch"), (d % 19 == 0).alias("weak"),
-        pick(("rct", "cohort", "systematic review", "case report", ""), F.floor(d / 3)).alias("design"), pick(("cardio", "renal", "onco"), d).alias("specialty"),
+        F.date_add(F.lit("2014-06-01").cast("date"), (d * 7 % 3650).cast("int")).alias("stamp"), F.when(d % 14 == 0, None).when(d % 15 == 0, "m0").otherwise("m1").alias("embedding_model"),
+        F.when(d % 21 == 0, None).when(d % 22 == 0, 0).otherwise(64).alias("embedding_size"), F.array(pick(("cardio", "renal", "neuro"), F.floor(d / 2)), F.lit("general")).alias("tags"),
+        pick(("rct", "cohort", "systematic review", "case report", "observational", ""), F.floor(d / 3)).alias("design"), pick(("cardio", "renal", "onco"), d).alias("specialty"),
     )
 
 
