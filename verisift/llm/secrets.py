@@ -5,10 +5,13 @@ labelled samples: strings drawn uniformly from the alphabets keys are made of
 (label 1) and ordinary words and identifiers joined as programmers do (label
 0). A token of a text is a finding of kind ``random`` if the log-likelihood
 ratio of the two chains, per transition, exceeds a threshold and no pattern
-has found any part of it. Main path and training are DataFrame functions only.
+has found any part of it. All distinct words of the corpus are samples of the
+ordinary chain, so it follows the corpus in its languages and grows with it. Main path and training are DataFrame functions only.
 
-Null and empty texts have no spans; tokens of any length are scored whole;
-repeated rows get equal results; an empty table gives no rows.
+Null and empty texts have no spans; tokens of ``LEAST_TOKEN`` characters or more
+are scored, whole, however long; repeated rows get equal results; spans that
+begin together are in the order of kinds; only the id and the text are read, so
+other columns may have any names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +31,9 @@ HEX = r"[0-9a-f]{24,}"
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: Shorter tokens are not scored: too few transitions tell them from identifiers.
+LEAST_TOKEN = 20
+TOKEN = rf"[A-Za-z0-9+/_=-]{{{LEAST_TOKEN},}}"
 K = len(ALPHABET) + 1
 
 
@@ -93,13 +98,20 @@ def mean_ratio(token: Column, model: list[float]) -> Column:
 _EMPTY = "cast(array() as array<struct<start:int,kind:int,end:int>>)"
 
 
+#: Matches of a text that are placed together; a text's work is in proportion to its matches.
+_GROUP = 256
+
+
 def _located(text: Column, pattern: str, kind: int, keep) -> Column:
     """Spans of ``pattern`` in code points. The pieces between matches and the matches themselves alternate,
     both found by the same left-to-right search, so their running lengths are the positions."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
     both = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(p.alias("gap"), F.length(m).alias("n"), keep(m).alias("ok")))
-    start = F.struct(F.lit(0).alias("at"), F.expr(_EMPTY).alias("spans"))
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / _GROUP).cast("int")), lambda k: F.slice(both, k * _GROUP + 1, F.lit(_GROUP)))
+    sums = F.transform(groups, lambda g: F.aggregate(g, F.lit(0), lambda a, m: a + m["gap"] + m["n"]))
+    begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("all"))
+    begins = F.aggregate(sums, begin, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")), lambda a: a["all"])
 
     def step(acc, m):
         s = acc["at"] + m["gap"]
@@ -107,7 +119,8 @@ def _located(text: Column, pattern: str, kind: int, keep) -> Column:
         one = F.array(F.struct(s.alias("start"), F.lit(kind).alias("kind"), e.alias("end")))
         return F.struct(e.alias("at"), F.when(m["ok"], F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
 
-    return F.aggregate(both, start, step, lambda acc: acc["spans"])
+    placed = F.zip_with(begins, groups, lambda at, g: F.aggregate(g, F.struct(at.alias("at"), F.expr(_EMPTY).alias("spans")), step, lambda acc: acc["spans"]))
+    return F.when(F.size(found) > 0, F.flatten(placed)).otherwise(F.expr(_EMPTY))
 
 
 def _if(cond: Column, spans: Column) -> Column:
@@ -145,8 +158,12 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def corpus_words(docs: DataFrame, n_docs: int = 500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Ordinary words for the labelled samples: letters-only words of ``n_docs`` documents in hash order (the bound)."""
-    ids = docs.select(F.col(id_col).alias("_i")).distinct().orderBy(F.xxhash64("_i"), "_i").limit(n_docs)
-    some = docs.select(F.col(id_col).alias("_i"), text_or_empty(text_col).alias("_t")).join(F.broadcast(ids), "_i")
-    return some.select(F.explode(F.regexp_extract_all(F.lower("_t"), F.lit(r"\b[a-z]{3,12}\b"), F.lit(0))).alias("word")).distinct()
+def corpus_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``word``: every distinct word of letters in all documents, lower case; what is gathered grows with the corpus."""
+    words = F.explode(F.regexp_extract_all(F.lower(text_or_empty(text_col)), F.lit(r"\b\p{L}{3,24}\b"), F.lit(0)))
+    return docs.select(words.alias("word")).distinct()
+
+
+def ordinary(words: DataFrame) -> DataFrame:
+    """Words as labelled samples of the ordinary chain."""
+    return words.select(F.col("word").alias("token"), F.lit(0).alias("label"))
