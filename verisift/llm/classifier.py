@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keyed
-from .stats import RATIOS, measure, words_of
+from .stats import RATIOS, measure, one_text_each, words_of
 
 LABELLERS = ("short", "symbols", "repeats", "dup_lines", "top_word", "upper", "word_len", "lexicon", "plain", "spread")
 SALT = 1 << 20
@@ -141,15 +141,21 @@ def classify(docs: DataFrame, lexicon: list[str], n_sample: int = 4000, buckets:
     words = frozenset(lexicon)
     posterior = fit_labels(count_patterns(docs, lexicon))
     ids = docs.select(F.col("doc_id").alias("_i")).where("_i is not null").distinct().orderBy(F.xxhash64("_i", F.lit(5)), "_i").limit(n_sample)
-    sample = docs.select(F.col("doc_id").alias("_i"), F.col("text").alias("_t")).join(F.broadcast(ids), "_i").select("_i", "_t")
+    sample = one_text_each(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("_i"), "left_semi"))
+
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(buckets)
         for b in it:
-            for i in range(b.num_rows):
-                t = b.column(1)[i].as_py() or ""
-                v, ratio, n = votes(t, words)
-                f = features(t, ratio, n, hasher)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([f[0]], pa.list_(pa.int64())), pa.array([f[1]], pa.list_(pa.float64())), pa.array([posterior.get(v, 0.5)])], names=["id", "f", "x", "p"])
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                fs, xs, ps = [], [], []
+                for t in part.column(1).to_pylist():
+                    v, ratio, n = votes(t, words)
+                    index, value = features(t, ratio, n, hasher)
+                    fs.append(index)
+                    xs.append(value)
+                    ps.append(posterior.get(v, 0.5))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fs, pa.list_(pa.int64())), pa.array(xs, pa.list_(pa.float64())), pa.array(ps, pa.float64())], names=["id", "f", "x", "p"])
 
     got = sorted(sample.mapInArrow(encode, "id long, f array<long>, x array<double>, p double").collect(), key=lambda r: (r["id"], r["f"]))
     w, bias = train([(np.array(r["f"], np.int64), np.array(r["x"])) for r in got], np.array([r["p"] for r in got]), buckets) if got else (np.zeros(buckets), 0.0)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import classifier, decontaminate, html, lines, mixing, neardup, repeats, rules, secrets, sharding
+from .common import stage, unstage
 from .stats import labelled_sample, learn_lexicon
 
 
@@ -17,7 +18,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = secrets.train(secrets.labelled_samples(spark, secrets.corpus_words(docs)))
+    words = stage(secrets.corpus_words(docs), "secret-words")
+    model = secrets.train(secrets.labelled_samples(spark, words).unionByName(secrets.ordinary(words)))
+    unstage(words)
     return secrets.digest(secrets.scan(docs, model))
 
 
@@ -38,8 +41,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    sample = labelled_sample(docs, labels, 4000).select("text", "toxic").distinct().collect()
-    lexicon = learn_lexicon([(r["text"], r["toxic"] or 0) for r in sample])
+    lexicon = learn_lexicon(labelled_sample(docs, labels, 4000))
     return classifier.classify(docs, lexicon).drop("th")
 
 

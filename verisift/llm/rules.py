@@ -13,14 +13,16 @@ repeated rows get equal results.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed
+from .common import keyed, unstage
 from .stats import RATIOS, RAW, labelled_sample, learn_lexicon, measure, with_stats
 
 FEATURES = (*RATIOS, "n_words")
@@ -131,14 +133,24 @@ class DecisionList:
 
 
 def fit(docs: DataFrame, labels: DataFrame, n_rows: int = 4000) -> DecisionList:
-    """Fit on at most ``n_rows`` labelled documents; bad means quality 0 or toxic 1."""
-    rows = labelled_sample(docs, labels, n_rows).collect()
-    rows = list({r["text"]: r for r in sorted(rows, key=lambda r: r["doc_id"])}.values())  # copies count once
-    lexicon = learn_lexicon([(r["text"], r["toxic"] or 0) for r in rows])
+    """Fit on at most ``n_rows`` labelled documents; bad means quality 0 or toxic 1. Only their statistics come to the driver."""
+    sample = labelled_sample(docs, labels, n_rows)
+    lexicon = learn_lexicon(sample)
     words = frozenset(lexicon)
-    x = np.array([[*(m := measure(r["text"], words))[1], m[0][0]] for r in rows], float).reshape(-1, len(FEATURES))
-    bad = np.array([r["quality"] == 0 or r["toxic"] == 1 for r in rows], bool)
-    grow = np.array([xxhash.xxh64_intdigest(r["text"]) % 3 != 0 for r in rows], bool)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            texts = b.column(1).to_pylist()
+            x = [[*(m := measure(t, words))[1], float(m[0][0])] for t in texts]
+            grow = [xxhash.xxh64_intdigest(t) % 3 != 0 for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64())), pa.array(grow, pa.bool_()), b.column(2)], names=["doc_id", "x", "grow", "bad"])
+
+    bad = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))
+    kind = dict(sample.dtypes)["doc_id"]
+    rows = sorted(sample.select("doc_id", "text", bad.alias("bad")).mapInArrow(run, f"doc_id {kind}, x array<double>, grow boolean, bad boolean").collect(), key=lambda r: r["doc_id"])
+    unstage(sample)
+    x = np.array([r["x"] for r in rows], float).reshape(-1, len(FEATURES))
+    bad, grow = (np.array([r[c] for r in rows], bool) for c in ("bad", "grow"))
     usable = (x[:, -1] >= 50) & (100 * x[:, FEATURES.index("repeat_ratio")] <= 50)  # the base rule has the others
     return DecisionList(learn(x[usable], bad[usable], grow[usable]) if len(x) else [], lexicon)
 

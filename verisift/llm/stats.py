@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage
+
 SYMBOLS = "#*$%&|<>"
 #: Raw statistics, then the ratios that rules and labellers are made of.
 RAW = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -94,19 +96,40 @@ def with_stats(rows: DataFrame, lexicon: Iterable[str] = ()) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def one_text_each(rows: DataFrame) -> DataFrame:
+    """``doc_id, text`` of ``rows``, one text (of least hash) an id, so that a bound on ids bounds the rows."""
+    return rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("th"), "text")).alias("x")).select("doc_id", "x.text")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, n_rows: int) -> DataFrame:
-    """``doc_id, text, quality, toxic`` of at most ``n_rows`` labelled documents, in hash order: the documented bound of fitting."""
+    """``doc_id, text, quality, toxic`` of at most ``n_rows`` labelled documents, in hash order: the documented bound of fitting.
+
+    The texts stay on the executors, in the shared folder; copies count once.
+    """
     some = labels.where("doc_id is not null").select("doc_id", "quality", "toxic").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_rows)
-    text = docs.where("text is not null").select("doc_id", "text")
-    return text.join(F.broadcast(some), "doc_id")  # at most n_rows rows are sent
-
-
-def learn_lexicon(sample: list[tuple[str, int]], least_share: float = 0.08, least_docs: int = 3, ratio: float = 20.0) -> list[str]:
-    """Words that mark the positive (toxic) texts: frequent there, next to absent elsewhere."""
-    pos, neg, n = Counter(), Counter(), [0, 0]
-    for text, y in sample:
-        words = set(_LETTERS.findall(text.lower()))
-        (pos if y else neg).update(words)
-        n[bool(y)] += 1
-    least = max(least_docs, least_share * n[1])
-    return sorted(w for w, k in pos.items() if k >= least and len(w) > 2 and (k + 0.5) / (n[1] + 1) >= ratio * (neg[w] + 0.5) / (n[0] + 1))
+    some = F.broadcast(some)  # at most n_rows rows are sent
+    text = one_text_each(docs.where("text is not null").select("doc_id", "text").join(some.select("doc_id"), "doc_id", "left_semi"))
+    known = text.join(some, "doc_id")
+    return stage(known.groupBy("text").agg(F.max(F.struct("doc_id", "quality", "toxic")).alias("x")).select("x.doc_id", "text", "x.quality", "x.toxic"), "labelled")
+
+
+def learn_lexicon(sample: DataFrame, least_share: float = 0.08, least_docs: int = 3, ratio: float = 20.0) -> list[str]:
+    """Words that mark the positive (toxic) texts: frequent there, next to absent elsewhere.
+
+    Each task counts its texts with a word; what comes back is the lexicon, not the counts.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pos, neg = Counter(), Counter()
+        for b in it:
+            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                (pos if y else neg).update({w for w in _LETTERS.findall(text.lower()) if len(w) > 2})
+        words = [*pos, *(w for w in neg if w not in pos)]
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([pos[w] for w in words], pa.int64()), pa.array([neg[w] for w in words], pa.int64())], names=["word", "pos", "neg"])
+
+    toxic = F.coalesce(F.col("toxic") != 0, F.lit(False))
+    n = sample.agg(F.count_if(toxic).alias("pos"), F.count_if(~toxic).alias("neg")).first()
+    least = max(least_docs, least_share * n["pos"])
+    counts = sample.select("text", toxic.alias("y")).mapInArrow(run, "word string, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    marks = counts.where((F.col("pos") >= least) & ((F.col("pos") + 0.5) / (n["pos"] + 1) >= ratio * (F.col("neg") + 0.5) / (n["neg"] + 1)))
+    return sorted(r["word"] for r in marks.select("word").collect())  # each stands in least_share of the positive texts
