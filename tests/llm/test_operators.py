@@ -283,6 +283,58 @@ def repeats_brute(texts, length, keep_first):
     return out
 
 
+def test_suffix_order():
+    r = random.Random(32)
+    for _ in range(60):
+        pieces = [bytes(r.choice(b"ab\0") for _ in range(r.randint(1, 40))) for _ in range(r.randint(1, 6))]
+        text, ends = b"".join(pieces), np.cumsum([len(p) for p in pieces])
+        end = np.repeat(ends, [len(p) for p in pieces])
+        order, common = repeats.suffix_order(np.frombuffer(text, np.uint8), end, 64)
+        suffix = [text[i : end[i]] for i in range(len(text))]
+        assert [suffix[i] for i in order] == sorted(suffix)
+        for x, y, c in zip(order[:-1], order[1:], common[1:], strict=True):
+            a, b = suffix[x], suffix[y]
+            assert c == next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_groups_by_suffix_order_and_in_parts_equal_direct_comparison(monkeypatch, keep_first):
+    r = random.Random(33)
+    gram = bytes(r.randrange(256) for _ in range(32))
+    sides = [[bytes(r.choice(b"xyz") for _ in range(170)) for _ in range(4)] for _ in range(2)]
+    rows = []
+    for i in range(60):
+        left, right = r.choice([0, 40, 100, 168]), r.choice([32, 90, 160, 200])
+        a, b = bytearray(r.choice(sides[0])), bytearray(r.choice(sides[1]))
+        if r.random() < 0.6:
+            a[r.randrange(170)] = b[r.randrange(168)] = 33
+        rows.append((left, bytes(a)[170 - left :] + (gram + bytes(b))[:right], (r.randrange(9) << 40) + 1000 * i, r.random() < 0.1 and not keep_first))
+    monkeypatch.setattr(repeats, "DIRECT", 100)
+    want = repeats.match_group(rows, 200, 32, keep_first)
+    assert 5 < sum(w is not None for w in want) < 60
+    assert repeats.previous_factors(rows, 200, keep_first) == want
+    groups = defaultdict(list)
+    for i, (left, ctx, place, partner) in enumerate(rows):
+        for key, a, c in repeats.parts(7, left, ctx, False, 200, 32):
+            groups[key].append((i, (a, c, place, partner)))
+    best = {}
+    for g in groups.values():
+        for (i, _), f in zip(g, repeats.previous_factors([x for _, x in g], 200, keep_first), strict=True):
+            if f:
+                best[i] = (max(best.get(i, f)[0], f[0]), max(best.get(i, f)[1], f[1]))
+    assert [best.get(i) for i in range(60)] == want
+
+
+@pytest.mark.parametrize("split", [1, 20, repeats.SPLIT])
+def test_repeats_of_many_contexts(spark, split):
+    """One passage in other surroundings each time, so that its k-grams have many contexts; groups in order and in parts."""
+    r = random.Random(34)
+    core = prose(r, 45)[:190]
+    texts = [prose(r, 20)[: r.randint(0, 90)] + r.choice(["ab ", "cd "]) + core + r.choice([" ef gh ij kl", " mn op qr st"]) + prose(r, 20)[: r.randint(0, 90)] for _ in range(80)]
+    got = {x.doc_id: bytes(x.kept) for x in repeats.without_repeats(table(spark, texts), keep_first=False, split_limit=split).collect()}
+    assert [got[i] for i in range(80)] == repeats_brute([t.encode() for t in texts], 200, False)
+
+
 @pytest.mark.parametrize("keep_first", [False, True])
 @pytest.mark.parametrize("limit", [100_000, 1])
 def test_repeats(spark, keep_first, limit):

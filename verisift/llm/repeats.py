@@ -8,21 +8,29 @@ too. Only suffixes that can matter are put in order:
    so only suffixes at anchors whose k-gram recurs are candidates.
 2. Anchors with equal context (all windows they can be the anchor of) match
    as a whole; that is an aggregate on the contexts' hash.
-3. Of the rest, the contexts themselves are put in suffix order group by
-   group, shifted by each offset: neighbours that share ``length`` bytes are
-   one LCP interval, and its smallest position is the earlier match of all
-   others (the previous or next smaller position in suffix order). A group's
-   result is the farthest bytes to the left and right that are covered; all
-   of an anchor's windows overlap at its k-gram, so what lies between is too.
-   Groups beyond ``group_limit`` contexts are resolved by a distributed
-   aggregate over all their windows instead.
+3. The other contexts of a k-gram form a group. The suffixes of its contexts
+   are ordered by prefix doubling, and neighbours' common prefixes follow from
+   the ranks of the doublings. Where neighbours share ``length`` bytes they lie
+   in one LCP interval: its smallest position is the previous or next smaller
+   one that the longest previous factor of every other position there is found
+   at. A context's result is the farthest bytes to the left and right that are
+   covered; all of an anchor's windows overlap at its k-gram, so what lies
+   between is too. In groups of up to ``DIRECT`` contexts the common bytes of
+   each two are counted directly, which gives the same factors for less work.
+
+A group of more than ``SPLIT`` contexts is split by content: the windows that
+begin ``BLOCK`` bytes or less from each other share a core, and contexts can
+only match in these windows if their cores are equal, so each core is a group
+of its own. Groups beyond ``group_limit`` contexts are resolved by a distributed
+aggregate over all their windows instead.
 
 ``keep_first`` keeps the first occurrence in the order of (document id,
 text hash, position); otherwise all occurrences go.
 
 Null and empty texts have no bytes; a text shorter than ``length`` is left
-alone; rows that repeat a document are copies of each other like any others;
-an empty table gives no rows.
+alone, texts of any length are hashed in pieces; rows that repeat a document
+are copies of each other like any others; only the id and the text are read, so
+other columns may have any names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,6 +49,12 @@ from .common import keyed, packed, release, same_doc, stage, unstage
 
 LENGTH = 200
 GRAM = 32
+#: Contexts of a group that are compared directly; of one that is not split; bytes between the windows of a part.
+DIRECT = 12
+SPLIT = 1024
+BLOCK = 24
+#: Bytes of groups that are put in suffix order together.
+TOGETHER = 1 << 18
 _TABLE = np.random.default_rng(41).integers(1, 1 << 63, 256, np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
@@ -135,53 +149,98 @@ def _common(x: tuple, y: tuple, length: int, k: int) -> tuple[int, int]:
     return left, right
 
 
+def suffix_order(text: np.ndarray, end: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of ``text`` to ``depth`` bytes or more, and the common prefix of each suffix with the one before it.
+
+    ``end`` says for each position where its suffix ends. By prefix doubling from seven bytes; the common prefixes come
+    from the ranks of all doublings, the longest first.
+    """
+    n = len(text)
+    at = np.arange(n)
+    rest = end - at
+    key = np.zeros(n, np.int64)
+    for j in range(7):
+        key = key * 257 + np.where(j < rest, text[np.minimum(at + j, n - 1)].astype(np.int64) + 1, 0)
+    rank = np.unique(key, return_inverse=True)[1]
+    size, levels = 7, [(7, rank)]
+    while size < depth and rank.max() < n - 1:
+        key = rank * (n + 1) + np.where(size < rest, rank[np.minimum(at + size, n - 1)] + 1, 0)
+        rank = np.unique(key, return_inverse=True)[1]
+        size *= 2
+        levels.append((size, rank))
+    order = np.argsort(rank, kind="stable")
+    a, b = order[:-1], order[1:]
+    most = np.minimum(rest[a], rest[b])
+    common = np.zeros(max(0, n - 1), np.int64)
+    for size, rank in reversed(levels):
+        same = (common < most) & (rank[np.minimum(a + common, n - 1)] == rank[np.minimum(b + common, n - 1)])
+        common = np.where(same, np.minimum(common + size, most), common)
+    for _ in range(6):
+        common += (common < most) & (text[np.minimum(a + common, n - 1)] == text[np.minimum(b + common, n - 1)])
+    return order, np.concatenate(([0], common))
+
+
+def previous_factors(rows: list[tuple[int, bytes, int, bool]], length: int, keep_first: bool) -> list[tuple[int, int] | None]:
+    """As ``match_group``, in suffix order: which windows have a factor of ``length`` bytes at an earlier (any other) position."""
+    text = np.frombuffer(b"".join(r[1] for r in rows), np.uint8)
+    sizes = np.array([len(r[1]) for r in rows])
+    ends = np.cumsum(sizes)
+    own = np.repeat(np.arange(len(rows)), sizes)
+    at = np.arange(len(text))
+    offset = np.array([r[0] for r in rows])[own] - (at - (ends - sizes)[own])  # bytes to the anchor
+    place = np.array([r[2] for r in rows], np.int64)[own] - offset
+    order, common = suffix_order(text, ends[own], length)
+    starts = np.flatnonzero(common < length)  # LCP intervals
+    first, last = np.minimum.reduceat(place[order], starts), np.maximum.reduceat(place[order], starts)
+    interval = np.cumsum(common < length) - 1
+    found = (place[order] > first[interval]) if keep_first else (first < last)[interval]
+    hit = order[found]
+    hit = hit[(ends[own[hit]] - hit >= length) & (offset[hit] >= 0)]
+    left, right = np.full(len(rows), -1), np.full(len(rows), -1)
+    np.maximum.at(left, own[hit], offset[hit])
+    np.maximum.at(right, own[hit], length - offset[hit])
+    return [None if r[3] or a < 0 else (int(a), int(b)) for r, a, b in zip(rows, left, right, strict=True)]
+
+
 def match_group(rows: list[tuple[int, bytes, int, bool]], length: int, k: int, keep_first: bool) -> list[tuple[int, int] | None]:
-    """For each context (bytes left of the anchor, context, rank of its position, whether only a partner): the
+    """For each context (bytes left of the anchor, context, place of its anchor, whether only a partner): the
     bytes covered to the left of the anchor and from it on, or None."""
     n = len(rows)
+    if n > DIRECT:
+        return previous_factors(rows, length, keep_first)
     best: list[list[int] | None] = [None] * n
-    if n <= 12:
-        made = []
-        for left, ctx, _, _ in rows:
-            right = ctx[left:]
-            made.append((left, len(right), int.from_bytes(ctx[:left], "big"), int.from_bytes(right.ljust(length, b"\0"), "big")))
-        for i in range(n):
-            for j in range(i + 1, n):
-                a, b = _common(made[i], made[j], length, k)
-                if a + b >= length:
-                    for x, y in ((i, j), (j, i)):
-                        if not keep_first or rows[y][2] < rows[x][2]:
-                            if best[x] is None:
-                                best[x] = [a, b]
-                            else:
-                                best[x] = [max(best[x][0], a), max(best[x][1], b)]
-        return [None if r[3] or b is None else (b[0], b[1]) for r, b in zip(rows, best, strict=True)]
-
-    def matched(o: int) -> list[int]:
-        """Rows whose window that begins o bytes left of the anchor has a match (an earlier one for keep_first)."""
-        suffix = [(ctx[left - o : left - o + length], rank, i) for i, (left, ctx, rank, _) in enumerate(rows) if o <= left and len(ctx) - left >= length - o]
-        suffix.sort()
-        hit, prev = [], None
-        for s, rank, i in suffix:
-            if prev is not None and prev[0] == s:  # in one LCP interval with the next smaller position
-                hit.append(i)
-                if not keep_first and prev[1]:
-                    hit.append(prev[2])
-                prev = (s, False, i)
-            else:
-                prev = (s, True, i)
-        return hit
-
-    for o in range(length - k, -1, -1):
-        for i in matched(o):
-            if best[i] is None:
-                best[i] = [o, length - o]
-            else:
-                best[i][1] = length - o
+    made = []
+    for left, ctx, _, _ in rows:
+        right = ctx[left:]
+        made.append((left, len(right), int.from_bytes(ctx[:left], "big"), int.from_bytes(right.ljust(length, b"\0"), "big")))
+    for i in range(n):
+        for j in range(i + 1, n):
+            a, b = _common(made[i], made[j], length, k)
+            if a + b >= length:
+                for x, y in ((i, j), (j, i)):
+                    if not keep_first or rows[y][2] < rows[x][2]:
+                        if best[x] is None:
+                            best[x] = [a, b]
+                        else:
+                            best[x] = [max(best[x][0], a), max(best[x][1], b)]
     return [None if r[3] or b is None else (b[0], b[1]) for r, b in zip(rows, best, strict=True)]
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_first: bool = False, group_limit: int = 100_000) -> DataFrame:
+def parts(key: int, left: int, ctx: bytes, whole: bool, length: int, k: int) -> Iterator[tuple[int, int, bytes]]:
+    """(key, bytes left of the anchor, context) of a context: itself, or where its group has to be split, its part for
+    each block of windows, under the hash of the bytes that all of the block share."""
+    if whole:
+        yield key, left, ctx
+        return
+    for lo in range(0, length - k + 1, BLOCK + 1):
+        hi = min(lo + BLOCK, length - k)
+        if left >= lo and len(ctx) - left >= length - hi:
+            core = xxhash.xxh3_64_intdigest(ctx[left - lo : left - hi + length], (key ^ lo) & _M64) - (1 << 63)
+            begin = max(0, left - hi)
+            yield core, left - begin, ctx[begin : left - lo + length]
+
+
+def repeated(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_first: bool = False, split_limit: int = SPLIT, group_limit: int = 100_000) -> DataFrame:
     """``doc_id, th, spans``: arrays of (start, end) in bytes, overlapping, that go. Documents without any are left out."""
     spark = docs.sparkSession
     reach = length - k
@@ -207,8 +266,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_first: b
     release(spark)
 
     # Distinct contexts of one k-gram: fetch the bytes of one occurrence each.
-    wanted = classes.join(sizes.select("h"), "h", "left_semi").select("h", "cx", "n", "p0.*")
-    wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "cx", "n", "pos")).alias("want"))
+    wanted = classes.join(sizes, "h").select("h", "cx", "n", "size", "p0.*")
+    wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "cx", "n", "pos", "size")).alias("want"))
     source = packed(keyed(docs))
     fetched = wanted.join(source, same_doc(wanted, source)).select(wanted["doc_id"], wanted["th"], "z", "want")
 
@@ -222,11 +281,11 @@ def repeated(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_first: b
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([w["h"] for w in want], pa.int64()), pa.array([w["cx"] for w in want], pa.int64()), pa.array([w["n"] for w in want], pa.int64()),
                      batch.column(0).take(own), batch.column(1).take(own), pa.array([w["pos"] for w in want], pa.int32()),
-                     pa.array([w["pos"] - s for w, (s, _) in zip(want, bounds, strict=True)], pa.int32()), pa.array([raw[s:e] for s, e in bounds], pa.binary())],
-                    names=["h", "cx", "n", "doc_id", "th", "pos", "left", "ctx"],
+                     pa.array([w["pos"] - s for w, (s, _) in zip(want, bounds, strict=True)], pa.int32()), pa.array([raw[s:e] for s, e in bounds], pa.binary()), pa.array([w["size"] for w in want], pa.int64())],
+                    names=["h", "cx", "n", "doc_id", "th", "pos", "left", "ctx", "size"],
                 )
 
-    contexts = fetched.mapInArrow(cut, f"h long, cx long, n long, doc_id {kind}, th long, pos int, left int, ctx binary")
+    contexts = fetched.mapInArrow(cut, f"h long, cx long, n long, doc_id {kind}, th long, pos int, left int, ctx binary, size long")
     large = sizes.where(F.col("size") > group_limit).select("h")
     oversize = bool(large.take(1))
     if oversize:
@@ -235,18 +294,42 @@ def repeated(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_first: b
 
     spans = f"doc_id {kind}, th long, s int, e int"
 
+    def split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for at in range(0, batch.num_rows, 1024):
+                b = batch.slice(at, 1024)
+                made = [(i, *p) for i, (h, left, ctx, size) in enumerate(zip(*(b.column(c).to_pylist() for c in ("h", "left", "ctx", "size")), strict=True)) for p in parts(h, left, ctx, size <= split_limit, length, k)]
+                own = pa.array([m[0] for m in made], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([m[1] for m in made], pa.int64()), *(b.column(c).take(own) for c in ("cx", "n", "doc_id", "th", "pos")), pa.array([m[2] for m in made], pa.int32()), pa.array([m[3] for m in made], pa.binary())],
+                    names=["key", "cx", "n", "doc_id", "th", "pos", "left", "ctx"],
+                )
+
     def groups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by h; a group may go over batches."""
+        """Rows come sorted by key; a group may go over batches. Large groups are put in order together."""
         held: list[dict] = []
+        waiting: list[dict] = []
         ready: list[tuple] = []
-
-        def settle() -> None:
-            if len(held) > 1:
-                order = sorted(range(len(held)), key=lambda i: (held[i]["doc_id"] is not None, held[i]["doc_id"] or 0, held[i]["th"], held[i]["pos"]))
-                rank = {i: r for r, i in enumerate(order)}
-                found = match_group([(x["left"], x["ctx"], rank[i], x["n"] > 1 and not keep_first) for i, x in enumerate(held)], length, k, keep_first)
-                ready.extend((x["doc_id"], x["th"], x["pos"] - f[0], x["pos"] + f[1]) for x, f in zip(held, found, strict=True) if f)
+        weight = 0
+
+        def settle(rows: list[dict]) -> None:
+            if len(rows) > 1:
+                # The place of an anchor: its document's number, in order, then the position.
+                docs = {d: i for i, d in enumerate(sorted({(x["doc_id"] is not None, x["doc_id"] or 0, x["th"]) for x in rows}))}
+                place = [(docs[x["doc_id"] is not None, x["doc_id"] or 0, x["th"]] << 40) + x["pos"] for x in rows]
+                found = match_group([(x["left"], x["ctx"], p, x["n"] > 1 and not keep_first) for x, p in zip(rows, place, strict=True)], length, k, keep_first)
+                ready.extend((x["doc_id"], x["th"], x["pos"] - f[0], x["pos"] + f[1]) for x, f in zip(rows, found, strict=True) if f)
+            rows.clear()
+
+        def group() -> int:
+            """The group is matched now, or put aside; returns the bytes put aside."""
+            if len(held) <= DIRECT:
+                settle(held)
+                return 0
+            waiting.extend(held)
+            added = sum(len(x["ctx"]) for x in held)
             held.clear()
+            return added
 
         def out() -> pa.RecordBatch:
             cols = list(zip(*ready, strict=True)) or [[]] * 4
@@ -259,16 +342,21 @@ def repeated(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_first: b
             doc_type = batch.schema.field("doc_id").type
             for at in range(0, batch.num_rows, 1024):
                 for x in batch.slice(at, 1024).to_pylist():
-                    if held and held[0]["h"] != x["h"]:
-                        settle()
+                    if held and held[0]["key"] != x["key"]:
+                        weight += group()
+                        if weight > TOGETHER:
+                            settle(waiting)
+                            weight = 0
                     if not held or held[-1]["cx"] != x["cx"]:  # rows that repeat a document bring a context twice
                         held.append(x)
                 if len(ready) > 4096:
                     yield out()
-        settle()
+        group()
+        settle(waiting)
         yield out()
 
-    near = small.repartition("h").sortWithinPartitions("h", "cx").mapInArrow(groups, spans)
+    split_rows = small.mapInArrow(split, f"key long, cx long, n long, doc_id {kind}, th long, pos int, left int, ctx binary")
+    near = split_rows.repartition("key").sortWithinPartitions("key", "cx").mapInArrow(groups, spans)
     near = near.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     every = whole.unionByName(stage(near, "lpf-near"))
     if oversize:
