@@ -8,12 +8,14 @@ too. Only suffixes that can matter are put in order:
    so only suffixes at anchors whose k-gram recurs are candidates.
 2. Anchors with equal context (all windows they can be the anchor of) match
    as a whole; that is an aggregate on the contexts' hash.
-3. The other contexts of a k-gram form a group. The suffixes of its contexts
-   are ordered by prefix doubling, and neighbours' common prefixes follow from
-   the ranks of the doublings. Where neighbours share ``length`` bytes they lie
-   in one LCP interval: its smallest position is the previous or next smaller
-   one that the longest previous factor of every other position there is found
-   at. A context's result is the farthest bytes to the left and right that are
+3. The other contexts of a k-gram form a group. The suffixes at its anchors
+   are put in order, and so are the bytes before them, read backwards; common
+   bytes of neighbours give the LCP intervals of every depth on both sides.
+   Windows that begin o bytes before their anchors are equal if they lie in one
+   interval of depth ``length`` - o to the right and in one of depth o to the
+   left. The smallest position there is the previous or next smaller one in
+   suffix order at which every other position has its longest previous factor.
+   A context's result is the farthest bytes to the left and right that are
    covered; all of an anchor's windows overlap at its k-gram, so what lies
    between is too. In groups of up to ``DIRECT`` contexts the common bytes of
    each two are counted directly, which gives the same factors for less work.
@@ -53,8 +55,8 @@ GRAM = 32
 DIRECT = 12
 SPLIT = 1024
 BLOCK = 24
-#: Bytes of groups that are put in suffix order together.
-TOGETHER = 1 << 18
+#: Contexts of groups that are put in suffix order together.
+TOGETHER = 1 << 12
 _TABLE = np.random.default_rng(41).integers(1, 1 << 63, 256, np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
@@ -149,57 +151,47 @@ def _common(x: tuple, y: tuple, length: int, k: int) -> tuple[int, int]:
     return left, right
 
 
-def suffix_order(text: np.ndarray, end: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array of ``text`` to ``depth`` bytes or more, and the common prefix of each suffix with the one before it.
-
-    ``end`` says for each position where its suffix ends. By prefix doubling from seven bytes; the common prefixes come
-    from the ranks of all doublings, the longest first.
-    """
-    n = len(text)
-    at = np.arange(n)
-    rest = end - at
-    key = np.zeros(n, np.int64)
-    for j in range(7):
-        key = key * 257 + np.where(j < rest, text[np.minimum(at + j, n - 1)].astype(np.int64) + 1, 0)
-    rank = np.unique(key, return_inverse=True)[1]
-    size, levels = 7, [(7, rank)]
-    while size < depth and rank.max() < n - 1:
-        key = rank * (n + 1) + np.where(size < rest, rank[np.minimum(at + size, n - 1)] + 1, 0)
-        rank = np.unique(key, return_inverse=True)[1]
-        size *= 2
-        levels.append((size, rank))
-    order = np.argsort(rank, kind="stable")
-    a, b = order[:-1], order[1:]
-    most = np.minimum(rest[a], rest[b])
-    common = np.zeros(max(0, n - 1), np.int64)
-    for size, rank in reversed(levels):
-        same = (common < most) & (rank[np.minimum(a + common, n - 1)] == rank[np.minimum(b + common, n - 1)])
-        common = np.where(same, np.minimum(common + size, most), common)
-    for _ in range(6):
-        common += (common < most) & (text[np.minimum(a + common, n - 1)] == text[np.minimum(b + common, n - 1)])
-    return order, np.concatenate(([0], common))
-
-
-def previous_factors(rows: list[tuple[int, bytes, int, bool]], length: int, keep_first: bool) -> list[tuple[int, int] | None]:
+def suffix_order(suffixes: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each suffix (of ``width`` bytes at most) in their order, and the common prefix of each place's suffix with the one before."""
+    n = len(suffixes)
+    size = np.array([len(s) for s in suffixes])
+    flat = b"".join(s.ljust(width, b"\0") for s in suffixes)
+    by_bytes = np.unique(np.frombuffer(flat, f"S{width}"), return_inverse=True)[1]
+    order = np.lexsort((size, by_bytes))  # of suffixes that differ by zero bytes at the end, the shorter is first
+    table = np.frombuffer(flat, np.uint8).reshape(n, width)[order]
+    differ = table[1:] != table[:-1]
+    common = np.where(differ.any(1), differ.argmax(1), width)
+    common = np.minimum(common, np.minimum(size[order][1:], size[order][:-1]))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    return place, np.concatenate(([0], common))
+
+
+def previous_factors(rows: list[tuple[int, bytes, int, bool]], length: int, k: int, keep_first: bool) -> list[tuple[int, int] | None]:
     """As ``match_group``, in suffix order: which windows have a factor of ``length`` bytes at an earlier (any other) position."""
-    text = np.frombuffer(b"".join(r[1] for r in rows), np.uint8)
-    sizes = np.array([len(r[1]) for r in rows])
-    ends = np.cumsum(sizes)
-    own = np.repeat(np.arange(len(rows)), sizes)
-    at = np.arange(len(text))
-    offset = np.array([r[0] for r in rows])[own] - (at - (ends - sizes)[own])  # bytes to the anchor
-    place = np.array([r[2] for r in rows], np.int64)[own] - offset
-    order, common = suffix_order(text, ends[own], length)
-    starts = np.flatnonzero(common < length)  # LCP intervals
-    first, last = np.minimum.reduceat(place[order], starts), np.maximum.reduceat(place[order], starts)
-    interval = np.cumsum(common < length) - 1
-    found = (place[order] > first[interval]) if keep_first else (first < last)[interval]
-    hit = order[found]
-    hit = hit[(ends[own[hit]] - hit >= length) & (offset[hit] >= 0)]
-    left, right = np.full(len(rows), -1), np.full(len(rows), -1)
-    np.maximum.at(left, own[hit], offset[hit])
-    np.maximum.at(right, own[hit], length - offset[hit])
-    return [None if r[3] or a < 0 else (int(a), int(b)) for r, a, b in zip(rows, left, right, strict=True)]
+    n = len(rows)
+    before = np.array([r[0] for r in rows])
+    after = np.array([len(r[1]) for r in rows]) - before
+    at = np.array([r[2] for r in rows], np.int64)
+    right, common_right = suffix_order([r[1][r[0] :] for r in rows], length)
+    left, common_left = suffix_order([r[1][: r[0]][::-1] for r in rows], max(1, length - k))
+    most, least = np.full(n, -1), np.full(n, -1)
+    for o in range(length - k + 1):
+        own = np.flatnonzero((before >= o) & (after >= length - o))
+        if len(own) < 2:
+            continue
+        # The LCP intervals of these depths; equal pairs of intervals are equal windows.
+        key = np.cumsum(common_right < length - o)[right[own]] * (n + 1) + np.cumsum(common_left < o)[left[own]]
+        _, which, count = np.unique(key, return_inverse=True, return_counts=True)
+        if keep_first:
+            first = np.full(len(count), np.iinfo(np.int64).max)
+            np.minimum.at(first, which, at[own])
+            hit = own[at[own] > first[which]]
+        else:
+            hit = own[count[which] > 1]
+        least[hit[least[hit] < 0]] = o
+        most[hit] = o
+    return [None if r[3] or a < 0 else (int(a), length - int(b)) for r, a, b in zip(rows, most, least, strict=True)]
 
 
 def match_group(rows: list[tuple[int, bytes, int, bool]], length: int, k: int, keep_first: bool) -> list[tuple[int, int] | None]:
@@ -207,7 +199,7 @@ def match_group(rows: list[tuple[int, bytes, int, bool]], length: int, k: int, k
     bytes covered to the left of the anchor and from it on, or None."""
     n = len(rows)
     if n > DIRECT:
-        return previous_factors(rows, length, keep_first)
+        return previous_factors(rows, length, k, keep_first)
     best: list[list[int] | None] = [None] * n
     made = []
     for left, ctx, _, _ in rows:
@@ -273,61 +265,59 @@ def repeated(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_first: b
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
+        names = ["key", "cx", "n", "size", "pos", "left", "ctx"]
+        types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
         for batch in it:
-            for i in range(batch.num_rows):
-                raw, want = unpack(batch.column(2)[i].as_py()), batch.column(3)[i].as_py()
-                bounds = [context(len(raw), w["pos"], length, k) for w in want]
-                own = pa.array(np.full(len(want), i))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([w["h"] for w in want], pa.int64()), pa.array([w["cx"] for w in want], pa.int64()), pa.array([w["n"] for w in want], pa.int64()),
-                     batch.column(0).take(own), batch.column(1).take(own), pa.array([w["pos"] for w in want], pa.int32()),
-                     pa.array([w["pos"] - s for w, (s, _) in zip(want, bounds, strict=True)], pa.int32()), pa.array([raw[s:e] for s, e in bounds], pa.binary()), pa.array([w["size"] for w in want], pa.int64())],
-                    names=["h", "cx", "n", "doc_id", "th", "pos", "left", "ctx", "size"],
-                )
-
-    contexts = fetched.mapInArrow(cut, f"h long, cx long, n long, doc_id {kind}, th long, pos int, left int, ctx binary, size long")
-    large = sizes.where(F.col("size") > group_limit).select("h")
-    oversize = bool(large.take(1))
+            made, own = [], []
+
+            def out():
+                cols = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)] if made else [pa.array([], t) for t in types]
+                at = pa.array(own, pa.int64())
+                return pa.RecordBatch.from_arrays([*cols, batch.column(0).take(at), batch.column(1).take(at)], names=[*names, "doc_id", "th"])
+
+            for i, (z, want) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                raw = unpack(z)
+                for w in want:
+                    h, cx, n, pos, size = w["h"], w["cx"], w["n"], w["pos"], w["size"]
+                    s, e = context(len(raw), pos, length, k)
+                    for key, left, ctx in parts(h, pos - s, raw[s:e], size <= split_limit or size > group_limit, length, k):
+                        made.append((key, cx, n, size, pos, left, ctx))
+                        own.append(i)
+                if len(made) > 4096:
+                    yield out()
+                    made, own = [], []
+            yield out()
+
+    contexts = fetched.mapInArrow(cut, f"key long, cx long, n long, size long, pos int, left int, ctx binary, doc_id {kind}, th long")
+    oversize = bool(sizes.where(F.col("size") > group_limit).take(1))
     if oversize:
         contexts = stage(contexts, "lpf-contexts")
-    small = contexts.join(large, "h", "left_anti") if oversize else contexts
+    small = contexts.where(F.col("size") <= group_limit) if oversize else contexts
 
     spans = f"doc_id {kind}, th long, s int, e int"
 
-    def split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for at in range(0, batch.num_rows, 1024):
-                b = batch.slice(at, 1024)
-                made = [(i, *p) for i, (h, left, ctx, size) in enumerate(zip(*(b.column(c).to_pylist() for c in ("h", "left", "ctx", "size")), strict=True)) for p in parts(h, left, ctx, size <= split_limit, length, k)]
-                own = pa.array([m[0] for m in made], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([m[1] for m in made], pa.int64()), *(b.column(c).take(own) for c in ("cx", "n", "doc_id", "th", "pos")), pa.array([m[2] for m in made], pa.int32()), pa.array([m[3] for m in made], pa.binary())],
-                    names=["key", "cx", "n", "doc_id", "th", "pos", "left", "ctx"],
-                )
-
     def groups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key; a group may go over batches. Large groups are put in order together."""
-        held: list[dict] = []
-        waiting: list[dict] = []
+        """Rows (key, cx, n, left, ctx, doc_id, th, pos) come sorted by key; a group may go over batches. Large groups are put in order together."""
+        held: list[tuple] = []
+        waiting: list[tuple] = []
         ready: list[tuple] = []
         weight = 0
 
-        def settle(rows: list[dict]) -> None:
+        def settle(rows: list[tuple]) -> None:
             if len(rows) > 1:
                 # The place of an anchor: its document's number, in order, then the position.
-                docs = {d: i for i, d in enumerate(sorted({(x["doc_id"] is not None, x["doc_id"] or 0, x["th"]) for x in rows}))}
-                place = [(docs[x["doc_id"] is not None, x["doc_id"] or 0, x["th"]] << 40) + x["pos"] for x in rows]
-                found = match_group([(x["left"], x["ctx"], p, x["n"] > 1 and not keep_first) for x, p in zip(rows, place, strict=True)], length, k, keep_first)
-                ready.extend((x["doc_id"], x["th"], x["pos"] - f[0], x["pos"] + f[1]) for x, f in zip(rows, found, strict=True) if f)
+                docs = {d: i for i, d in enumerate(sorted({(x[5] is not None, x[5] or 0, x[6]) for x in rows}))}
+                found = match_group([(x[3], x[4], (docs[x[5] is not None, x[5] or 0, x[6]] << 40) + x[7], x[2] > 1 and not keep_first) for x in rows], length, k, keep_first)
+                ready.extend((x[5], x[6], x[7] - f[0], x[7] + f[1]) for x, f in zip(rows, found, strict=True) if f)
             rows.clear()
 
         def group() -> int:
-            """The group is matched now, or put aside; returns the bytes put aside."""
+            """The group is matched now, or put aside; returns the contexts put aside."""
             if len(held) <= DIRECT:
                 settle(held)
                 return 0
             waiting.extend(held)
-            added = sum(len(x["ctx"]) for x in held)
+            added = len(held)
             held.clear()
             return added
 
@@ -341,13 +331,13 @@ def repeated(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_first: b
         for batch in it:
             doc_type = batch.schema.field("doc_id").type
             for at in range(0, batch.num_rows, 1024):
-                for x in batch.slice(at, 1024).to_pylist():
-                    if held and held[0]["key"] != x["key"]:
+                for x in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns), strict=True):
+                    if held and held[0][0] != x[0]:
                         weight += group()
                         if weight > TOGETHER:
                             settle(waiting)
                             weight = 0
-                    if not held or held[-1]["cx"] != x["cx"]:  # rows that repeat a document bring a context twice
+                    if not held or held[-1][1] != x[1]:  # rows that repeat a document bring a context twice
                         held.append(x)
                 if len(ready) > 4096:
                     yield out()
@@ -355,12 +345,12 @@ def repeated(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_first: b
         settle(waiting)
         yield out()
 
-    split_rows = small.mapInArrow(split, f"key long, cx long, n long, doc_id {kind}, th long, pos int, left int, ctx binary")
-    near = split_rows.repartition("key").sortWithinPartitions("key", "cx").mapInArrow(groups, spans)
+    ordered = small.select("key", "cx", "n", "left", "ctx", "doc_id", "th", "pos").repartition("key").sortWithinPartitions("key", "cx")
+    near = ordered.mapInArrow(groups, spans)
     near = near.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     every = whole.unionByName(stage(near, "lpf-near"))
     if oversize:
-        every = every.unionByName(_by_windows(contexts.join(large, "h", "left_semi"), length, reach, kind, keep_first))
+        every = every.unionByName(_by_windows(contexts.where(F.col("size") > group_limit), length, reach, kind, keep_first))
     return every.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
