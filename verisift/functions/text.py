@@ -99,3 +99,27 @@ def labelled(text: Column, label: str, until: str | None = None) -> Column:
     """The text after ``label:``, up to ``until:`` or the end; lines included."""
     tail = rf"(?=\s*{until}:)" if until else "$"
     return F.trim(F.regexp_extract(text, rf"(?is){label}:\s*(.*?)\s*{tail}", 1))
+
+
+def header_seconds(value: Column, now: Column) -> Column:
+    """Seconds that a retry or reset header asks to wait: a number, a moment in epoch seconds, ``ms``, ``s`` or ``m``, or an HTTP date; null if unreadable."""
+    raw = F.trim(value)
+    number = lambda c: c.try_cast("double")
+    whole, low = number(raw), F.lower(raw)
+    moment = F.try_to_timestamp(F.regexp_replace(raw, "^[A-Za-z]{3}, ", ""), F.lit("dd MMM yyyy HH:mm:ss z"))
+    short = number(F.substring(raw, 1, F.length(raw) - 1))
+    wait = (
+        F.when(raw == "", None).when(whole > 1_000_000_000, whole - F.unix_timestamp(now)).when(whole.isNotNull(), whole)
+        .when(low.endswith("ms"), number(F.substring(raw, 1, F.length(raw) - 2)) / 1000.0).when(low.endswith("s"), short).when(low.endswith("m"), short * 60.0)
+        .otherwise((F.unix_timestamp(moment) - F.unix_timestamp(now)).cast("double"))
+    )
+    return F.when(wait.isNotNull(), F.greatest(F.lit(0.0), wait))
+
+
+#: Headers that say when to ask again, in the order they are believed.
+RETRY_HEADERS = ("retry-after-ms", "Retry-After-Ms", "retry-after", "Retry-After", "x-ratelimit-reset-requests", "x-ratelimit-reset-tokens", "x-ratelimit-reset")
+
+
+def retry_after(headers: Column, now: Column) -> Column:
+    """Seconds to wait by the first header of a map that can be read."""
+    return F.coalesce(*[header_seconds(F.try_element_at(headers, F.lit(h)), now) for h in RETRY_HEADERS])

@@ -36,9 +36,28 @@ def sufficiency_term(passed: Column, gap: Column) -> Column:
     return F.when(passed.isNull(), 0.5).when(passed & gap, 0.0).when(~passed & ~gap, 0.5).otherwise(1.0)
 
 
-def bucket(error: Column, n_retrieved: Column, n_selected: Column, recall: Column, facets: Column, grounded: Column, passed: Column) -> Column:
-    """What a case failed on first."""
+def bucket(error: Column, in_corpus: Column, in_index: Column, n_literature: Column, recall: Column, critical: Column, passed: Column) -> Column:
+    """What a case failed on first; null if on nothing. ``in_index`` and ``passed`` may be unknown."""
     return (
-        F.when(error, "request_error").when(n_retrieved == 0, "no_literature_retrieved").when(n_selected == 0, "nothing_selected").when(recall == 0, "gold_missed")
-        .when(facets < 0.5, "facet_gap").when(grounded < 0.5, "ungrounded").when(~passed, "gate_refused").otherwise("ok")
+        F.when(error, "trace_or_runtime_failure").when(F.coalesce(in_corpus, F.lit(0)) == 0, "qrel_doc_absent_from_corpus").when(in_index == 0, "qrel_doc_absent_from_index")
+        .when(n_literature == 0, "no_literature_retrieved").when(recall <= 0, "literature_retrieved_but_no_qrel_overlap").when(critical <= 0, "selected_evidence_not_facet_supported")
+        .when(~passed, "policy_threshold_failure")
     )
+
+
+def groundedness(answered: Column, n_claims: Column, n_supported: Column, n_citations: Column) -> Column:
+    """Share of claims whose cited document supports them; without claims, what citations alone are worth; 0 without an answer."""
+    return F.when(~answered, 0.0).when(n_claims > 0, n_supported / n_claims).when(n_citations > 0, 0.65).otherwise(0.25)
+
+
+def facet_recall(facets: Column, found: Column, fallback: Column, critical_only: bool = False) -> Column:
+    """Weighted share of ``facets`` (``weight, critical, gold``) with a gold document in ``found``.
+
+    A facet whose gold documents are none of the case's (``fallback``) takes the case's; one without any counts as found.
+    """
+    mine = F.filter(facets, lambda f: f["critical"]) if critical_only else facets
+    weight = lambda f: F.greatest(F.lit(0.0), f["weight"])
+    gold = lambda f: F.when((F.size(fallback) > 0) & ~F.arrays_overlap(f["gold"], fallback), fallback).otherwise(f["gold"])
+    total = F.aggregate(mine, F.lit(0.0), lambda a, f: a + weight(f))
+    earned = F.aggregate(mine, F.lit(0.0), lambda a, f: a + F.when((F.size(gold(f)) == 0) | F.arrays_overlap(gold(f), found), weight(f)).otherwise(0.0))
+    return F.when((F.size(mine) == 0) | (total == 0), 1.0).otherwise(earned / total)

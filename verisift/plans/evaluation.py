@@ -136,9 +136,10 @@ def contract_mismatches(s, d):
 
 
 _CASE = f"""{CANDIDATES}, cs AS (SELECT query_id, count(*) AS n, count(*) FILTER (dense >= 0.5) AS sel, avg((dense >= 0.5)::INT) AS recall, avg((rerank >= 0.4)::INT) AS facet, avg((grade_score >= 0.3)::INT) AS critical, avg((reliability >= 0.25)::INT) AS ground,
- avg((doc_id % 3 <> 0)::INT) AS citation, avg(weak::INT) AS unsupported, avg((NOT obsolete)::INT) AS trace, CASE WHEN query_id % 3 <> 2 THEN query_id % 3 = 0 END AS passed, query_id % 4 = 1 AS gap, query_id % 11 = 10 AS error FROM cand GROUP BY query_id),
+ avg((doc_id % 3 <> 0)::INT) AS citation, avg(weak::INT) AS unsupported, count(*) FILTER (doc_id % 37 = 5) AS corpus, CASE WHEN query_id % 2 = 0 THEN count(*) FILTER (embedding_size > 0 AND doc_id % 41 = 3) END AS idx, count(*) FILTER (source_type = 'LIT' AND dense >= 0.9) AS lit, avg((NOT obsolete)::INT) AS trace, CASE WHEN query_id % 3 <> 2 THEN query_id % 3 = 0 END AS passed, query_id % 4 = 1 AS gap, query_id % 11 = 10 AS error FROM cand GROUP BY query_id),
  scored AS (SELECT *, greatest(0, least(1, 0.25 * critical + 0.15 * facet + 0.15 * ground + 0.15 * CASE WHEN passed IS NULL THEN 0.5 WHEN passed AND gap THEN 0 WHEN NOT passed AND NOT gap THEN 0.5 ELSE 1 END + 0.10 * trace + 0.10 * recall + 0.10 * citation - 0.20 * (1 - critical) - 0.10 * unsupported)) AS msas,
- CASE WHEN error THEN 'request_error' WHEN n = 0 THEN 'no_literature_retrieved' WHEN sel = 0 THEN 'nothing_selected' WHEN recall = 0 THEN 'gold_missed' WHEN facet < 0.5 THEN 'facet_gap' WHEN ground < 0.5 THEN 'ungrounded' WHEN NOT coalesce(passed, false) THEN 'gate_refused' ELSE 'ok' END AS bucket FROM cs)"""
+ CASE WHEN error THEN 'trace_or_runtime_failure' WHEN coalesce(corpus, 0) = 0 THEN 'qrel_doc_absent_from_corpus' WHEN idx = 0 THEN 'qrel_doc_absent_from_index' WHEN lit = 0 THEN 'no_literature_retrieved' WHEN recall <= 0.4 THEN 'literature_retrieved_but_no_qrel_overlap'
+ WHEN critical <= 0.7 THEN 'selected_evidence_not_facet_supported' WHEN passed = false THEN 'policy_threshold_failure' END AS bucket FROM cs)"""
 
 
 def audits(s, d):
@@ -148,9 +149,10 @@ def audits(s, d):
     r = T.candidates(s, d).groupBy("query_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(c("dense") >= 0.5).alias("sel"), share(c("dense") >= 0.5).alias("recall"), share(c("rerank") >= 0.4).alias("facet"), share(c("grade_score") >= 0.3).alias("critical"),
         share(c("reliability") >= 0.25).alias("ground"), share(c("doc_id") % 3 != 0).alias("citation"), share(c("weak")).alias("unsupported"), share(~c("obsolete")).alias("trace"),
-    ).select("*", F.when(q % 3 != 2, q % 3 == 0).alias("passed"), (q % 4 == 1).alias("gap"), (q % 11 == 10).alias("error"))
+        F.count_if(c("doc_id") % 37 == 5).alias("corpus"), F.count_if((c("embedding_size") > 0) & (c("doc_id") % 41 == 3)).alias("_idx"), F.count_if((c("source_type") == "LIT") & (c("dense") >= 0.9)).alias("lit"),
+    ).select("*", F.when(q % 3 != 2, q % 3 == 0).alias("passed"), (q % 4 == 1).alias("gap"), (q % 11 == 10).alias("error"), F.when(q % 2 == 0, c("_idx")).alias("idx"))
     r = r.withColumn("msas", M.msas(c("critical"), c("facet"), c("ground"), M.sufficiency_term(c("passed"), c("gap")), c("trace"), c("recall"), c("citation"), c("unsupported")))
-    return r.withColumn("bucket", M.bucket(c("error"), c("n"), c("sel"), c("recall"), c("facet"), c("ground"), F.coalesce("passed", F.lit(False))))
+    return r.withColumn("bucket", M.bucket(c("error"), c("corpus"), c("idx"), c("lit"), c("recall") - 0.4, c("critical") - 0.7, c("passed")))
 
 
 @query("SELECT query_id, round(msas, 6) AS msas FROM scored", _CASE)
@@ -170,12 +172,16 @@ def run_aggregate(s, d):
     return a.agg(F.count(F.lit(1)).alias("n"), r("msas").alias("mean_msas"), r("recall").alias("mean_recall"), r(c("passed").cast("int")).alias("pass_rate"), r(c("error").cast("int")).alias("error_rate"), r("ground").alias("mean_ground"))
 
 
-@query("SELECT query_id, round(avg((polarity_ok AND cited)::INT), 6) AS groundedness, count(*) AS n_claims FROM (SELECT query_id, doc_id % 3 <> 0 AS cited, grade_score >= 0.3 AS polarity_ok FROM cand) GROUP BY 1", CANDIDATES)
+@query("""SELECT query_id, round(CASE WHEN query_id % 9 = 8 THEN 0 WHEN n > 0 THEN ok / n WHEN cites > 0 THEN 0.65 ELSE 0.25 END, 6)::DOUBLE AS groundedness, n AS n_claims FROM (SELECT query_id,
+ count(*) FILTER (query_id % 5 < 3) AS n, count(*) FILTER (query_id % 5 < 3 AND doc_id % 3 <> 0 AND grade_score >= 0.3) AS ok, count(*) FILTER (query_id % 5 = 3 AND dense > 0.5) AS cites FROM cand GROUP BY 1)""", CANDIDATES)
 def groundedness(s, d):
-    """Share of claims whose document is cited and whose polarity supports; claims are nested a query."""
-    nested = T.candidates(s, d).groupBy("query_id").agg(F.collect_list(F.struct((c("doc_id") % 3 != 0).alias("cited"), (c("grade_score") >= 0.3).alias("supports"))).alias("claims"))
-    flat = nested.select("query_id", F.explode_outer("claims").alias("x"))
-    return flat.groupBy("query_id").agg(F.round(F.avg((c("x.cited") & c("x.supports")).cast("int")), 6).alias("groundedness"), F.count(F.lit(1)).alias("n_claims"))
+    """Claims are nested a query; some queries have citations only, some neither, some no answer."""
+    has = c("query_id") % 5 < 3
+    claim = F.when(has, F.struct((c("doc_id") % 3 != 0).alias("cited"), (c("grade_score") >= 0.3).alias("supports")))
+    nested = T.candidates(s, d).groupBy("query_id").agg(F.collect_list(claim).alias("claims"), F.count_if((c("query_id") % 5 == 3) & (c("dense") > 0.5)).alias("cites"))
+    supported = F.size(F.filter("claims", lambda x: x["cited"] & x["supports"]))
+    g = M.groundedness(c("query_id") % 9 != 8, F.size("claims"), supported, c("cites"))
+    return nested.select("query_id", F.round(g, 6).alias("groundedness"), F.size("claims").cast("long").alias("n_claims"))
 
 
 @query("SELECT case_id, round(sum(CASE WHEN hit THEN w ELSE 0 END) / sum(w), 6) AS recall, round(sum(CASE WHEN hit AND crit THEN w ELSE 0 END) / nullif(sum(CASE WHEN crit THEN w ELSE 0 END), 0), 6) AS critical_recall FROM (SELECT case_id, doc_id % 4 AS facet, (1.0 + doc_id % 4)::DOUBLE AS w, doc_id % 4 < 2 AS crit, bool_or(rank <= 15) AS hit FROM run JOIN qrels USING (case_id, doc_id) WHERE grade > 0 GROUP BY ALL) GROUP BY 1", _RUN)
@@ -189,6 +195,19 @@ def facet_recall(s, d):
     return r.groupBy("case_id").agg(F.round(total(c("hit")) / F.sum(w), 6).alias("recall"), F.round(F.when(crit_all != 0, total(c("hit") & crit) / F.nullif(crit_all, F.lit(0.0))), 6).alias("critical_recall"))
 
 
+@query("""SELECT query_id, round(sum(CASE WHEN ok THEN w ELSE 0 END) / sum(w), 6) AS recall, round(coalesce(sum(CASE WHEN ok AND crit THEN w ELSE 0 END) / nullif(sum(CASE WHEN crit THEN w ELSE 0 END), 0), 1), 6) AS critical_recall FROM (
+ SELECT query_id, w, crit, CASE WHEN len(g) = 0 THEN true ELSE list_has_any(g, found) END AS ok FROM (SELECT query_id, w, crit, found, CASE WHEN len(own) > 0 AND (len(gold) = 0 OR NOT list_has_any(gold, own)) THEN own ELSE gold END AS g FROM (
+ SELECT query_id, f AS facet, (1.0 + f)::DOUBLE AS w, f < query_id % 3 AS crit, list_filter(ids, lambda x: x % 7 = f) AS gold, list_filter(ids, lambda x: x % 5 = query_id % 5 AND query_id % 4 > 0) AS own, ids[1:6] AS found FROM (SELECT query_id, ids, unnest([0, 1, 2, 3]) AS f FROM tr)))) GROUP BY 1""", _TR)
+def facet_recall_stale(s, d):
+    """Facets whose own gold documents are not the case's fall back to those of the case."""
+    q = c("query_id")
+    facet = lambda f: F.struct(F.lit(1.0 + f).alias("weight"), (F.lit(f) < q % 3).alias("critical"), F.filter("ids", lambda x: x % 7 == f).alias("gold"))
+    facets = F.array(*[facet(f) for f in range(4)])
+    own = F.filter("ids", lambda x: (x % 5 == q % 5) & (q % 4 > 0))
+    rows = traces(s, d).select("query_id", facets.alias("facets"), own.alias("own"), F.slice("ids", 1, 6).alias("found"))
+    return rows.select("query_id", F.round(M.facet_recall(c("facets"), c("found"), c("own")), 6).alias("recall"), F.round(M.facet_recall(c("facets"), c("found"), c("own"), True), 6).alias("critical_recall"))
+
+
 _MET2 = _MET.replace("qrels AS", "qrels AS", 1) + ", " + _MET.split("qrels AS", 1)[1].split("), ", 1)[1].replace("53 % 97", "37 % 101").replace("run ", "run2 ").replace("rel ", "rel2 ").replace("ideal ", "ideal2 ").replace("hit ", "hit2 ").replace("met AS", "met2 AS").replace("FROM run)", "FROM run2)").replace("FROM rel)", "FROM rel2)")
 
 

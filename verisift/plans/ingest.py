@@ -266,12 +266,21 @@ def extract_json(s, d):
     return qca(s, d).select(c("conv_id").alias("case_id"), reply.alias("reply")).select("case_id", F.md5(F.coalesce(F.get_json_object(body, "$.answer"), F.lit(""))).alias("answer_md5"))
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN (event_id % 90)::DOUBLE WHEN 1 THEN (event_id % 900) / 1000.0 WHEN 2 THEN (event_id % 5) * 60.0 END::DOUBLE AS seconds, round(least(30.0, 1.5 * power(2, event_id % 7)), 6)::DOUBLE AS backoff FROM events")
+_NOW = "2024-02-01 00:00:00"
+
+
+@query(f"""SELECT event_id, CASE event_id % 8 WHEN 0 THEN (event_id % 90)::DOUBLE WHEN 1 THEN (event_id % 900) / 1000.0 WHEN 2 THEN (event_id % 5) * 60.0 WHEN 3 THEN 7.5 WHEN 4 THEN greatest(0, epoch(date_trunc('second', ts) + INTERVAL 20 DAY) - epoch(TIMESTAMP '{_NOW}'))
+ WHEN 5 THEN (event_id % 100)::DOUBLE WHEN 6 THEN 3 END::DOUBLE AS seconds, round(least(30.0, 1.5 * power(2, event_id % 7)), 6)::DOUBLE AS backoff FROM events""")
 def parse_retry_after(s, d):
-    """Retry headers: seconds, ms, minutes, or unreadable."""
-    e = c("event_id")
-    head = F.when(e % 4 == 0, (e % 90).cast("string")).when(e % 4 == 1, F.concat((e % 900).cast("string"), F.lit("ms"))).when(e % 4 == 2, F.concat((e % 5).cast("string"), F.lit("m"))).otherwise("soon")
-    n, unit = F.expr("try_cast(regexp_extract(h, '^([0-9.]+)', 1) as double)"), F.regexp_extract("h", r"^[0-9.]+\s*(ms|s|m)?$", 1)
-    ok = c("h").rlike(r"^[0-9.]+\s*(ms|s|m)?$")
-    secs = F.when(ok, n * F.when(unit == "ms", 0.001).when(unit == "m", 60.0).otherwise(1.0))
-    return T.table(s, d, "events").select("event_id", head.alias("h")).select("event_id", F.round(secs, 6).alias("seconds"), F.round(F.least(F.lit(30.0), 1.5 * F.pow(F.lit(2.0), c("event_id") % 7)), 6).alias("backoff"))
+    """Headers in all the forms services use, some unreadable, and the order in which they are believed."""
+    e, k = c("event_id"), c("event_id") % 8
+    later = F.date_trunc("second", "ts") + F.expr("interval 20 days")
+    pair = lambda *kv: F.create_map(*[F.lit(x) if isinstance(x, str) else x for x in kv])
+    headers = (
+        F.when(k == 0, pair("retry-after", (e % 90).cast("string"), "x-ratelimit-reset", "1")).when(k == 1, pair("x-ratelimit-reset-tokens", "9s", "Retry-After", F.concat((e % 900).cast("string"), F.lit("ms"))))
+        .when(k == 2, pair("x-ratelimit-reset-requests", F.concat((e % 5).cast("string"), F.lit("m")))).when(k == 3, pair("Retry-After", "soon", "x-ratelimit-reset", " 7.5S "))
+        .when(k == 4, pair("Retry-After", F.concat(F.date_format(later, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))))
+        .when(k == 5, pair("retry-after", (F.unix_timestamp(F.lit(_NOW).cast("timestamp")) + e % 100).cast("string"))).when(k == 6, pair("Retry-After-Ms", "3", "retry-after", "50")).otherwise(pair("retry-after", "", "x-ratelimit-reset", "xs"))
+    )
+    wait = X.retry_after(headers, F.lit(_NOW).cast("timestamp"))
+    return T.table(s, d, "events").select("event_id", F.round(wait, 6).alias("seconds"), F.round(F.least(F.lit(30.0), 1.5 * F.pow(F.lit(2.0), e % 7)), 6).alias("backoff"))

@@ -150,7 +150,7 @@ def ann_union_max(s, d):
 
 def _lists(s, d):
     v = _vectors(s, d)
-    return v, D.fit_lists(v, 16)
+    return v, D.fit_lists(v)
 
 
 @query()
@@ -162,7 +162,7 @@ def ivf_assign(s, d):
 @query()
 def ann_ivf_topk(s, d):
     v, cent = _lists(s, d)
-    return D.ivf_topk(v, _asked(s, d), cent, 10, 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+    return D.ivf_topk(v, _asked(s, d), cent, 10, D.fit_probes(v, cent, 10)).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query()
