@@ -33,8 +33,8 @@ from .common import WORD_PATTERN, keyed, partitions, release, same_doc, stage, u
 
 MIN_LINES = 3
 MIN_WORDS = 50
-#: Documents with deleted runs up to which these are broadcast to the texts; beyond it the texts are shuffled to them.
-BROADCAST_DOCS = 100_000
+#: Documents with deleted runs, and runs, up to which these are broadcast to the texts; beyond it the texts are shuffled to them.
+BROADCAST_DOCS, BROADCAST_RUNS = 100_000, 1_000_000
 WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -112,7 +112,8 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     """``doc_id, th, text`` without later copies, ``n_lines, n_removed, n_runs`` and ``runs`` ((first line, lines) among lines with a word)."""
     rows, starts = keyed(docs), repeated_starts(docs, min_lines, min_words)
     release(docs.sparkSession)
-    few = starts.count() <= BROADCAST_DOCS
+    size = starts.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("starts")).alias("runs")).first()
+    few = size["docs"] <= BROADCAST_DOCS and (size["runs"] or 0) <= BROADCAST_RUNS
     joined = rows.join(F.broadcast(starts) if few else starts, same_doc(rows, starts), "left").select(rows["doc_id"], rows["th"], rows["text"], "starts")
     some = F.col("starts").isNotNull()
     lines = F.split("text", "\n")
