@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontaminate, html, lines, mixing, neardup, repeats, rules, secrets, sharding
+from . import bpe, classifier, clusters, decontaminate, html, lines, mixing, neardup, negatives, repeats, rules, secrets, sharding
 from .common import stage, unstage
 from .stats import labelled_sample, learn_lexicon
 
@@ -65,11 +66,27 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clustering(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = bpe.coder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), by), by)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_decontaminate, op3_line_dedup, op4_quality_rules, op5_quality_classifier,
         op6_repeat_removal, op7_hilbert_sharding, op8_near_dedup, op9_source_mixing, op10_html_extract,
+        op11_centroid_clustering, op12_hard_negatives, op13_byte_bpe,
     )
 }
 
