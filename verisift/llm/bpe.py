@@ -29,10 +29,11 @@ result. A text may have any length that a Spark string can have.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -56,7 +57,8 @@ NONE = 1 << 62
 #: Tokens after which an output batch is closed.
 BATCH_TOKENS = 2_000_000
 
-Element = tuple[list[str], list[tuple[int, ...]]]
+#: Matches, and the tokens of each as packed 32-bit integers.
+Element = tuple[list[str], list[bytes]]
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -76,7 +78,7 @@ class Known(dict):
     def __init__(self, make) -> None:
         self.make, self.old = make, {}
 
-    def __missing__(self, m: str) -> tuple[int, ...]:
+    def __missing__(self, m: str) -> bytes:
         found = self.old.get(m) or self.make(m)
         if len(m) <= LONG_MATCH:
             if len(self) >= REMEMBERED:
@@ -92,6 +94,10 @@ class Coder:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.pattern = ranks, pattern
         self.vocabulary = {rank: token for token, rank in ranks.items()}
+        size = max(ranks.values(), default=-1) + 1
+        self._sizes = np.array([len(self.vocabulary.get(i, b"")) for i in range(size)], np.int64)
+        self._starts = np.cumsum(self._sizes) - self._sizes
+        self._letters = np.frombuffer(b"".join(self.vocabulary.get(i, b"") for i in range(size)), np.uint8)
         self._matches = regex.compile(pattern).findall
         self.match = Known(self._match).__getitem__
         self.stable = lru_cache(1 << 16)(self._stable)
@@ -150,7 +156,7 @@ class Coder:
         left = right = 1
         while True:
             left, right = min(left, len(a)), min(right, len(b))
-            window = self.merged(self.decode(a[len(a) - left :]) + self.decode(b[:right]))
+            window = self.merged(b"".join(map(self.vocabulary.__getitem__, a[len(a) - left :] + b[:right])))
             free = left == len(a) or self.stable(a[-left - 1], window[0])
             fits = right == len(b) or self.stable(window[-1], b[right])
             if free and fits:
@@ -164,11 +170,11 @@ class Coder:
         cut = _cut(len(b))
         return self.join_tokens(self.tokens(b[:cut]), self.tokens(b[cut:]))
 
-    def _match(self, m: str) -> tuple[int, ...]:
+    def _match(self, m: str) -> bytes:
         """Tokens of one match; a match that is a token stays whole."""
         b = m.encode()
         whole = self.ranks.get(b)
-        return tuple(self.tokens(b)) if whole is None else (whole,)
+        return array("i", self.tokens(b) if whole is None else (whole,)).tobytes()
 
     # texts
 
@@ -200,10 +206,10 @@ class Coder:
                     middle = [self._match_of(m, a, b) for m in new[:i]]
                     return a[0][:kept] + new[:i] + b[0][shared:], a[1][:kept] + middle + b[1][shared:]
 
-    def _match_of(self, m: str, a: Element, b: Element) -> tuple[int, ...]:
+    def _match_of(self, m: str, a: Element, b: Element) -> bytes:
         left, right = a[0][-1], b[0][0]
         if min(len(left), len(right)) > LONG_MATCH and len(m) == len(left) + len(right) and m.startswith(left) and m.endswith(right):
-            return tuple(self.join_tokens(list(a[1][-1]), list(b[1][0])))
+            return array("i", self.join_tokens(array("i", a[1][-1]).tolist(), array("i", b[1][0]).tolist())).tobytes()
         return self.match(m)
 
     def element(self, text: str) -> Element:
@@ -213,8 +219,9 @@ class Coder:
         cut = _cut(len(text))
         return self.join(self.element(text[:cut]), self.element(text[cut:]))
 
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.element(text)[1]))
+    def encode(self, text: str) -> bytes:
+        """Token ids as packed 32-bit integers."""
+        return b"".join(self.element(text)[1])
 
     def tree(self, elements: list[Element]) -> Element:
         """Neighbours joined level by level."""
@@ -222,22 +229,25 @@ class Coder:
             elements = [self.join(*elements[i : i + 2]) if i + 1 < len(elements) else elements[i] for i in range(0, len(elements), 2)]
         return elements[0] if elements else ([], [])
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of tokens, concatenated up the tree."""
-        if len(ids) <= SPAN:
-            return b"".join(map(self.vocabulary.__getitem__, ids))
-        half = len(ids) // 2
-        return self.decode(ids[:half]) + self.decode(ids[half:])
+        if len(ids) > 16 * SPAN:
+            half = len(ids) // 2
+            return self.decode(ids[:half]) + self.decode(ids[half:])
+        sizes = self._sizes[ids]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self._starts[ids] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return self._letters[at].tobytes()
 
 
 def coder(path: str, pattern: str) -> Coder:
     return Coder(load_ranks(path), pattern)
 
 
-def _id_batch(names: pa.Array, lists: list[list[int]]) -> pa.RecordBatch:
-    ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
-    flat = pa.array(np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1])))
-    return pa.RecordBatch.from_arrays([names, pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "ids"])
+def _id_batch(names: pa.Array, lists: list[bytes]) -> pa.RecordBatch:
+    ends = np.cumsum([0, *map(len, lists)]) // 4
+    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(lists), np.int32)))
+    return pa.RecordBatch.from_arrays([names, ids], names=["doc_id", "ids"])
 
 
 def encode(docs: DataFrame, by: Coder, long_text: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,7 +263,7 @@ def encode(docs: DataFrame, by: Coder, long_text: int = 1 << 20, id_col: str = "
             begun, lists, n = 0, [], 0
             for i, t in enumerate(b.column(1)):
                 lists.append(encode(t.as_py()))
-                n += len(lists[-1])
+                n += len(lists[-1]) // 4
                 if n >= BATCH_TOKENS:
                     yield _id_batch(b.column(0).slice(begun, i + 1 - begun), lists)
                     begun, lists, n = i + 1, [], 0
@@ -278,19 +288,18 @@ def encode(docs: DataFrame, by: Coder, long_text: int = 1 << 20, id_col: str = "
             for i in range(b.num_rows):
                 matches, tokens = sent.value.element(b.column(2)[i].as_py())
                 sizes = np.array([list(map(len, matches)), list(map(len, tokens))], np.int32)
-                flat = np.fromiter(chain.from_iterable(tokens), np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, 1), b.column(1).slice(i, 1), b.column(2).slice(i, 1), pa.array([sizes.tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary())],
+                    [b.column(0).slice(i, 1), b.column(1).slice(i, 1), b.column(2).slice(i, 1), pa.array([sizes.tobytes()], pa.binary()), pa.array([b"".join(tokens)], pa.binary())],
                     names=["row", "no", "span", "sizes", "tokens"],
                 )
 
     def joined(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         leaves = []
         for r in pdf.sort_values("no").itertuples():
-            chars, counts = np.frombuffer(r.sizes, np.int32).reshape(2, -1)
-            flat, starts, at = np.frombuffer(r.tokens, np.int32).tolist(), np.cumsum(chars) - chars, np.cumsum(counts) - counts
-            leaves.append(([r.span[s : s + n] for s, n in zip(starts.tolist(), chars.tolist(), strict=True)], [tuple(flat[s : s + n]) for s, n in zip(at.tolist(), counts.tolist(), strict=True)]))
-        return pd.DataFrame({"row": [key[0]], "ids": [np.fromiter(chain.from_iterable(sent.value.tree(leaves)[1]), np.int32)]})
+            cut = lambda whole, sizes: [whole[e - n : e] for n, e in zip(sizes, accumulate(sizes), strict=True)]
+            chars, packed = np.frombuffer(r.sizes, np.int32).reshape(2, -1).tolist()
+            leaves.append((cut(r.span, chars), cut(r.tokens, packed)))
+        return pd.DataFrame({"row": [key[0]], "ids": [np.frombuffer(b"".join(sent.value.tree(leaves)[1]), np.int32)]})
 
     parts = long.select("row", "text").mapInArrow(spans, "row long, no int, span string").repartition(4 * partitions(spark), "row", "no")
     encoded = parts.mapInArrow(elements, "row long, no int, span string, sizes binary, tokens binary")
@@ -305,12 +314,12 @@ def decode(tokens: DataFrame, by: Coder) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = sent.value.decode
         for b in it:
-            ids, done = b.column(1), 0
-            ends = np.asarray(ids.offsets)
+            lists, done = b.column(1), 0
+            ends, ids = np.asarray(lists.offsets), np.asarray(lists.values)
             while done < b.num_rows:  # a bounded number of tokens at a time
                 upto = max(done + 1, int(np.searchsorted(ends, ends[done] + BATCH_TOKENS, "right")) - 1)
-                texts = [decode(x.values.to_pylist() if x.values is not None else []) for x in ids.slice(done, upto - done)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(done, upto - done), ids.slice(done, upto - done), pa.array(texts, pa.binary())], names=["doc_id", "ids", "decoded"])
+                texts = [decode(ids[ends[i] : ends[i + 1]]) for i in range(done, upto)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(done, upto - done), lists.slice(done, upto - done), pa.array(texts, pa.binary())], names=["doc_id", "ids", "decoded"])
                 done = upto
 
     return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {dict(tokens.dtypes)['doc_id']}, ids array<int>, decoded binary")
