@@ -219,16 +219,6 @@ def test_changed_files(spark, tmp_path):
     assert {r.path[-5:] for r in files.changed(files.file_state(spark, str(tmp_path / "in")), before).collect()} == {"b.csv", "c.csv"}
 
 
-def test_ivf_recall(spark):
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    v = spark.createDataFrame([(int(i), [float(y) for y in x]) for i, x in enumerate(rng.normal(size=(600, 16)))], "vec_id long, embedding array<float>")
-    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    exact = {(r.query_id, r.vec_id) for r in dense.exact_topk(v, q, 10, block=7).collect()}
-    near = {(r.query_id, r.vec_id) for r in dense.ivf_topk(v, q, dense.fit_lists(v, 16), 10, 10).collect()}
-    assert len(exact) == 300 and len(exact & near) >= 0.9 * len(exact)
-
 
 def test_bm25_scan_equals_joins(spark):
     r = random.Random(3)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Words in Python, as ``word_count`` takes them.
+WORDS = re.compile(r"[^ \t\n\v\f\r]+")
+
 # What is redacted, in this order.
 REDACTIONS = (
     (r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", "[REDACTED_EMAIL]"),

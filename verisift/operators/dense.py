@@ -64,113 +64,24 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048
     return top_k(out, k, item="vec_id")
 
 
-def _sampled(vectors: DataFrame, sample: int) -> np.ndarray:
-    rows = vectors.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    x = np.array([r["embedding"] for r in rows], np.float64).reshape(len(rows), -1)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if len(rows) else x
-
-
-def fit_lists(vectors: DataFrame, lists: int | None = None, sample: int = 20_000, rounds: int = 12, seed: int = 7) -> np.ndarray:
-    """Centroids of an inverted-file index by spherical k-means on at most ``sample`` vectors in hash order; the root of
-    their number many unless ``lists`` says otherwise."""
-    x = _sampled(vectors, sample)
-    lists = lists or max(1, round(math.sqrt(vectors.count())))
-    rng = np.random.default_rng(seed)
-    c = x[rng.choice(len(x), min(lists, len(x)), replace=False)]
-    for _ in range(rounds):
-        own = (x @ c.T).argmax(1) if len(x) else np.zeros(0, int)
-        for j in range(len(c)):
-            if (own == j).any():
-                c[j] = x[own == j].mean(0)
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    return c
-
-
-def fit_probes(vectors: DataFrame, centroids: np.ndarray, k: int, recall: float = 0.95, sample: int = 20_000, queries: int = 256) -> int:
-    """The fewest lists to look into for the recall, measured against brute force on a bounded sample."""
-    x = _sampled(vectors, sample)
-    q = x[:queries]
-    if not len(q):
-        return 1
-    own = (x @ centroids.T).argmax(1)
-    near = np.argsort(-(q @ centroids.T), axis=1, kind="stable").argsort(1)  # rank of each list for each query
-    best = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :k]
-    needed = np.sort(np.take_along_axis(near, own[best], 1).ravel())  # rank of the list that holds each true neighbour
-    return int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)]) + 1
-
-
-def assign(vectors: DataFrame, centroids: np.ndarray, probes: int = 1, id_col: str = "vec_id") -> DataFrame:
-    """A row for each of the ``probes`` nearest lists of a vector."""
-
-    @F.pandas_udf("array<int>")
-    def nearest(v: pd.Series) -> pd.Series:
-        s = np.stack(v.to_numpy()).astype(np.float64) @ centroids.T
-        return pd.Series(list(np.argsort(-s, axis=1, kind="stable")[:, :probes].astype(np.int32)))
-
-    return vectors.select(id_col, "embedding", F.explode(nearest("embedding")).alias("list_id"))
-
-
-def ivf_topk(vectors: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int, probes: int, block: int = 2048) -> DataFrame:
-    """Approximate top-k: ``query_id, vec_id, score, rank``.
-
-    Queries go out in blocks of bounded size with their nearest lists. Each task puts its vectors into lists and
-    multiplies each list's by the queries that look into it, so no list is gathered anywhere, however full it is.
-    """
-    n = queries.count()
-    blocks = max(1, math.ceil(n / block))
-    sc, out = vectors.sparkSession.sparkContext, None
-    for i in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).select("query_id", "embedding").collect()
-        if not rows:
-            continue
-        ids = np.array([r["query_id"] for r in rows], np.int64)
-        q = np.array([r["embedding"] for r in rows], np.float64)
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-        near = np.argsort(-(q @ centroids.T), axis=1, kind="stable")[:, :probes]
-        asks = [np.flatnonzero((near == j).any(1)) for j in range(len(centroids))]
-        sent = sc.broadcast((ids, q, asks, centroids))
-
-        def run(it: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q, asks, centroids = sent.value
-            best_s, best_v = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
-            for b in it:
-                if not b.num_rows:
-                    continue
-                v = np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                names, own = b.column(0).to_numpy(), (v @ centroids.T).argmax(1)
-                for j in np.unique(own):
-                    ask = asks[j]
-                    if not len(ask):
-                        continue
-                    here = own == j
-                    s = np.hstack([best_s[ask], np.round(q[ask] @ v[here].T, 9)])
-                    own_names = np.hstack([best_v[ask], np.broadcast_to(names[here], (len(ask), here.sum()))])
-                    order = np.lexsort((own_names, -s), axis=1)[:, :k]
-                    best_s[ask], best_v[ask] = np.take_along_axis(s, order, 1), np.take_along_axis(own_names, order, 1)
-            flat = best_s.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)), pa.array(best_v.ravel()), pa.array(flat)], names=["query_id", "vec_id", "score"]).filter(pa.array(flat > -np.inf))
+def embed_texts(texts: list[str], dim: int = 64) -> list[np.ndarray]:
+    """Offline default embedder: signed feature hashing of words, unit length."""
+    import zlib
 
-        part = vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
-    return top_k(out, k, item="vec_id")
+    out = []
+    for t in texts:
+        h = np.array([zlib.crc32(w.encode()) for w in (t or "").lower().split()], np.int64)
+        v = np.bincount(h % dim, np.where(h >> 16 & 1, 1.0, -1.0), dim) if len(h) else np.zeros(dim)
+        n = np.linalg.norm(v)
+        out.append((v / n if n else v).astype(np.float32))
+    return out
 
 
 def hash_embed(rows: DataFrame, dim: int = 64, text: str = "text") -> DataFrame:
-    """Offline default embedder: signed feature hashing of words, unit length. Swap for a model with the same shape."""
+    """``rows`` with the offline embedder's vectors. Swap for a model with the same shape."""
 
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
-        import zlib
-
-        out = []
-        for t in texts:
-            h = np.array([zlib.crc32(w.encode()) for w in (t or "").lower().split()], np.int64)
-            v = np.bincount(h % dim, np.where(h >> 16 & 1, 1.0, -1.0), dim) if len(h) else np.zeros(dim)
-            n = np.linalg.norm(v)
-            out.append((v / n if n else v).astype(np.float32))
-        return pd.Series(out)
+        return pd.Series(embed_texts(texts.tolist(), dim))
 
     return rows.withColumn("embedding", embed(text))

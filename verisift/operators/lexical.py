@@ -134,3 +134,7 @@ def top_k(scored: DataFrame, k: int, score: str = "score", item: str = "doc_id",
     """The k best of each query with ``rank`` from 1; ties by id. The rank filter lets Spark cut each group before the shuffle."""
     w = Window.partitionBy(query).orderBy(F.col(score).desc(), F.col(item))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def rounded(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")

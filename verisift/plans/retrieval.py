@@ -10,9 +10,15 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import text as X
 from ..operators import dense as D
+from ..functions import porter
+from ..operators import generations as G
+from ..operators import ivf as I
+from ..operators import lexical as L
+from ..operators import postings as P
+from ..operators import proximity as H
+from ..operators import rerank as R
 from ..operators import strategy as decide
 from ..operators.pipeline import written
-from ..operators import lexical as L
 from ..sources import tables as T
 from .base import CANDIDATES, CHUNKS, Registry
 
@@ -32,25 +38,41 @@ def _bm25_sql(terms: str, query_terms: str, k1: str, idf: str, weight: str) -> s
 _TOP = "SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 10"
 
 
+def _fts_terms(text):
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9][a-z0-9_.+/-]*"), F.lit(0))
+
+
+def _postings(s, d, kind, terms, k1):
+    """The index at rest over ``documents``, built where there is none for these files."""
+    docs = T.table(s, d, "documents")
+    contract = G.files_contract(docs, "postings", kind, k1)
+    return P.open_index(s, G.built(s, G.index_root(s), f"postings-{kind}", contract, lambda folder: P.fill(docs, terms, folder, k1=k1)))
+
+
 def _queries(s, d, terms):
     return T.table(s, d, "benchmark").select(c("item_id").alias("query_id"), F.explode(terms).alias("term"))
 
 
 @query("WITH " + _bm25_sql(_FTS, f"list_distinct({_FTS})", "1.2", "greatest(x, 1e-6)", "1") + _TOP.replace("SELECT", " SELECT", 1))
 def bm25_topk(s, d):
+    """From posting blocks at rest: only the blocks of the queries' terms are read, and of them what their bounds ask for."""
     q = _queries(s, d, X.fts_terms(c("text"))).withColumn("weight", F.lit(1))
-    find = re.compile(r"[a-z0-9][a-z0-9_.+/-]*").findall
-    r = L.bm25_scan(T.table(s, d, "documents"), q, lambda t: find(t.lower()), 10, 1.2, 0.75)
-    return r.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return L.rounded(P.search(_postings(s, d, "fts", _fts_terms(c("text")), 1.2), q, 10))
 
 
 @query("WITH " + _bm25_sql(_WS, _WS, "1.5", "CASE WHEN x < 0 THEN 0.25 * (SELECT avg(x) FROM raw) ELSE x END", "count(*)") + _TOP.replace("SELECT", " SELECT", 1).replace("FROM s)", "FROM s WHERE score > 0)"))
 def bm25_okapi(s, d):
     q = _queries(s, d, X.tokens(c("text"))).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("weight"))
-    docs = T.table(s, d, "documents")
-    split = re.compile(r"[^\t\n\v\f\r ]+").findall
-    r = L.bm25_scan(docs, q, lambda t: split(t.lower()), 10, 1.5, 0.75, mean_idf=L.mean_idf(docs, X.tokens(c("text"))))
-    return r.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    index = _postings(s, d, "words", X.tokens(c("text")), 1.5)
+    return L.rounded(P.search(index, q, 10, floor=0.25 * P.mean_idf(index)))
+
+
+@query()
+def bm25_stemmed(s, d):
+    """The full-text index as the sources build it: Porter stems on both sides."""
+    stems = lambda t: F.array_distinct(porter.stems(t))
+    q = _queries(s, d, stems(X.fts_terms(c("text")))).withColumn("weight", F.lit(1))
+    return L.rounded(P.search(_postings(s, d, "stems", porter.stems(_fts_terms(c("text"))), 1.2), q, 10))
 
 
 @query(f"SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({_WS}) AS term FROM documents) GROUP BY ALL")
@@ -148,21 +170,29 @@ def ann_union_max(s, d):
     return L.top_k(u, 10, item="vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-def _lists(s, d):
-    v = _vectors(s, d)
-    return v, D.fit_lists(v)
+def _ivf(s, d):
+    """The inverted lists at rest over ``embeddings``, built where there are none for these files."""
+    v = D.valid(_vectors(s, d), 64)
+    contract = G.files_contract(_vectors(s, d), "ivf")
+    return I.open_index(s, G.built(s, G.index_root(s), "ivf", contract, lambda folder: I.fill(v, folder)))
 
 
 @query()
 def ivf_assign(s, d):
-    v, cent = _lists(s, d)
-    return D.assign(v, cent).select("vec_id", "list_id")
+    return _ivf(s, d).table.select("vec_id", "list_id")
 
 
 @query()
 def ann_ivf_topk(s, d):
-    v, cent = _lists(s, d)
-    return D.ivf_topk(v, _asked(s, d), cent, 10, D.fit_probes(v, cent, 10)).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+    return I.search(_ivf(s, d), _asked(s, d), 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def ann_graph_topk(s, d):
+    """Layered proximity graphs at rest, searched by beams."""
+    v = D.valid(_vectors(s, d), 64)
+    made = G.built(s, G.index_root(s), "graph", G.files_contract(_vectors(s, d), "graph"), lambda folder: H.fill(v, folder))
+    return H.search(s, made, _asked(s, d), 10)
 
 
 @query()
@@ -245,8 +275,24 @@ def source_balanced_topk(s, d):
 
 @query("SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY 1 / (1 + exp(-(ln(greatest(1e-6, least(1 - 1e-6, rerank)) / (1 - greatest(1e-6, least(1 - 1e-6, rerank))))))) DESC, chunk_id) AS rank FROM cand) WHERE rank <= 10", CANDIDATES)
 def rerank_order(s, d):
-    r = T.candidates(s, d).select("query_id", "chunk_id", S.calibrate(c("rerank")).alias("p"))
-    return L.top_k(r, 10, "p", "chunk_id").select("query_id", "chunk_id", "rank")
+    """Through the scorer slot; the scorer at hand reads the score that comes with a passage."""
+    given = T.candidates(s, d).select("query_id", "chunk_id", "dense", c("rerank").cast("string").alias("text"))
+    r = R.rerank(given, lambda _, passages: [{"index": i, "p_hat": float(p)} for i, p in enumerate(passages)])
+    return r.where("rank <= 10").select("query_id", "chunk_id", "rank")
+
+
+@query("""SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN bad THEN dense ELSE round(least(1 - 1e-6, greatest(1e-6, tokens / 1000.0)), 9) END DESC, chunk_id) AS rank,
+ CASE WHEN bad THEN 'identity:rerank-error' ELSE 'identity' END AS version FROM (SELECT *, max(tokens) OVER (PARTITION BY query_id) > 5000 OR max(tokens) OVER (PARTITION BY query_id) > 1000 AND query_id % 2 = 1 AS bad FROM cand)""", CANDIDATES)
+def rerank_open(s, d):
+    """A scorer with faults: it fails on passages above 5,000 words, and for odd queries loses one above 1,000; such queries keep their first order."""
+
+    def scorer(query, passages):
+        sizes = [len(X.WORDS.findall(p)) for p in passages]
+        if max(sizes) > 5000:
+            raise TimeoutError("passage too long")
+        return [{"index": i, "score": n / 1000} for i, n in enumerate(sizes) if not (int(query) % 2 and n > 1000)][::-1]
+
+    return R.rerank(T.candidates(s, d), scorer).select("query_id", "chunk_id", "rank", "version")
 
 
 @query("""SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, round(coalesce(nullif(a.dense, 0), b.dense), 6) AS dense, round(coalesce(b.rerank, a.rerank), 6) AS rerank

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import dense
+from ..operators import refresh as Refresh
 from ..operators import storage as St
+from ..operators.pipeline import _folder
 from ..sources import tables as T
 from .base import CHUNKS, Registry
 
@@ -175,3 +180,17 @@ def rate_limit_totals(s, d):
     e = T.table(s, d, "events").select("event_type", F.from_json("props", "map<string,bigint>").alias("m"))
     flat = e.select("event_type", F.explode_outer("m").alias("key", "v"))
     return flat.groupBy("event_type").agg(n().alias("requests"), F.count_if(c("event_type") == "error").alias("limited"), F.sum("v").alias("k"))
+
+
+_FRESH = "coalesce(embedding_size, 0) = 0 OR embedding_space <> 'cur' OR coalesce(embedding_model, '') <> 'm1' OR embedding_dim <> 64"
+
+
+@query(f"SELECT chunk_id, CASE WHEN stale THEN 'cur' ELSE embedding_space END AS embedding_space, CASE WHEN stale THEN 'm1' ELSE embedding_model END AS embedding_model, CASE WHEN stale THEN 64 ELSE embedding_dim END AS embedding_dim, stale AS refreshed FROM (SELECT *, coalesce({_FRESH}, true) AS stale FROM chunks WHERE regexp_matches(text, '\\S'))", CHUNKS)
+def refresh_embeddings(s, d):
+    """Stale vectors embedded in batches into a patch table, and the table as it stands after it; a second run has nothing to do."""
+    rows = T.chunks(s, d).where(F.col("text").rlike(r"\S"))
+    folder, target = f"{_folder(s)}/refresh-{uuid.uuid4().hex}", Refresh.Target("cur", "m1", 64)
+    Refresh.refresh(rows, folder, target, dense.embed_texts)
+    if Refresh.refresh(rows, folder, target, dense.embed_texts)["stale"]:
+        raise RuntimeError("rows are stale after a refresh")
+    return Refresh.merged(rows, folder, target).select("chunk_id", "embedding_space", "embedding_model", "embedding_dim", "refreshed")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..operators.pipeline import exists
 
 
 def windows(events: DataFrame, size: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
@@ -30,21 +34,19 @@ def ingest(spark: SparkSession, source: str, schema, checkpoint: str, sink: Call
     q.awaitTermination()
 
 
-def cooldown(errors_in_a_row: int, base: float = 1.0, most: float = 60.0) -> float:
-    return min(most, base * 2 ** max(0, errors_in_a_row - 1)) if errors_in_a_row else 0.0
-
-
-def limiter(events: DataFrame) -> DataFrame:
-    """Keyed state of a rate limiter on a stream: errors in a row and the cooldown after them."""
-
-    def run(key, batches, state):
-        run_, most = state.get if state.exists else (0, 0)
-        for pdf in batches:
-            for kind in pdf.sort_values(["ts", "event_id"]).event_type:
-                run_ = run_ + 1 if kind == "error" else 0
-                most = max(most, run_)
-        state.update((run_, most))
-        yield pd.DataFrame([(key[0], run_, most, cooldown(run_))], columns=["user_id", "run", "longest", "cooldown"])
-
-    e = events.select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    return e.groupBy("user_id").applyInPandasWithState(run, "user_id long, run int, longest int, cooldown double", "run int, longest int", "update", "NoTimeout")
+def ingest_once(spark: SparkSession, source: str, schema: StructType, base: str, transform: Callable[[DataFrame], DataFrame], contract: dict, files: int = 1000) -> DataFrame:
+    """What ``transform`` makes of all files so far, each file's rows once, whatever failed on the way.
+
+    A batch replaces the folder named by its number, so one that failed after writing and runs again leaves no rows twice.
+    The checkpoint and the folders belong to one ``contract`` (settings, with the source and its schema): under another one
+    the state of the first is refused.
+    """
+    bound = hashlib.sha256(json.dumps([source, schema.jsonValue(), contract], sort_keys=True).encode()).hexdigest()
+    if exists(spark, f"{base}/contract"):
+        held = spark.read.text(f"{base}/contract").first()[0]
+        if held != bound:
+            raise ValueError(f"{base} was begun under another contract ({held[:12]}, now {bound[:12]})")
+    else:
+        spark.createDataFrame([(bound,)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/contract")
+    ingest(spark, source, schema, f"{base}/state", lambda df, number: transform(df).write.mode("overwrite").parquet(f"{base}/out/batch={number}"), files)
+    return spark.read.parquet(f"{base}/out")
