@@ -90,7 +90,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+
+
+def _lloyd_sql(k: int = 8, rounds: int = 10, dim: int = 64, scale: int = 1024, salt: str = "3:") -> str:
+    """The rounds written one after the other."""
+    far = "list_dot_product(v.e, v.e) - 2 * list_dot_product(v.e, c.c) + list_dot_product(c.c, c.c)"
+    steps = [
+        f"""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS e FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{salt}' || vec_id)) - 1 AS j, e AS c FROM v ORDER BY j LIMIT {k})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, any_value(e) AS e, min({{'d': d, 'j': j}}) AS best FROM (SELECT v.vec_id, v.e, c.j, {far} AS d FROM v, c{r} c) GROUP BY vec_id)")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (SELECT c.j, coalesce(m.c, c.c) AS c FROM c{r} c LEFT JOIN (SELECT j, list(floor(s / n) ORDER BY i) AS c FROM (
+  SELECT best.j AS j, i, sum(e[i]) AS s, count(*) AS n FROM a{r}, range(1, {dim + 1}) AS t(i) GROUP BY ALL) GROUP BY j) m USING (j))""")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT a.vec_id, a.best.j::INT AS cluster, a.best.d::BIGINT AS distance, sum(a.best.d) OVER (PARTITION BY a.best.j)::BIGINT AS cluster_inertia, sum(a.best.d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(list_transform(c.c, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.j = a.best.j"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_centroid_clustering": _lloyd_sql(),
+    "op12_hard_negatives": """
+WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.e, b.e)::BIGINT AS score FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS n FROM s WHERE same) WHERE n <= 5),
+f AS (SELECT p.anchor_id, p.id AS positive_id, p.score AS positive_score, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM f WHERE rank <= 3
+""",
     "op3_line_dedup": r"""
 WITH all_lines AS (
   SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS j FROM documents),
