@@ -101,20 +101,19 @@ def means(kept: DataFrame, centroids: list[list[int]], scale: int) -> list[list[
             while n and (limb == 0 or any(t)):  # signed limbs of 31 bits, the lowest first
                 low = [(v + (1 << LIMB - 1)) % (1 << LIMB) - (1 << LIMB - 1) for v in t]
                 t = [(v - w) >> LIMB for v, w in zip(t, low, strict=True)]
-                rows.append((j, limb, n if limb == 0 else 0, low))
+                rows += [(j, limb, i, v) for i, v in enumerate(low)] + [(j, limb, dim, n)] * (limb == 0)
                 limb += 1
         if rows:
-            yield pd.DataFrame(rows, columns=["cluster", "limb", "n", "sums"])
+            yield pd.DataFrame(rows, columns=["cluster", "limb", "i", "s"])
 
-    parts = kept.select("embedding").mapInPandas(sums, "cluster int, limb int, n long, sums array<long>")
-    merged = parts.groupBy("cluster", "limb").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("sums")[i]) for i in range(dim)]).alias("sums")).collect()  # k rows a limb
+    # a row a component, and the count at the end of the lowest limb's
+    parts = kept.select("embedding").mapInPandas(sums, "cluster int, limb int, i int, s long")
+    merged = parts.groupBy("cluster", "limb", "i").agg(F.sum("s").alias("s")).collect()  # k x dim rows a limb
     sent.unpersist()
-    out = [list(c) for c in centroids]
-    for j in {r["cluster"] for r in merged}:
-        limbs = [r for r in merged if r["cluster"] == j]
-        n = sum(r["n"] for r in limbs)
-        out[j] = [sum(r["sums"][i] << LIMB * r["limb"] for r in limbs) // n for i in range(dim)]
-    return out
+    total = [[0] * (dim + 1) for _ in centroids]
+    for r in merged:
+        total[r["cluster"]][r["i"]] += r["s"] << LIMB * r["limb"]
+    return [[v // t[dim] for v in t[:dim]] if t[dim] else list(c) for t, c in zip(total, centroids, strict=True)]
 
 
 def lloyd(vectors: DataFrame, k: int = 8, rounds: int = 10, dim: int = 64, scale: int = 1024, salt: str = "3:") -> tuple[DataFrame, list[list[int]]]:
