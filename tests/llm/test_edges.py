@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from verisift.llm import classifier, decontaminate, html, lines, mixing, neardup, repeats, rules, secrets, sharding
 
@@ -98,3 +100,26 @@ def test_equal_rows_get_equal_results(docs):
     for r in ("kept", "class_id"):
         got = [x[r] for x in neardup.near_duplicates(docs).where("doc_id = 3 and th is not null").collect()]
         assert len(got) == 3
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_string_ids(name, spark, docs, bench):
+    named = docs.select(F.concat(F.lit("d"), F.col("doc_id")).alias("doc_id"), *[c for c in docs.columns if c != "doc_id"])
+    labels = spark.createDataFrame([("d3", 1, 0), ("d7", 0, 1), (None, 1, 0), ("d99", 1, 1)], "doc_id string, quality int, toxic int")
+    got = OPERATORS[name](named, labels, bench).collect()
+    assert {r.doc_id for r in got} == {"d1", "d2", "d3", "d4", "d5", "d6", "d7", "d8", None}
+
+
+@pytest.mark.parametrize("stage", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_with_any_column_name(stage, spark, docs, labels, bench, tmp_path):
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    odd = docs.withColumn("a.b", F.lit(7)).withColumn("x y", F.struct(F.lit(1).alias("p.q"))).withColumn("row", F.lit("r")).withColumn("b`t", F.lit(None).cast("string"))
+    f = dict(corpus_pipeline.STAGES)[stage]
+    got, want = f(spark, odd, str(tmp_path)), f(spark, docs, str(tmp_path))
+    plain = [c for c in want.columns if c in docs.columns]
+    if stage != "sharding":
+        assert got.columns == odd.columns
+        assert all(r["a.b"] == 7 and r["x y"]["p.q"] == 1 and r["row"] == "r" and r["b`t"] is None for r in got.collect())
+    show = lambda df: sorted(map(repr, df.select(*plain).collect()))
+    assert show(got) == show(want)

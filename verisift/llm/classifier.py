@@ -137,7 +137,7 @@ def classify(docs: DataFrame, lexicon: list[str], n_sample: int = 4000, buckets:
 
     ``n_sample`` documents, in hash order of their ids, bound the scorer's training set.
     """
-    spark = docs.sparkSession
+    spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
     words = frozenset(lexicon)
     posterior = fit_labels(count_patterns(docs, lexicon))
     ids = docs.select(F.col("doc_id").alias("_i")).where("_i is not null").distinct().orderBy(F.xxhash64("_i", F.lit(5)), "_i").limit(n_sample)
@@ -157,7 +157,7 @@ def classify(docs: DataFrame, lexicon: list[str], n_sample: int = 4000, buckets:
                     ps.append(posterior.get(v, 0.5))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fs, pa.list_(pa.int64())), pa.array(xs, pa.list_(pa.float64())), pa.array(ps, pa.float64())], names=["id", "f", "x", "p"])
 
-    got = sorted(sample.mapInArrow(encode, "id long, f array<long>, x array<double>, p double").collect(), key=lambda r: (r["id"], r["f"]))
+    got = sorted(sample.mapInArrow(encode, f"id {kind}, f array<long>, x array<double>, p double").collect(), key=lambda r: (r["id"], r["f"]))
     w, bias = train([(np.array(r["f"], np.int64), np.array(r["x"])) for r in got], np.array([r["p"] for r in got]), buckets) if got else (np.zeros(buckets), 0.0)
     model = spark.sparkContext.broadcast(w)  # buckets x 8 bytes
 
@@ -173,5 +173,5 @@ def classify(docs: DataFrame, lexicon: list[str], n_sample: int = 4000, buckets:
                 good.append(1 / (1 + np.exp(-np.clip(weight[index] @ value + bias, -500, 500))))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(weak, pa.float64()), pa.array(good, pa.float64())], names=["doc_id", "th", "weak_label", "score"])
 
-    scored = keyed(docs).mapInArrow(score, "doc_id long, th long, weak_label double, score double")
+    scored = keyed(docs).mapInArrow(score, f"doc_id {kind}, th long, weak_label double, score double")
     return scored.select("doc_id", "th", F.round("weak_label", 6).alias("weak_label"), F.round("score", 6).alias("score"), (F.col("score") >= threshold).alias("kept"))

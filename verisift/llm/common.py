@@ -71,9 +71,14 @@ def keyed(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str = "
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"), *more)
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of a row in one struct, whatever their names."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+
+
 def wrapped(docs: DataFrame) -> DataFrame:
     """``doc_id, th, row``: the key beside the whole row, so that no column of the input clashes with a plan's own."""
-    return docs.select("doc_id", F.xxhash64(text_or_empty()).alias("th"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return docs.select("doc_id", F.xxhash64(text_or_empty()).alias("th"), whole_row(docs).alias("row"))
 
 
 def same_doc(a: DataFrame, b: DataFrame) -> Column:

@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed
+from .common import keyed, text_or_empty, whole_row
 
 _WORD = re.compile(r"[^\W_]+")
 STEPS, BITS, DISTINCT = 8, 4, 3
@@ -333,16 +333,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, block_bytes: int = 2 << 20) -> DataFrame:
     """Rows and columns of ``docs`` in which no item occurs; a filter in place, without a join."""
-    names, schema = docs.columns, docs.schema
-    at = names.index("text")
+    rows = docs.select(whole_row(docs).alias("row"), text_or_empty().alias("text"))
+    schema = rows.schema
     for items in item_blocks(benchmark, block_bytes):
         block = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(it: Iterator[pa.RecordBatch], name=uuid.uuid4().hex, block=block) -> Iterator[pa.RecordBatch]:
             m = _matcher(name, block, similarity)
             for b in it:
-                for part, texts in _pieces(b, at):
+                for part, texts in _pieces(b, 1):
                     yield part.filter(pa.array([not found for found in m.find(texts)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, schema)
-    return docs
+        rows = rows.mapInArrow(run, schema)
+    return rows.select("row.*")

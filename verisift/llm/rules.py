@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, unstage
+from .common import keyed, text_or_empty, unstage, whole_row
 from .stats import RATIOS, RAW, labelled_sample, learn_lexicon, measure, with_stats
 
 FEATURES = (*RATIOS, "n_words")
@@ -164,6 +164,6 @@ def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
 
 def kept_documents(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """Rows and columns of ``docs`` whose document is kept; statistics are taken beside the row, so nothing is joined."""
-    marked = with_stats(docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("text"), F.lit("")).alias("text")), rules.lexicon)
+    marked = with_stats(docs.select(whole_row(docs).alias("_row"), text_or_empty().alias("text")), rules.lexicon)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return marked.where(~failed & (rules.verdict() == 0)).select("_row.*")

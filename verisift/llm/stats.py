@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .common import stage
 
@@ -79,7 +80,7 @@ def with_stats(rows: DataFrame, lexicon: Iterable[str] = ()) -> DataFrame:
     """``rows`` (``doc_id, th, text, ...``) with all statistics in place of the text."""
     words = frozenset(lexicon)
     keep = [f for f in rows.schema.fields if f.name != "text"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + [f"{c} long" for c in RAW] + [f"{c} double" for c in RATIOS])
+    schema = StructType([*keep, *[StructField(c, LongType()) for c in RAW], *[StructField(c, DoubleType()) for c in RATIOS]])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
