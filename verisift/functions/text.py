@@ -128,3 +128,20 @@ RETRY_HEADERS = ("retry-after-ms", "Retry-After-Ms", "retry-after", "Retry-After
 def retry_after(headers: Column, now: Column) -> Column:
     """Seconds to wait by the first header of a map that can be read."""
     return F.coalesce(*[header_seconds(F.try_element_at(headers, F.lit(h)), now) for h in RETRY_HEADERS])
+
+
+def compose(title: Column, abstract: Column, body: Column, total: Column) -> Column:
+    """Title, abstract and body within ``total`` words: the title up to 32, the abstract up to a quarter of the total and 64 at
+    least, the body what is left; a part's heading counts once for the abstract. What has no room is left out."""
+    t, a, b = (words(F.coalesce(x, F.lit(""))) for x in (title, abstract, body))
+    cut = lambda w, n: F.array_join(F.slice(w, 1, F.greatest(n, F.lit(0))), " ")
+    budget = F.greatest(total, F.lit(0)).cast("int")
+    n_title = F.least(F.size(t), F.lit(32), budget)
+    after = budget - n_title
+    has_abstract = (F.size(a) > 0) & (after > 0)
+    n_abstract = F.least(F.size(a), F.greatest(F.lit(64), F.floor(total / 4).cast("int")), after)
+    rest = F.when(has_abstract, after - n_abstract - 1).otherwise(after)
+    return F.concat_ws(
+        "\n\n", F.when(n_title > 0, cut(t, n_title)), F.when(has_abstract, F.concat(F.lit("Abstract\n\n"), cut(a, n_abstract))),
+        F.when((F.size(b) > 0) & (rest > 0), F.concat(F.lit("Body excerpt\n\n"), cut(b, F.least(F.size(b), rest)))),
+    )

@@ -87,9 +87,32 @@ def expand_query(query: Column, missing: Column) -> Column:
     return F.when(F.size(extra) > 0, F.concat(query, F.lit(" "), F.array_join(extra, " "))).otherwise(query)
 
 
-def apply_hints(focus: Column, exclusive: Column, safety: Column, relax: Column, review: Column, increase_k: Column, top_k: Column, policy: Column, min_grade: Column, s: Settings = Settings()) -> Column:  # noqa: B008
-    """``k, source, policy, preferred, safety_search, min_grade, relaxed, review`` of the next round of retrieval."""
-    known = F.upper(focus).isin("CPG", "EMR", "LIT", "SAFETY")
+#: Facet to the agent that looks for it and its source; fixed values in their order.
+ROUTES = (("guideline_concordance", "guideline", "CPG"), ("evidence_quality", "quality", "CPG"), ("patient_applicability", "emr", "EMR"), ("safety_contraindications", "safety", "SAFETY"))
+
+
+def hints(missing: Column, unresolved: Column) -> Column:
+    """What the next round should look for: agents, a source to focus on (the only one, if one source has all that is missing), and what to relax."""
+    has = lambda f: F.coalesce(F.array_contains(missing, f), F.lit(False))
+    contested = F.coalesce(unresolved > 0, F.lit(False))
+    agents = F.array_compact(F.array(*[F.when(has(f), F.lit(a)) for f, a, _ in ROUTES], F.when(contested, F.lit("critic"))))
+    sources = F.array_distinct(F.array_compact(F.array(*[F.when(has(f), F.lit(x)) for f, _, x in ROUTES])))
+    safety = has("safety_contraindications")
+    return F.struct(
+        F.lit(True).alias("increase_k"), (safety | contested).alias("relax_filters"), (F.coalesce(F.size(missing), F.lit(0)) > 0).alias("expand_synonyms"), missing.alias("missing"),
+        F.get(sources, F.lit(0)).alias("focus"), (F.size(sources) == 1).alias("exclusive"), safety.alias("safety_search"), contested.alias("contradiction_review"),
+        F.get(agents, F.lit(0)).alias("routed_agent"), agents.alias("agents"),
+    )
+
+
+def apply_hints(
+    focus: Column, exclusive: Column, safety: Column, relax: Column, review: Column, increase_k: Column, top_k: Column, policy: Column, min_grade: Column, s: Settings = Settings(), timeframe: Column | None = None  # noqa: B008
+) -> Column:
+    """``k, source, policy, preferred, safety_search, min_grade, relaxed, review`` (and ``timeframe``) of the next round of retrieval.
+
+    A focus is exclusive unless the hints say otherwise; relaxing drops the least grade and the timeframe.
+    """
+    known, exclusive, relax = F.upper(focus).isin("CPG", "EMR", "LIT", "SAFETY"), F.coalesce(exclusive, F.lit(True)), F.coalesce(relax, F.lit(False))
     only = F.coalesce(known & exclusive, F.lit(False))
     k = F.when(increase_k, s.k_more).otherwise(F.coalesce(F.when(top_k != 0, top_k), F.lit(s.k)))
     return F.struct(
@@ -101,6 +124,7 @@ def apply_hints(focus: Column, exclusive: Column, safety: Column, relax: Column,
         F.when(~relax, min_grade).alias("min_grade"),
         relax.alias("relaxed"),
         review.alias("review"),
+        *([] if timeframe is None else [F.when(~relax, timeframe).alias("timeframe")]),
     )
 
 

@@ -12,8 +12,9 @@ from ..functions import scores as S
 from ..functions import text as X
 from ..operators import evidence as E
 from ..operators import selection, strategy
+from ..operators import strategy as decide_next
 from ..operators.lexical import top_k
-from ..operators.pipeline import sufficiency, written
+from ..operators.pipeline import in_scope, next_scopes, sufficiency, written
 from ..sources import tables as T
 from . import scope as P
 from .base import CANDIDATES, Registry
@@ -175,18 +176,40 @@ def marginal_deficit(s, d):
     return gate(s, d).select("query_id", F.round("marginal", 9).alias("marginal"))
 
 
-#: Facet to the agent that looks for it and its source; fixed values in their order.
-ROUTES = (("guideline_concordance", "guideline", "CPG"), ("evidence_quality", "quality", "CPG"), ("patient_applicability", "emr", "EMR"), ("safety_contraindications", "safety", "SAFETY"))
+ROUTES = decide_next.ROUTES
+_HINTS = f"""SELECT query_id, true AS increase_k, list_contains(missing, 'safety_contraindications') OR unresolved > 0 AS relax_filters, len(missing) > 0 AS expand_synonyms, missing, src[1] AS focus, len(src) = 1 AS exclusive,
+ list_contains(missing, 'safety_contraindications') AS safety_search, unresolved > 0 AS contradiction_review, agents[1] AS routed_agent, agents FROM
+ (SELECT *, list_filter([{', '.join(f"CASE WHEN list_contains(missing, '{f}') THEN '{a}' END" for f, a, _ in ROUTES)}, CASE WHEN unresolved > 0 THEN 'critic' END], lambda x: x IS NOT NULL) AS agents FROM
+ (SELECT *, list_filter([CASE WHEN list_contains(missing, 'guideline_concordance') OR list_contains(missing, 'evidence_quality') THEN 'CPG' END, CASE WHEN list_contains(missing, 'patient_applicability') THEN 'EMR' END,
+ CASE WHEN list_contains(missing, 'safety_contraindications') THEN 'SAFETY' END], lambda x: x IS NOT NULL) AS src FROM g))"""
 
 
-@query(f"""SELECT query_id, list_filter([{', '.join(f"CASE WHEN list_contains(missing, '{f}') THEN '{a}' END" for f, a, _ in ROUTES)}, CASE WHEN unresolved > 0 THEN 'critic' END], lambda x: x IS NOT NULL) AS agents,
- CASE WHEN len(src) = 1 THEN src[1] END AS focus, list_contains(missing, 'safety_contraindications') AS safety_search, unresolved > 0 AS contradiction_review FROM
- (SELECT *, list_distinct(list_filter([{', '.join(f"CASE WHEN list_contains(missing, '{f}') THEN '{x}' END" for f, _, x in ROUTES)}], lambda x: x IS NOT NULL)) AS src FROM g)""", _GATE)
+@query(_HINTS, _GATE)
 def gate_hints(s, d):
-    has = lambda f: F.array_contains("missing", f)
-    agents = F.array_compact(F.array(*[F.when(has(f), F.lit(a)) for f, a, _ in ROUTES], F.when(c("unresolved") > 0, F.lit("critic"))))
-    src = F.array_distinct(F.array_compact(F.array(*[F.when(has(f), F.lit(x)) for f, _, x in ROUTES])))
-    return gate(s, d).select("query_id", agents.alias("agents"), F.when(F.size(src) == 1, F.get(src, F.lit(0))).alias("focus"), has("safety_contraindications").alias("safety_search"), (c("unresolved") > 0).alias("contradiction_review"))
+    return gate(s, d).select("query_id", decide_next.hints(c("missing"), c("unresolved")).alias("h")).select("query_id", "h.*")
+
+
+_MORE = """act AS (SELECT *, CASE WHEN len(missing) = 0 AND uh = 0 AND unresolved <= 0 AND n > 0 AND weak = 0 THEN 'ACCEPT' WHEN len(missing) > 0 OR uh > 0 OR unresolved > 0 OR marginal > 2e-4 THEN 'RETRIEVE_MORE' ELSE 'INSUFFICIENT' END AS action FROM g),
+ hint AS (SELECT h.* FROM (""" + _HINTS + """) h JOIN act USING (query_id) WHERE action = 'RETRIEVE_MORE'),
+ sc AS (SELECT query_id, 16 AS k, CASE WHEN exclusive THEN focus END AS source, CASE WHEN exclusive THEN focus || '_ONLY' WHEN safety_search THEN 'ANY' END AS policy, CASE WHEN NOT exclusive THEN focus END AS preferred,
+ CASE WHEN NOT relax_filters THEN 0.3::DOUBLE END AS min_grade, CASE WHEN NOT relax_filters THEN DATE '2016-01-01' END AS timeframe FROM hint)"""
+
+
+def _scopes(s, d):
+    return next_scopes(gate(s, d), Settings(k=8, k_more=16), 8, min_grade=0.3, since="2016-01-01")
+
+
+@query("SELECT query_id, k, source, policy, preferred, min_grade, timeframe FROM sc", f"{_GATE}, {_MORE}")
+def next_scope(s, d):
+    """The scope of each query's next round, from the hints of its decision."""
+    return _scopes(s, d).select("query_id", "k", "source", "policy", "preferred", "min_grade", "timeframe")
+
+
+@query("""SELECT query_id, chunk_id, source_type, rank FROM (SELECT cand.*, k, row_number() OVER (PARTITION BY cand.query_id ORDER BY coalesce(source_type = preferred, false) DESC, dense DESC, chunk_id) AS rank FROM cand JOIN sc USING (query_id)
+ WHERE (sc.source IS NULL OR source_type = sc.source) AND (min_grade IS NULL OR grade_score >= min_grade) AND (timeframe IS NULL OR effective_date >= timeframe)) WHERE rank <= k""", f"{_GATE}, {_MORE}")
+def second_round(s, d):
+    """The rows of each query's next round: its hints change its sources, filters and breadth."""
+    return in_scope(T.candidates(s, d), written(_scopes(s, d), "scopes")).select("query_id", "chunk_id", "source_type", "rank")
 
 
 @query("SELECT query_id, count(*) FILTER (source_type = 'CPG') / 3.0::DOUBLE AS kappa_cpg, count(*) FILTER (source_type = 'EMR') / 2.0::DOUBLE AS kappa_emr, round(avg(coalesce(nullif(rerank, 0), nullif(dense, 0))), 6) AS mean_confidence FROM cand WHERE dense >= 0.5 GROUP BY 1", CANDIDATES)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import constraints as Con
 from ..operators import chunking
 from ..sources import files
 from ..sources import tables as T
@@ -83,12 +84,16 @@ def strip_reference_tail(s, d):
     return T.table(s, d, "documents").select("doc_id", F.md5(X.strip_reference_tail(t)).alias("kept_md5"))
 
 
-@query(f"""SELECT doc_id, 'Title' || chr(10) || array_to_string({W}[1:32], ' ') || chr(10) || chr(10) || 'Abstract' || chr(10) || array_to_string({W}[33:132], ' ') || chr(10) || chr(10) || 'Body' || chr(10)
- || array_to_string({W}[133:400], ' ') AS text FROM documents""")
+@query(f"""WITH w AS (SELECT doc_id, (n_chars % 450)::INT AS t, {W}[1:40] AS tw, {W}[41:240] AS aw, {W}[1:300] AS bw FROM documents), a AS (SELECT *, least(len(tw), 32, t) AS nt FROM w),
+ b AS (SELECT *, t - nt AS after, len(aw) > 0 AND t - nt > 0 AS has FROM a), c AS (SELECT *, least(len(aw), greatest(64, t // 4), after) AS na FROM b), d AS (SELECT *, CASE WHEN has THEN after - na - 1 ELSE after END AS rest FROM c)
+ SELECT doc_id, t AS budget, md5(concat_ws(chr(10) || chr(10), CASE WHEN nt > 0 THEN array_to_string(tw[1:nt], ' ') END, CASE WHEN has THEN 'Abstract' || chr(10) || chr(10) || array_to_string(aw[1:na], ' ') END,
+ CASE WHEN len(bw) > 0 AND rest > 0 THEN 'Body excerpt' || chr(10) || chr(10) || array_to_string(bw[1:least(len(bw), rest)], ' ') END)) AS text_md5 FROM d""")
 def compose_text(s, d):
+    """Parts of each document within a budget of its own; the body is an excerpt of 300 words."""
     w = X.words(c("text"))
     part = lambda a, n: F.array_join(F.slice(w, a, n), " ")
-    return T.table(s, d, "documents").select("doc_id", F.concat(F.lit("Title\n"), part(1, 32), F.lit("\n\nAbstract\n"), part(33, 100), F.lit("\n\nBody\n"), part(133, 268)).alias("text"))
+    budget = (c("n_chars") % 450).cast("int")
+    return T.table(s, d, "documents").select("doc_id", budget.alias("budget"), F.md5(X.compose(part(1, 40), part(41, 200), X.first_words(c("text"), 300), budget)).alias("text_md5"))
 
 
 @query("""SELECT doc_id, md5(concat_ws(chr(10) || chr(10), CASE WHEN lang <> '' THEN 'Title' || chr(10) || lang END, CASE WHEN doc_id % 3 = 0 THEN 'Abstract' || chr(10) || source END,
@@ -284,3 +289,18 @@ def parse_retry_after(s, d):
     )
     wait = X.retry_after(headers, F.lit(_NOW).cast("timestamp"))
     return T.table(s, d, "events").select("event_id", F.round(wait, 6).alias("seconds"), F.round(F.least(F.lit(30.0), 1.5 * F.pow(F.lit(2.0), e % 7)), 6).alias("backoff"))
+
+
+@query("""SELECT doc_id, e, CASE WHEN n IS NULL THEN 'top_fields' WHEN NOT regexp_matches(text, '\\S') THEN 'content' WHEN source IS NULL OR lang IS NULL THEN 'metadata_fields'
+ WHEN total < 1 THEN 'total_chunks' WHEN length < 1 THEN 'chunk_length' END AS first FROM (SELECT d.*, len(v.embedding) AS n, n_chars // 400 AS total, n_chars - 150 AS length,
+ list_filter([CASE WHEN v.embedding IS NULL THEN 'top_fields' END, CASE WHEN NOT regexp_matches(text, '\\S') THEN 'content' END, CASE WHEN v.embedding IS NULL THEN 'embedding_size' END, CASE WHEN v.embedding IS NULL THEN 'embedding_values' END,
+ CASE WHEN n_chars // 400 < 1 THEN 'total_chunks' END, CASE WHEN n_chars - 150 < 1 THEN 'chunk_length' END], lambda x: x IS NOT NULL) AS e FROM documents d LEFT JOIN embeddings v ON v.vec_id = d.doc_id)""".replace("SELECT doc_id, e,", "SELECT doc_id, e AS errors,").replace("AS first FROM", "AS first_error FROM"))
+def pre_store_validation(s, d):
+    """Chunk records as JSON, with a vector where there is one, under the eighteen ordered checks."""
+    v = T.table(s, d, "embeddings").select(c("vec_id").alias("doc_id"), "embedding")
+    length = c("n_chars")
+    meta = F.struct(c("source").alias("parent_id"), "source", c("lang").alias("task"), F.lit(1).alias("sequence"), F.floor(length / 400).alias("total_chunks"), F.lit("text").alias("content_type"), F.array(c("lang")).alias("related_chunks"), (length - 150).alias("chunk_length"), F.lit("2024-01-01T00:00:00Z").alias("created_timestamp"))
+    record = F.struct(F.concat(F.lit("c"), c("doc_id").cast("string")).alias("chunk_id"), c("text").alias("content"), "embedding", meta.alias("metadata"), F.lit("m1").alias("embedding_model"), F.lit(64).alias("embedding_dim"))
+    rows = T.table(s, d, "documents").join(v, "doc_id", "left").select("doc_id", F.parse_json(F.to_json(record)).alias("r"))
+    rules = Con.chunk_rules("r")
+    return rows.select("doc_id", Con.failing(rules).alias("errors"), Con.first_failing(rules).alias("first_error"))
