@@ -278,39 +278,55 @@ def abstain_text(s, d):
     return gate(s, d).select("query_id", t.alias("t")).select("query_id", F.when(F.lower("t").contains("decision support"), c("t")).otherwise(F.concat(F.lit("For clinical decision support only. "), "t")).alias("answer"))
 
 
-_QF = "qf AS (SELECT * FROM (VALUES ('safety_contraindications', 0.9::DOUBLE, 1.0::DOUBLE, 'ANY', true, ['token']), ('dosing', 0.6, 1.1, 'CPG_ONLY', true, ['###'])) f(facet, threshold, weight, policy, required, keywords))"
+_QF = r"""own AS (SELECT item_id, regexp_extract_all(text, '\S+') AS w FROM benchmark), qf AS (SELECT item_id, 'safety_contraindications' AS facet, least(0.95, 0.5 + len(w) / 200.0)::DOUBLE AS threshold, 1.0::DOUBLE AS weight, 'ANY' AS policy, true AS required, [w[1]] AS keywords FROM own WHERE len(w) > 0
+ UNION ALL SELECT item_id, 'dosing', 0.6, 1.1, 'CPG_ONLY', true, [w[-1]] FROM own WHERE len(w) > 10), df AS (SELECT item_id, f.* FROM benchmark, facets f)"""
 
 
-@query("""SELECT facet, greatest(coalesce(f.threshold, 0), coalesce(qf.threshold, 0)) AS threshold, greatest(coalesce(f.weight, 0), coalesce(qf.weight, 0)) AS weight, coalesce(qf.policy, f.policy) AS policy, coalesce(f.required, false) OR coalesce(qf.required, false) AS required,
- list_concat(coalesce(f.keywords, []), list_filter(coalesce(qf.keywords, []), lambda k: NOT list_contains(coalesce(f.keywords, []), k))) AS keywords FROM facets f FULL JOIN qf USING (facet)""", f"{_FACETS}, {_QF}")
+@query("""SELECT item_id, facet, greatest(coalesce(f.threshold, 0), coalesce(qf.threshold, 0)) AS threshold, greatest(coalesce(f.weight, 0), coalesce(qf.weight, 0)) AS weight, coalesce(qf.policy, f.policy) AS policy, coalesce(f.required, false) OR coalesce(qf.required, false) AS required,
+ list_concat(coalesce(f.keywords, []), list_filter(coalesce(qf.keywords, []), lambda k: NOT list_contains(coalesce(f.keywords, []), k))) AS keywords FROM df f FULL JOIN qf USING (item_id, facet)""", f"{_FACETS}, {_QF}")
 def build_facets(s, d):
-    """Default facets merged with a query's own: the stricter threshold, the greater weight, both keywords, the query's policy."""
-    own = s.createDataFrame([("safety_contraindications", 0.9, 1.0, "ANY", True, ["token"]), ("dosing", 0.6, 1.1, "CPG_ONLY", True, ["###"])], "facet string, t double, w double, p string, r boolean, k array<string>")
-    j = T.facets(s).join(own, "facet", "full_outer")
+    """Default facets merged with those each question brings: the stricter threshold, the greater weight, both keywords, the question's policy.
+
+    A question asks for safety by its first word, the stricter the longer it is; one of over ten words for dosing by its last.
+    """
+    q = T.table(s, d, "benchmark").select("item_id", F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)).alias("w"))
+    size = F.size("w")
+    brings = F.array(
+        F.when(size > 0, F.struct(F.lit("safety_contraindications").alias("facet"), F.least(F.lit(0.95), 0.5 + size / 200.0).alias("t"), F.lit(1.0).alias("v"), F.lit("ANY").alias("p"), F.array(F.get("w", F.lit(0))).alias("k"))),
+        F.when(size > 10, F.struct(F.lit("dosing").alias("facet"), F.lit(0.6).alias("t"), F.lit(1.1).alias("v"), F.lit("CPG_ONLY").alias("p"), F.array(F.element_at("w", -1)).alias("k"))),
+    )
+    own = q.select("item_id", F.inline(F.array_compact(brings))).withColumn("r", F.lit(True))
+    j = q.select("item_id").join(F.broadcast(T.facets(s))).join(own, ["item_id", "facet"], "full_outer")  # four default facets
     none = F.expr("cast(array() as array<string>)")
-    return j.select("facet", F.greatest("threshold", "t").alias("threshold"), F.greatest("weight", "w").alias("weight"), F.coalesce("p", "policy").alias("policy"), (F.coalesce("required", F.lit(False)) | F.coalesce("r", F.lit(False))).alias("required"), F.array_union(F.coalesce("keywords", none), F.coalesce("k", none)).alias("keywords"))
+    return j.select("item_id", "facet", F.greatest("threshold", "t").alias("threshold"), F.greatest("weight", "v").alias("weight"), F.coalesce("p", "policy").alias("policy"), (F.coalesce("required", F.lit(False)) | F.coalesce("r", F.lit(False))).alias("required"), F.array_union(F.coalesce("keywords", none), F.coalesce("k", none)).alias("keywords"))
 
 
 _TPL = "tpl AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', {n}, '{i}', '{name}', {w}::DOUBLE, {crit}, {th}::DOUBLE, '{p}', {list(k)})" for t, n, i, name, w, crit, th, p, k in TEMPLATES) + ") t(query_type, n, facet_id, name, weight, critical, threshold, policy, keywords))"
 
 
+def question_types(s, d):
+    kind = F.element_at(F.array(*map(F.lit, ("treatment", "diagnosis", "TEST", "prognosis", None))), (c("item_id") % 5 + 1).cast("int"))
+    known = F.lower(kind).isin("treatment", "diagnosis", "test")
+    return T.table(s, d, "benchmark").select("item_id", F.when(known, F.lower(kind)).otherwise("*").alias("query_type"))
+
+
 def templates(s):
     return s.createDataFrame(TEMPLATES, "query_type string, n int, facet_id string, name string, weight double, critical boolean, threshold double, policy string, keywords array<string>")
 
 
-@query("SELECT * FROM tpl", _TPL)
+@query("""SELECT tpl.*, coalesce(q.questions, 0) AS questions FROM tpl LEFT JOIN (SELECT CASE WHEN lower(t) IN ('treatment', 'diagnosis', 'test') THEN lower(t) ELSE '*' END AS query_type, count(*) AS questions
+ FROM (SELECT (['treatment','diagnosis','TEST','prognosis',NULL])[item_id % 5 + 1] AS t FROM benchmark) GROUP BY 1) q USING (query_type)""", _TPL)
 def facet_templates(s, d):
-    return templates(s)
+    """The templates, with the number of questions whose type takes them."""
+    n = question_types(s, d).groupBy("query_type").agg(F.count(F.lit(1)).alias("questions"))
+    return templates(s).join(n, "query_type", "left").withColumn("questions", F.coalesce("questions", F.lit(0)))
 
 
 @query("""SELECT item_id, facet_id, name, weight, critical, threshold, policy, keywords FROM (SELECT item_id, (['treatment','diagnosis','TEST','prognosis',NULL])[item_id % 5 + 1] AS t FROM benchmark) q
  JOIN tpl ON query_type = CASE WHEN lower(t) IN ('treatment', 'diagnosis', 'test') THEN lower(t) ELSE '*' END""", _TPL)
 def required_facets(s, d):
     """The facets of each case's question type; other types share a template."""
-    kind = F.element_at(F.array(*map(F.lit, ("treatment", "diagnosis", "TEST", "prognosis", None))), (c("item_id") % 5 + 1).cast("int"))
-    known = F.lower(kind).isin("treatment", "diagnosis", "test")
-    cases = T.table(s, d, "benchmark").select("item_id", F.when(known, F.lower(kind)).otherwise("*").alias("query_type"))
-    return cases.join(F.broadcast(templates(s)), "query_type").select("item_id", "facet_id", "name", "weight", "critical", "threshold", "policy", "keywords")
+    return question_types(s, d).join(F.broadcast(templates(s)), "query_type").select("item_id", "facet_id", "name", "weight", "critical", "threshold", "policy", "keywords")
 
 
 @query("SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'clinician_cds' ELSE 'research' END AS scope, coalesce(CASE WHEN item_id % 4 <> 1 THEN (item_id % 10) / 10.0 END, 0.7)::DOUBLE AS threshold, coalesce(CASE WHEN item_id % 2 = 0 THEN 1.25 END, 1.0)::DOUBLE AS weight, [CASE WHEN item_id % 2 = 0 THEN 'therapy' ELSE 'a' END] AS keywords FROM benchmark")

@@ -100,14 +100,24 @@ def candidate_projection(s, d):
     return T.candidates(s, d).select("chunk_id", kind.alias("source_type"), F.coalesce(X.blank_to_null(F.col("section")), F.lit("body")).alias("section"), F.round("dense", 6).alias("dense_score"), F.lit("dense").alias("retrieved_by"))
 
 
-@query("""b AS (SELECT * FROM (VALUES ('emr', 8.0::DOUBLE, 2.0::DOUBLE), ('guideline', 9, 1.5), ('safety', 12, 2), ('quality', 5, 3), ('critic', 2, 2)) t(agent, a, b)),
- l AS (SELECT agent, greatest(0.0, least(1.0, a / (a + b) - 1.64485 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))))) AS lcb FROM b)
- SELECT agent, round(lcb, 6) AS lcb, round(lcb / sum(lcb) OVER (), 6) AS weight FROM l""", "o AS (SELECT 1)")
+#: Agents, their Beta priors and the source they read; fixed values.
+AGENTS = (("emr", 8.0, 2.0, "EMR"), ("guideline", 9.0, 1.5, "CPG"), ("safety", 12.0, 2.0, "SAFETY"), ("quality", 5.0, 3.0, "LIT"), ("critic", 2.0, 2.0, None))
+
+
+@query(f"""p AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {a}::DOUBLE, {b}::DOUBLE, {repr(x) if x else 'NULL'})" for n, a, b, x in AGENTS)}) t(agent, a, b, source_type)),
+ o AS (SELECT source_type, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 0) AS bad FROM labels JOIN chunks USING (doc_id) GROUP BY 1),
+ b AS (SELECT agent, a + coalesce(good, 0) AS a, b + coalesce(bad, 0) AS b FROM p LEFT JOIN o USING (source_type)),
+ l AS (SELECT agent, a, b, greatest(0.0, least(1.0, a / (a + b) - 1.64485 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))))) AS lcb FROM b)
+ SELECT agent, a, b, round(lcb, 6) AS lcb, round(lcb / sum(lcb) OVER (), 6) AS weight FROM l""", CHUNKS)
 def agent_weights(s, d):
-    priors = s.createDataFrame([("emr", 8.0, 2.0), ("guideline", 9.0, 1.5), ("safety", 12.0, 2.0), ("quality", 5.0, 3.0), ("critic", 2.0, 2.0)], "agent string, a double, b double")
-    lcb = priors.select("agent", S.beta_lcb(F.col("a"), F.col("b")).alias("lcb"))
+    """Reliability of each agent: its prior and how the labels judged documents of its source, as a lower bound, normalised."""
+    seen = T.table(s, d, "labels").join(T.chunks(s, d).select("doc_id", "source_type"), "doc_id").groupBy("source_type").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
+    priors = s.createDataFrame(AGENTS, "agent string, a double, b double, source_type string")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    counted = priors.join(seen, "source_type", "left").select("agent", (F.col("a") + n("good")).alias("a"), (F.col("b") + n("bad")).alias("b"))
+    lcb = counted.select("*", S.beta_lcb(F.col("a"), F.col("b")).alias("lcb"))
     total = lcb.agg(F.sum("lcb").alias("t"))  # one row beside five
-    return lcb.join(F.broadcast(total)).select("agent", F.round("lcb", 6).alias("lcb"), F.round(F.col("lcb") / F.col("t"), 6).alias("weight"))
+    return lcb.join(F.broadcast(total)).select("agent", "a", "b", F.round("lcb", 6).alias("lcb"), F.round(F.col("lcb") / F.col("t"), 6).alias("weight"))
 
 
 @query(r"""SELECT conv_id, turn, CASE WHEN (SELECT count(*) FROM conversations) > 100000 THEN 'faiss_only' WHEN n < 200 AND t IN ('question_part1', 'answer_part1') THEN 'tree_only' WHEN t IN ('complete_dialogue', 'question_final_and_answer') THEN 'hnsw_only'
