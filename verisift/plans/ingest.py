@@ -103,14 +103,23 @@ def full_text(s, d):
     return T.table(s, d, "documents").select("doc_id", F.md5(F.concat_ws("\n\n", *parts)).alias("full_md5"))
 
 
-_QCA = """qca AS (SELECT conv_id, max(text) FILTER (role = 'system') AS context, arg_min(text, turn) FILTER (role = 'user') AS question, arg_min(text, turn) FILTER (role = 'assistant') AS answer FROM conversations GROUP BY conv_id)"""
+_QCA = """turns AS (SELECT *, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS exchange FROM conversations),
+ ctx AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS context FROM conversations WHERE role = 'system' GROUP BY 1),
+ qca AS (SELECT t.conv_id, exchange, any_value(context) AS context, string_agg(text, chr(10) ORDER BY turn, text) FILTER (role = 'user') AS question, string_agg(text, chr(10) ORDER BY turn, text) FILTER (role = 'assistant') AS answer
+ FROM turns t LEFT JOIN ctx USING (conv_id) WHERE role IN ('user', 'assistant') GROUP BY 1, 2)"""
 
 
 def qca(s, d):
-    """A dialogue as question, context and answer: its first user and assistant turns and its system text."""
+    """A dialogue as exchanges: each user turn with the answers that follow it, and all system texts as the context.
+
+    Answers before any question make exchange 0, without a question; no turn is left out.
+    """
     t = T.table(s, d, "conversations")
-    first = lambda role: F.min_by(F.when(c("role") == role, c("text")), F.when(c("role") == role, c("turn")))
-    return t.groupBy("conv_id").agg(F.max(F.when(c("role") == "system", c("text"))).alias("context"), first("user").alias("question"), first("assistant").alias("answer"))
+    said = lambda role: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c("role") == role, F.struct("turn", "text")))), lambda x: x["text"]), "\n")
+    some = lambda role: F.when(F.count_if((c("role") == role) & c("text").isNotNull()) > 0, said(role))
+    asked = F.count_if(c("role") == "user").over(Window.partitionBy("conv_id").orderBy("turn"))
+    exchanges = t.withColumn("exchange", asked).where(c("role").isin("user", "assistant")).groupBy("conv_id", "exchange").agg(some("user").alias("question"), some("assistant").alias("answer"))
+    return exchanges.join(t.where("role = 'system'").groupBy("conv_id").agg(some("system").alias("context")), "conv_id", "left")
 
 
 @query("SELECT conv_id, coalesce(question, '') AS question, coalesce(context, '') AS context, coalesce(answer, '') AS answer, md5(concat_ws('|', coalesce(question, ''), coalesce(context, ''), coalesce(answer, ''))) AS hash FROM qca WHERE question IS NOT NULL AND answer IS NOT NULL", _QCA)
@@ -230,10 +239,10 @@ def ingest_documents(s, d):
     return r.select(F.concat_ws("_", c("doc_id").cast("string"), c("i").cast("string")).alias("chunk_id"), "doc_id", F.lit("LIT").alias("source_type"), F.array_join(F.slice("w", c("i") * 360 + 1, F.lit(400)), " ").alias("text"), F.lit(0.65).alias("grade"), F.lit(0.75).alias("reliability"))
 
 
-@query("SELECT 'note_' || conv_id AS chunk_id, 'p' || conv_id AS patient_id, 'EMR' AS source_type, coalesce(context, question) AS text, 0.70::DOUBLE AS grade, 0.80::DOUBLE AS reliability FROM qca WHERE coalesce(context, question) IS NOT NULL", _QCA)
+@query("SELECT 'note_' || conv_id || '_' || exchange AS chunk_id, 'p' || conv_id AS patient_id, 'EMR' AS source_type, coalesce(context, question) AS text, 0.70::DOUBLE AS grade, 0.80::DOUBLE AS reliability FROM qca WHERE coalesce(context, question) IS NOT NULL", _QCA)
 def ingest_case_notes(s, d):
     r = qca(s, d).withColumn("text", F.coalesce("context", "question")).where("text is not null")
-    return r.select(F.concat(F.lit("note_"), c("conv_id").cast("string")).alias("chunk_id"), F.concat(F.lit("p"), c("conv_id").cast("string")).alias("patient_id"), F.lit("EMR").alias("source_type"), "text", F.lit(0.70).alias("grade"), F.lit(0.80).alias("reliability"))
+    return r.select(F.concat_ws("_", F.lit("note"), c("conv_id").cast("string"), c("exchange").cast("string")).alias("chunk_id"), F.concat(F.lit("p"), c("conv_id").cast("string")).alias("patient_id"), F.lit("EMR").alias("source_type"), "text", F.lit(0.70).alias("grade"), F.lit(0.80).alias("reliability"))
 
 
 @query("SELECT doc_id AS id, 'documents' AS _split, source, NULL::VARCHAR AS url FROM documents UNION ALL SELECT page_id, 'pages', NULL, url FROM pages UNION ALL SELECT item_id, 'benchmark', NULL, NULL FROM benchmark")
@@ -248,7 +257,7 @@ def src_split_union(s, d):
 @query()
 def src_incremental_files(s, d):
     """Files of the table folders against a state in which each benchmark file has an old hash."""
-    now = files.file_state(s, d, "[br]e*.parquet")
+    now = files.file_state(s, d, "*.parquet")
     before = now.withColumn("hash", F.when(c("path").contains("benchmark"), F.lit("old")).otherwise(c("hash")))
     return files.changed(now, before).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "hash")
 
@@ -262,13 +271,13 @@ def src_jsonl_cases(s, d):
     return rows.select(F.from_json("value", CASE).alias("r")).select("r.case_id", F.length("r.query").alias("n_chars"))
 
 
-@query("SELECT case_id, md5(coalesce(j ->> '$.answer', '')) AS answer_md5 FROM (SELECT conv_id AS case_id, json_object('answer', substr(regexp_replace(coalesce(answer, ''), '[^A-Za-z ]', '', 'g'), 1, 80)) AS j FROM qca)", _QCA)
+@query("SELECT case_id, md5(coalesce(j ->> '$.answer', '')) AS answer_md5 FROM (SELECT conv_id || '_' || exchange AS case_id, json_object('answer', answer) AS j FROM qca)", _QCA)
 def extract_json(s, d):
-    """A JSON object out of a fenced reply."""
-    plain = F.substring(F.regexp_replace(F.coalesce("answer", F.lit("")), "[^A-Za-z ]", ""), 1, 80)
-    reply = F.concat(F.lit("Here it is:\n```json\n"), F.to_json(F.struct(plain.alias("answer"))), F.lit("\n```"))
+    """A JSON object out of a fenced reply, whatever its text holds."""
+    reply = F.concat(F.lit("Here it is:\n```json\n"), F.to_json(F.struct("answer")), F.lit("\n```"))
     body = F.regexp_extract("reply", r"(?s)```(?:json)?\s*(\{.*\})\s*```", 1)
-    return qca(s, d).select(c("conv_id").alias("case_id"), reply.alias("reply")).select("case_id", F.md5(F.coalesce(F.get_json_object(body, "$.answer"), F.lit(""))).alias("answer_md5"))
+    rows = qca(s, d).select(F.concat_ws("_", c("conv_id").cast("string"), c("exchange").cast("string")).alias("case_id"), reply.alias("reply"))
+    return rows.select("case_id", F.md5(F.coalesce(F.get_json_object(body, "$.answer"), F.lit(""))).alias("answer_md5"))
 
 
 _NOW = "2024-02-01 00:00:00"
