@@ -43,15 +43,13 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048
         def run(it: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, q = sent.value
             best_s, best_v = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
-            for b in it:
-                if not b.num_rows:
-                    continue
+            for b in (whole.slice(at, 1024) for whole in it for at in range(0, whole.num_rows, 1024)):
                 v = np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
                 norm = np.linalg.norm(v, axis=1, keepdims=True)
                 v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
-                s = np.hstack([best_s, q @ v.T])
+                s = np.hstack([best_s, np.round(q @ v.T, 9)])
                 own = np.hstack([best_v, np.broadcast_to(b.column(0).to_numpy(), (len(ids), len(v)))])
-                order = np.lexsort((own, -np.round(s, 9)), axis=1)[:, :k]
+                order = np.lexsort((own, -s), axis=1)[:, :k]
                 best_s, best_v = np.take_along_axis(s, order, 1), np.take_along_axis(own, order, 1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(ids, best_s.shape[1])), pa.array(best_v.ravel().astype(np.int64)), pa.array(np.round(best_s.ravel(), 9))], names=["query_id", "vec_id", "score"]
