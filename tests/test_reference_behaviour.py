@@ -16,6 +16,7 @@ from verisift.operators import chunking, dense, evidence, lexical, metrics, sele
 from verisift.operators.filters import Scope
 from verisift.sources import files
 from verisift.streaming import events as Ev
+from verisift.streaming import limiter
 
 REDACTED = [
     ("Patient ID: ABC1234, DOB: 01/02/1970, call +1 555 123 4567 or test@example.com", "[REDACTED_PATIENT_ID], [REDACTED_DOB], call +[REDACTED_PHONE] or [REDACTED_EMAIL]"),
@@ -243,13 +244,15 @@ def test_streams_equal_batches(spark, tmp_path):
 
 
 def test_limiter_state(spark, tmp_path):
-    ev = spark.createDataFrame([(i, "2024-01-01 00:00:00", 1, k) for i, k in enumerate(["error", "error", "click", "error"])], "event_id long, ts string, user_id long, event_type string").withColumn("ts", F.col("ts").cast("timestamp"))
+    kinds = ["error", "error", "click", "error", "click", *["error"] * 9]
+    ev = spark.createDataFrame([(i, "2024-01-01 00:00:00", 1, k) for i, k in enumerate(kinds)], "event_id long, ts string, user_id long, event_type string").withColumn("ts", F.col("ts").cast("timestamp"))
     ev.coalesce(1).write.parquet(f"{tmp_path}/in")
+    limiter.rocksdb_state(spark)
     stream = spark.readStream.schema(ev.schema).parquet(f"{tmp_path}/in")
-    q = Ev.limiter(stream).writeStream.outputMode("update").format("memory").queryName("limits").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/ck").start()
+    q = limiter.limited(stream).writeStream.format("memory").queryName("limits").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/ck").start()
     q.awaitTermination()
-    assert tuple(spark.table("limits").first()) == (1, 1, 2, 1.0)
-    assert [Ev.cooldown(n) for n in (0, 1, 3, 9)] == [0.0, 1.0, 4.0, 60.0]
+    got = [(r.run, r.delay) for r in spark.table("limits").orderBy("event_id").collect()]
+    assert got == [(1, 1.0), (2, 2.0), (0, 0.0), (1, 1.0), (0, 0.0), *[(n, min(60.0, 2.0 ** (n - 1))) for n in range(1, 10)]]
 
 
 def test_settings_are_checked():
