@@ -641,6 +641,9 @@ def test_boilerplate_containers():
         ('<main class="sidebar"><p>kept</p></main>', "kept"),
         ('<aside><article><p>aside</p></article></aside><article><p>x</p></article>', "x"),
         ('<div itemprop="articleBody"><p>body</p></div><p>rest</p>', "body"),
+        ('<article><section title="The hidden cost"><p>a</p></section><figure alt="a hidden door here">b</figure><div data-note="not hidden here">c</div><div style="overflow: hidden ; color: red">d</div></article>', "a\nb\nc\nd"),
+        ('<article><p>a</p><div hidden>x</div><div HIDDEN="">x</div><div aria-hidden="true">x</div><div style="color: red; display : none">x</div><div aria-hidden=false>b</div><div data-style="display:none">c</div></article>', "a\nb\nc"),
+        ('<article><p>for <math><mi>x</mi><mo>=</mo><mn>2</mn></math> it holds</p></article>', "for x=2 it holds"),
     ],
 )
 def test_choice_of_the_article(page, want):
