@@ -669,3 +669,39 @@ def test_copies_and_quotations_stay(spark):
     got = {x.page_id: x.text for x in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     want = dict(enumerate(body)) | {20 + i: body[5] for i in range(4)} | {30 + i: body[3] for i in range(3)}
     assert got == want
+
+
+def test_notices_inside_articles_go_by_the_host(spark):
+    notice = "Write to us at the desk on any day of the week"
+    body = [prose(random.Random(200 + i), 40) for i in range(12)]
+    page = lambda *blocks: "<body><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article></body>"
+    pages = [(i, f"https://h.org/p{i}", page(b, notice) if i < 7 else page(b)) for i, b in enumerate(body)]
+    pages += [(20 + i, f"https://few.org/p{i}", page(b, notice) if i < 5 else page(b)) for i, b in enumerate(body)]  # on fewer than half of the pages
+    pages += [(40 + i, f"https://near.org/p{i}", page(body[0], body[1], f"copy {i}")) for i in range(8)]  # near copies
+    got = {x.page_id: x.text for x in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
+    want = dict(enumerate(body)) | {20 + i: f"{b}\n{notice}" if i < 5 else b for i, b in enumerate(body)} | {40 + i: f"{body[0]}\n{body[1]}\ncopy {i}" for i in range(8)}
+    assert got == want
+
+
+def test_runs_in_suffix_order_equal_brute_force(spark):
+    rng = random.Random(7)
+    pages = [(i, i % 2 == 0, [" ".join(rng.choice("ab") for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(1, 7))]) for i in range(60)]
+    found = {(r.page_id, r.text) for r in html.unique_runs(spark.createDataFrame([(i, "//h/", own, b) for i, own, b in pages], "page_id long, url string, own boolean, blocks array<string>"), 4).collect()}
+    streams = {i: html.stream_of(own, b) for i, own, b in pages}
+    distinct = {(own, tuple(b)): i for i, own, b in pages}
+
+    def run(i, at):
+        symbols, sizes = streams[i]
+        for end in range(at + 1, len(symbols) + 1):
+            if sum(sizes[at:end]) >= 4:
+                return tuple(symbols[at:end])
+        return None
+
+    want = set()
+    for i, own, b in pages:
+        peers = [j for (kind, _), j in distinct.items() if kind == own]
+        least = max(html.OWN_PAGES, html.OWN_SHARE * len(peers)) if own else max(html.MIN_PAGES, html.MIN_SHARE * len(peers))
+        have = {j: {run(j, at) for at in range(len(streams[j][0]))} for j in peers}
+        starts = [at for at in range(len(streams[i][0])) if (r := run(i, at)) and sum(r in x for x in have.values()) >= least]
+        want.add((i, html.without_runs(own, b, starts, 4)))
+    assert found == want

@@ -10,16 +10,20 @@ one with most text is the page's article, classed as boilerplate only if no
 other is there. So teasers and reader comments that are articles of their own
 stay out, wherever they stand.
 
-Blocks of pages without an article or main element are open: they form the
-page's token stream. The streams of a host's pages are concatenated and their
-suffixes ordered; a run of ``min_tokens`` tokens is boilerplate if it stands on
-``MIN_SHARE`` of the host's distinct pages and on ``MIN_PAGES`` at least, and
-only what no such run covers is kept. Pages with an article keep that alone.
+Every page then passes the host suffix array. Blocks of pages without an
+article or main element are open, and their stream is that of their tokens;
+the stream of a page with an article is that of the article's blocks, since a
+template puts whole blocks into an article. The suffixes of a host's streams
+are ordered, and neighbours that share ``min_tokens`` tokens or more form a
+run. In open streams a run is boilerplate if it stands on ``MIN_SHARE`` of the
+host's distinct pages and on ``MIN_PAGES`` at least. Inside articles it must
+stand on ``OWN_SHARE`` and on ``OWN_PAGES``, and a page of which it would take
+more than half is a near copy of others and keeps all. What no such run covers
+is kept.
 
-The suffix order is needed to the depth of ``min_tokens`` only: suffixes equal
-to that depth are one LCP interval, found by grouping on the next
-``min_tokens`` tokens. That needs no task to hold a host, so a host may have a
-third of all pages.
+The suffix order is needed to the depth of ``min_tokens`` tokens only. Suffixes
+are range-partitioned in their order, so no task need hold a host, and those
+equal to that depth lie side by side in one partition.
 
 Null or empty pages, and pages without text, give an empty text; pages of any
 length are read whole. Pages of equal streams count as one, whatever their ids
@@ -36,10 +40,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_or_empty
+from .common import partitions, stage, text_or_empty
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -64,9 +69,14 @@ BESIDE = frozenset(
     "site page global main top bottom left right primary secondary header sticky fixed area section container wrapper wrap box bar block list links link form "
     "buttons button icons group inner outer panel slot unit item items posts articles stories thread author body text reader user leave reply div row col".split()
 )
-#: Distinct pages of a host, at least and as a share, that a run of boilerplate stands on.
+#: Distinct pages of a host, at least and as a share, that a run of boilerplate stands on; the same inside articles.
 MIN_PAGES = 3
 MIN_SHARE = 0.2
+OWN_PAGES = 5
+OWN_SHARE = 0.5
+#: Pages with runs of boilerplate up to which their places are broadcast, and streams whose suffixes a task knows it has given.
+SMALL = 50_000
+KNOWN = 200_000
 _ENDS_P = BLOCKS - {"body", "html", "head"}
 _WORDS = re.compile(r"[a-z]+")
 
@@ -179,71 +189,152 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
     return out
 
 
-def split_page(page: str | None) -> tuple[str, list[str]]:
-    """The text of the article or main element that holds most; without either, the open blocks, which make the token stream."""
+def main_blocks(page: str | None) -> tuple[bool, list[str]]:
+    """Whether there is an article or main element, with the blocks of the one that holds most; without either, the open blocks."""
     zones: dict[str, list[str]] = {}
     for zone, text in blocks_of(page):
         zones.setdefault(zone, []).append(text)
     own = [z for z in zones if z not in ("open", "boilerplate")]
     if own:
-        best = max(own, key=lambda z: (not z.startswith("marked"), sum(map(len, zones[z]))))
-        return "\n".join(zones[best]), []
-    return "", zones.get("open", [])
+        return True, zones[max(own, key=lambda z: (not z.startswith("marked"), sum(map(len, zones[z]))))]
+    return False, zones.get("open", [])
+
+
+def split_page(page: str | None) -> tuple[str, list[str]]:
+    """The text of the article or main element before the host is asked; without either, the open blocks."""
+    own, blocks = main_blocks(page)
+    return ("\n".join(blocks), []) if own else ("", blocks)
 
 
 def _parsed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         for at in range(0, b.num_rows, 256):
             part = b.slice(at, 256)
-            found = [split_page(p) for p in part.column(3).to_pylist()]
+            found = [main_blocks(p) for p in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), part.column(2), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.list_(pa.string()))],
-                names=["page_id", "url", "th", "main", "open"],
+                [part.column(0), part.column(1), pa.array([f[0] for f in found], pa.bool_()), pa.array([f[1] for f in found], pa.list_(pa.string()))],
+                names=["page_id", "url", "own", "blocks"],
             )
 
 
 def extract(pages: DataFrame, min_tokens: int = 8) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
-    rows = pages.select("page_id", "url", F.xxhash64(text_or_empty("html")).alias("th"), text_or_empty("html").alias("html"))
+    rows = pages.select("page_id", "url", text_or_empty("html").alias("html"))
     kind = dict(pages.dtypes)["page_id"]
-    parsed = stage(rows.mapInArrow(_parsed, f"page_id {kind}, url string, th long, main string, open array<string>"), "html-parsed")
-    whole = parsed.where(F.size("open") == 0).select("page_id", "url", F.col("main").alias("text"))
-    some = parsed.where(F.size("open") > 0)
-    text = unique_runs(some, min_tokens)
-    return whole.unionByName(text).withColumn("n_chars", F.length("text").cast("long"))
+    parsed = stage(rows.mapInArrow(_parsed, f"page_id {kind}, url string, own boolean, blocks array<string>"), "html-parsed")
+    return unique_runs(parsed, min_tokens).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def stream_of(own: bool, blocks: list[str]) -> tuple[list[str], list[int]]:
+    """The symbols of a page's stream and the tokens each counts for: blocks of an article, or tokens with a mark after each block."""
+    if own:
+        return blocks, [t.count(" ") + 1 for t in blocks]
+    symbols = [t for b in blocks for t in (*b.split(" "), "\n")]
+    return symbols, [1] * len(symbols)
+
+
+def reach(sizes: list[int], min_tokens: int) -> list[int]:
+    """For each place the end of the shortest run from it of ``min_tokens`` tokens; places without one have no entry."""
+    out, end, total = [], 0, 0
+    for size in sizes:
+        while total < min_tokens and end < len(sizes):
+            total += sizes[end]
+            end += 1
+        if total < min_tokens:
+            break
+        out.append(end)
+        total -= size
+    return out
+
+
+def _suffixes(min_tokens: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[tuple[str, bool, int]] = set()  # copies of a stream add nothing
+        for b in it:
+            for at in range(0, b.num_rows, 256):
+                rows: list[tuple] = []
+                for host, own, sh, blocks in zip(*[c.to_pylist() for c in b.slice(at, 256).columns], strict=True):
+                    if (host, own, sh) in given:
+                        continue
+                    if len(given) < KNOWN:
+                        given.add((host, own, sh))
+                    symbols, sizes = stream_of(own, blocks)
+                    ids = b"".join([xxhash.xxh64_digest(t) for t in symbols])
+                    rows += [(host, own, sh, pos, ids[8 * pos : 8 * end]) for pos, end in enumerate(reach(sizes, min_tokens))]
+                cols = list(zip(*rows, strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["host", "own", "sh", "pos", "ids"])
+
+    return run
+
+
+def _runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suffixes in their order: neighbours with the same first ``min_tokens`` tokens are a run; it is given if enough distinct pages have it."""
+    key, pages, last, held, out = None, 0, None, [], []
+
+    def settle() -> None:
+        if key is not None and pages >= (OWN_PAGES if key[1] else MIN_PAGES):
+            out.extend((*key[:2], sh, pos, pages) for sh, pos in held)
+
+    def batch() -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) or [[]] * 5
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.bool_(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["host", "own", "sh", "pos", "n"])
+
+    for b in it:
+        for host, own, sh, pos, ids in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            if (host, own, ids) != key:
+                settle()
+                key, pages, last, held = (host, own, ids), 0, None, []
+            if sh != last:
+                pages, last = pages + 1, sh
+            elif held[-1] == (sh, pos):  # the same stream from another task
+                continue
+            held.append((sh, pos))
+        if len(out) >= 4096:
+            yield batch()
+    settle()
+    yield batch()
 
 
 def unique_runs(pages: DataFrame, min_tokens: int) -> DataFrame:
-    """``page_id, url, text``: the blocks in ``open`` without the runs that many of the host's distinct pages share."""
+    """``page_id, url, text`` of ``pages`` (``page_id, url, own, blocks``): the blocks without the runs that many of the host's distinct pages share."""
+    spark = pages.sparkSession
     host = F.lower(F.coalesce(F.regexp_extract(F.col("url"), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@]*@)?([^/:?#]*)", 1), F.lit("")))
-    # Each block ends with a mark of its own in the stream, so that runs can be put back into blocks.
-    tokens = F.flatten(F.transform("open", lambda t: F.concat(F.split(t, " "), F.array(F.lit("\n")))))
-    streams = pages.select("page_id", "url", host.alias("host"), F.xxhash64(tokens).alias("sh"), tokens.alias("tokens"))
-    distinct = streams.groupBy("host", "sh").agg(F.first("tokens").alias("tokens"))
-    n = F.size("tokens")
-    depth = F.lit(min_tokens)
-    suffixes = F.transform(F.sequence(F.lit(1), n - depth + 1), lambda i: F.xxhash64(F.slice("tokens", i, depth)))
-    suffixes = F.when(n >= depth, suffixes).otherwise(F.expr("cast(array() as array<bigint>)"))
-    at = distinct.select("host", "sh", F.posexplode(suffixes).alias("pos", "prefix"))
-    # Each distinct page counts once for a prefix, and only prefixes of several pages meet the totals of hosts.
-    once = distinct.select("host", F.explode(F.array_distinct(suffixes)).alias("prefix"))
-    often = stage(once.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_PAGES), "html-often")
-    hosts = stage(distinct.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages")), "html-hosts")
-    shared = often.join(hosts, "host").where(F.col("n") >= MIN_SHARE * F.col("n_pages")).select("host", "prefix")
-    starts = at.join(shared, ["host", "prefix"]).groupBy("host", "sh").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
+    streams = pages.select("page_id", "url", host.alias("host"), "own", F.xxhash64("blocks").alias("sh"), "blocks")
+    suffixes = streams.where(F.size("blocks") > 0).select("host", "own", "sh", "blocks").mapInArrow(_suffixes(min_tokens), "host string, own boolean, sh long, pos int, ids binary")
+    ordered = suffixes.repartitionByRange(partitions(spark), "host", "own", "ids").sortWithinPartitions("host", "own", "ids", "sh", "pos")
+    runs = ordered.mapInArrow(_runs, "host string, own boolean, sh long, pos int, n long")
+    hosts = streams.where(F.size("blocks") > 0).select("host", "own", "sh").distinct().groupBy("host", "own").agg(F.count(F.lit(1)).alias("n_pages"))
+    enough = F.col("n") >= F.when(F.col("own"), OWN_SHARE).otherwise(MIN_SHARE) * F.col("n_pages")
+    starts = runs.join(hosts, ["host", "own"]).where(enough).groupBy("host", "own", "sh").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
+    starts = stage(starts, "html-starts")
+    if starts.count() <= SMALL:  # beyond it the join shuffles
+        starts = F.broadcast(starts)
     none = F.expr("cast(array() as array<int>)")
-    joined = streams.join(starts, ["host", "sh"], "left").select("page_id", "url", "tokens", F.coalesce("starts", none).alias("starts"))
+    joined = streams.join(starts, ["host", "own", "sh"], "left").select("page_id", "url", "own", "blocks", F.coalesce("starts", none).alias("starts"))
     kind = dict(pages.dtypes)["page_id"]
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            texts = []
-            for tokens, starts in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                covered = bytearray(len(tokens))
-                for i in starts:
-                    covered[i : i + min_tokens] = b"\x01" * min_tokens
-                kept = " ".join("\n" if t == "\n" else t for t, c in zip(tokens, covered, strict=True) if t == "\n" or not c)
-                texts.append("\n".join(x for x in (y.strip() for y in kept.split("\n")) if x))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                texts = [without_runs(*row, min_tokens) for row in zip(*[part.column(i).to_pylist() for i in (2, 3, 4)], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return joined.mapInArrow(cut, f"page_id {kind}, url string, text string")
+
+
+def without_runs(own: bool, blocks: list[str], starts: list[int], min_tokens: int) -> str:
+    """The text of a page without the runs that begin at ``starts`` of its stream."""
+    if not starts:
+        return "\n".join(blocks)
+    symbols, sizes = stream_of(own, blocks)
+    ends = reach(sizes, min_tokens)
+    covered = bytearray(len(symbols))
+    for i in starts:
+        covered[i : ends[i]] = b"\x01" * (ends[i] - i)
+    if own:
+        gone = sum(n for n, c in zip(sizes, covered, strict=True) if c)
+        return "\n".join(blocks if 2 * gone > sum(sizes) else [t for t, c in zip(symbols, covered, strict=True) if not c])
+    kept = " ".join(t for t, c in zip(symbols, covered, strict=True) if t == "\n" or not c)
+    return "\n".join(x for x in (y.strip() for y in kept.split("\n")) if x)
