@@ -705,3 +705,16 @@ def test_runs_in_suffix_order_equal_brute_force(spark):
         starts = [at for at in range(len(streams[i][0])) if (r := run(i, at)) and sum(r in x for x in have.values()) >= least]
         want.add((i, html.without_runs(own, b, starts, 4)))
     assert found == want
+
+
+def test_whole_rows_stay_out_of_python(spark):
+    rng = random.Random(5)
+    docs = [(i, None if i == 3 else prose(rng, rng.choice((20, 80))), {"a": "x" * i}) for i in range(40)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, n_words map<string, string>")
+    kept = rules.kept_documents(table, rules.DecisionList([(rules.Condition("mean_word_len", ">=", 6.0),)], []))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "MapInArrow" not in plan
+    assert not re.search(r"ArrowEvalPython \[[^]]*_row", plan)
+    judged = rules.judge(table, rules.DecisionList([(rules.Condition("mean_word_len", ">=", 6.0),)], []))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in judged.where("kept").select("doc_id").collect())
+    assert kept.columns == table.columns

@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
@@ -97,6 +98,23 @@ def with_stats(rows: DataFrame, lexicon: Iterable[str] = ()) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def stats_of(text: Column, lexicon: Iterable[str] = ()) -> Column:
+    """All statistics of a text as a struct. Only the texts go to Python, so rows of any width stay where they are."""
+    words = frozenset(lexicon)
+    kinds = [*[(c, pa.int64()) for c in RAW], *[(c, pa.float64()) for c in RATIOS]]
+
+    @F.arrow_udf(StructType([*[StructField(c, LongType()) for c in RAW], *[StructField(c, DoubleType()) for c in RATIOS]]))
+    def run(texts: pa.Array) -> pa.Array:
+        columns: list[list] = [[] for _ in kinds]
+        for at in range(0, len(texts), 512):
+            for t in texts.slice(at, 512).to_pylist():
+                for column, value in zip(columns, chain(*measure(t or "", words)), strict=True):
+                    column.append(value)
+        return pa.StructArray.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, kinds, strict=True)], names=[c for c, _ in kinds])
+
+    return run(text)
+
+
 def one_text_each(rows: DataFrame) -> DataFrame:
     """``doc_id, text`` of ``rows``, one text (of least hash) an id, so that a bound on ids bounds the rows."""
     return rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("th"), "text")).alias("x")).select("doc_id", "x.text")
