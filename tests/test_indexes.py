@@ -161,6 +161,27 @@ def test_posting_blocks_give_what_a_scan_gives(spark, tmp_path):
     assert [(q, d, x) for q, _, d, x in show(postings.search(index, queries, 7, only=only))] == [(q, d, x) for q in sorted(limited) for d, x in limited[q][:7]]
 
 
+def test_blocks_are_made_range_by_range(spark, tmp_path):
+    r = random.Random(4)
+    rows = [(i // 2 if i < 20 else i, f"{t or ''} runs running ran".strip()) for i, t in enumerate(corpus(r, 120))] + [(500, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    terms = F.split("text", " ")
+    postings.fill(docs, terms, f"{tmp_path}/a", shards=3, stem=porter.stem, range_terms=300)
+    blocks = spark.read.parquet(f"{tmp_path}/a/blocks").collect()
+    have = {}
+    for x in blocks:
+        assert x.n == len(x.docs) == len(set(x.docs)) and list(x.docs) == sorted(x.docs)
+        for doc, tf in zip(x.docs, x.tf, strict=True):
+            have[x.term, doc] = have.get((x.term, doc), 0) + tf
+    want = {}
+    for doc, text in rows:
+        for w in (text or "").split():
+            key = (porter.stem(w), doc)
+            want[key] = want.get(key, 0) + 1
+    assert have == want and have["run", rows[0][0]] > 1
+    assert len({x.range for x in blocks}) > 5  # long texts are split over ranges by their terms
+
+
 def test_bounds_spare_blocks(spark, tmp_path):
     # short texts first in score: their range decides, the long ones' bounds stay below
     texts = [f"rare a{i}" for i in range(40)] + ["rare " + " ".join(f"x{i} y{j}" for j in range(200)) for i in range(40)]

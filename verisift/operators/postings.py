@@ -11,12 +11,16 @@ the score of its k-th document. The result is that of scoring everything.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from . import generations as G
 from .lexical import top_k
@@ -32,34 +36,40 @@ def _blocks(kind: str) -> str:
     return f"term string, range int, n long, most double, docs array<{kind}>, tf array<int>, dl array<int>, shard int"
 
 
-def fill(docs: DataFrame, terms: Column, folder: str, k1: float = 1.2, b: float = 0.75, range_docs: int = 2048, shards: int | None = None) -> dict[str, object]:
+def fill(docs: DataFrame, terms: Column, folder: str, k1: float = 1.2, b: float = 0.75, range_docs: int = 2048, shards: int | None = None, stem: Callable[[str], str] | None = None, range_terms: int = 2_000_000) -> dict[str, object]:
     """Writes posting blocks of ``docs`` (``doc_id, text``) for the array of ``terms`` of a text (null: none).
 
-    A block has about ``range_docs`` postings at most, so no term, however common, is gathered in one row or task.
+    A block has about ``range_docs`` postings at most, so no term, however common, is gathered in one row or task. The texts of a
+    range meet in one task, which makes all its blocks; so a range is bounded by ``range_terms`` as well, and what is shuffled is
+    the texts once and the finished blocks once, never a row a posting. ``stem`` maps a term to the one it is indexed by; it is
+    asked once for each distinct term of a range.
     """
     spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
-    listed = docs.select("doc_id", F.coalesce(terms, F.array().cast("array<string>")).alias("terms")).withColumn("dl", F.size("terms"))
+    own = docs.select("doc_id", "text")
+    listed = F.coalesce(terms, F.array().cast("array<string>"))
+    dl = F.size(listed)
     band = F.floor(8 * F.log2(F.col("dl") + 1)).cast("int")
-    sizes = listed.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total"))  # some 250 bands at most
+    sizes = own.select(dl.alias("dl")).groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total"))  # some 250 bands at most
     seen = sizes.collect()
     n_docs, total = sum(r["n"] for r in seen), sum(r["total"] for r in seen)
     avgdl = total / n_docs if total else 1.0
-    # neighbouring bands share ranges up to range_docs; fuller ones are split by hash
-    split, begin, n = [], 0, 0
+    # neighbouring bands share ranges up to the bounds; fuller ones are split by hash
+    parts = lambda n, size: max(1, math.ceil(n / range_docs), math.ceil(size / range_terms))
+    split, begin, n, size = [], 0, 0, 0
     for r in sorted(seen, key=lambda r: r["band"]):
-        if n and n + r["n"] > range_docs:
-            begin, n = begin + max(1, math.ceil(n / range_docs)), 0
-        n += r["n"]
-        split.append((r["band"], begin, max(1, math.ceil(n / range_docs))))
-    dealt = listed.withColumn("band", band).join(F.broadcast(spark.createDataFrame(split, "band int, begin int, parts int")), "band")
-    dealt = dealt.withColumn("range", F.col("begin") + F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    tf = dealt.select("doc_id", "dl", "range", F.explode("terms").alias("term")).groupBy("term", "range", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("dl").alias("dl"))
-    impact = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    block = F.sort_array(F.collect_list(F.struct("doc_id", "tf", "dl")))
-    blocks = tf.groupBy("term", "range").agg(F.count(F.lit(1)).alias("n"), F.max(impact).alias("most"), block.alias("p"))
+        if n and parts(n + r["n"], size + r["total"]) > 1:
+            begin, n, size = begin + parts(n, size), 0, 0
+        n, size = n + r["n"], size + r["total"]
+        split.append((r["band"], begin, parts(n, size)))
+    ranges = begin + parts(n, size)
+    dealt = own.withColumn("dl", dl).withColumn("band", band).join(F.broadcast(spark.createDataFrame(split, "band int, begin int, parts int")), "band")
+    dealt = dealt.withColumn("range", F.col("begin") + F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).select("range", "doc_id", "text")
+    tasks = max(G.parallel(spark), min(ranges, total // 20_000_000))
+    together = dealt.repartition(tasks, "range").sortWithinPartitions("range", "doc_id").select("range", "doc_id", listed.alias("terms"))
+    made = together.mapInArrow(_block_maker(kind, k1, b, avgdl, stem), f"range int, term string, n long, most double, docs array<{kind}>, tf array<int>, dl array<int>")
     many = shards or min(4096, max(G.parallel(spark), total // 5_000_000))
     shard = F.pmod(F.xxhash64("term"), F.lit(many)).cast("int")
-    rows = blocks.select("term", "range", "n", "most", F.col("p.doc_id").alias("docs"), F.col("p.tf").alias("tf"), F.col("p.dl").alias("dl"), shard.alias("shard"))
+    rows = made.select("term", "range", "n", "most", "docs", "tf", "dl", shard.alias("shard"))
     # by term within a file: its terms' blocks are what a search reads of it
     rows.repartition(many, "shard").sortWithinPartitions("shard", "term", "range").write.partitionBy("shard").parquet(f"{folder}/blocks")
     heads = spark.read.schema(_blocks(kind)).parquet(f"{folder}/blocks")
@@ -68,6 +78,66 @@ def fill(docs: DataFrame, terms: Column, folder: str, k1: float = 1.2, b: float
     return {"n_docs": n_docs, "avgdl": avgdl, "shards": many, "k1": k1, "b": b, "doc_type": kind}
 
 
+def _block_maker(kind: str, k1: float, b: float, avgdl: float, stem: Callable[[str], str] | None):
+    """Documents in order of their ranges to blocks: a task holds the terms of one range, as numbers."""
+    names = ["range", "term", "n", "most", "docs", "tf", "dl"]
+
+    def blocks(at: int, docs: list, sizes: list[int], words: list[str], number: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not words:
+            return
+        if stem is not None:
+            stems: dict[str, int] = {}
+            number = np.array([stems.setdefault(stem(w), len(stems)) for w in words], np.int64)[number]
+            words = list(stems)
+        # one entry a term and document, in order of terms, then documents
+        pair, tf = np.unique(number * len(docs) + doc, return_counts=True)
+        term, doc = np.divmod(pair, len(docs))
+        dl = np.array(sizes, np.int64)[doc]
+        impact = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+        begin = np.searchsorted(term, np.arange(len(words) + 1))
+        most, ids = np.maximum.reduceat(impact, begin[:-1]), pa.array(docs, doc_type)
+        for i in range(0, len(words), 4096):
+            cut = begin[i : i + 4097]
+            n, inside, offsets = len(cut) - 1, slice(cut[0], cut[-1]), pa.array(cut - cut[0], pa.int32())
+            lists = [ids.take(pa.array(doc[inside])), pa.array(tf[inside], pa.int32()), pa.array(dl[inside], pa.int32())]
+            columns = [pa.array(np.full(n, at), pa.int32()), pa.array(words[i : i + n], pa.string()), pa.array(np.diff(cut), pa.int64()), pa.array(most[i : i + n], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.ListArray.from_arrays(offsets, x) for x in lists], names=names)
+
+    doc_type = to_arrow_type(_parse_datatype_string(kind))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, docs, sizes, vocabulary, numbers, owners = None, [], [], {}, [], []
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            if docs:
+                yield from blocks(now, docs, sizes, list(vocabulary), np.concatenate(numbers), np.concatenate(owners))
+
+        for batch in it:
+            ranges = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(ranges)) + 1), len(ranges)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                if ranges[lo] != now:
+                    yield from settle()
+                    now, docs, sizes, vocabulary, numbers, owners = int(ranges[lo]), [], [], {}, [], []
+                part = batch.slice(lo, hi - lo)
+                lists = part.column(2)
+                coded = lists.flatten().dictionary_encode()
+                number = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in coded.dictionary.to_pylist()], np.int64)
+                lengths, place = lists.value_lengths().to_pylist(), []
+                for doc, n in zip(part.column(1).to_pylist(), lengths, strict=True):
+                    if not docs or docs[-1] != doc:  # rows that repeat an id are one document
+                        docs.append(doc)
+                        sizes.append(n)
+                    place.append(len(docs) - 1)
+                numbers.append(number[coded.indices.to_numpy()] if len(coded) else number[:0])
+                owners.append(np.repeat(np.array(place, np.int64), lengths))
+        yield from settle()
+
+    return run
+
+
 @dataclass
 class Index:
     generation: G.Generation
