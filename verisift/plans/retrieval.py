@@ -42,11 +42,11 @@ def _fts_terms(text):
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9][a-z0-9_.+/-]*"), F.lit(0))
 
 
-def _postings(s, d, kind, terms, k1):
+def _postings(s, d, kind, terms, k1, stem=None):
     """The index at rest over ``documents``, built where there is none for these files."""
     docs = T.table(s, d, "documents")
     contract = G.files_contract(docs, "postings", kind, k1)
-    return P.open_index(s, G.built(s, G.index_root(s), f"postings-{kind}", contract, lambda folder: P.fill(docs, terms, folder, k1=k1)))
+    return P.open_index(s, G.built(s, G.index_root(s), f"postings-{kind}", contract, lambda folder: P.fill(docs, terms, folder, k1=k1, stem=stem)))
 
 
 def _queries(s, d, terms):
@@ -72,7 +72,7 @@ def bm25_stemmed(s, d):
     """The full-text index as the sources build it: Porter stems on both sides."""
     stems = lambda t: F.array_distinct(porter.stems(t))
     q = _queries(s, d, stems(X.fts_terms(c("text")))).withColumn("weight", F.lit(1))
-    return L.rounded(P.search(_postings(s, d, "stems", porter.stems(_fts_terms(c("text"))), 1.2), q, 10))
+    return L.rounded(P.search(_postings(s, d, "stems", _fts_terms(c("text")), 1.2, porter.stem), q, 10))
 
 
 @query(f"SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({_WS}) AS term FROM documents) GROUP BY ALL")
