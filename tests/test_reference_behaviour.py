@@ -302,3 +302,29 @@ def test_hints_change_the_next_round(spark):
     assert h("web", True, False, True, True, False, 30, "LIT_ONLY") == {"k": 120, "source": None, "policy": "LIT_ONLY", "preferred": None, "safety_search": False, "min_grade": None, "relaxed": True, "review": True}
     got = h("cpg", False, True, False, False, True, 30)
     assert (got["k"], got["preferred"], got["policy"]) == (120, "CPG", "ANY")
+
+
+def test_large_files_are_hashed_by_splits(spark, tmp_path):
+    import hashlib
+    import random
+
+    rng = random.Random(3)
+    data = rng.randbytes(20_000)
+    others = {"same": data, "byte": data[:9000] + bytes([data[9000] ^ 1]) + data[9001:], "end": data + b"\n", "swap": b"\n".join(reversed(data.split(b"\n"))), "s mall+%41": data[:900]}
+    (tmp_path / "x").mkdir()
+    for name, content in others.items():
+        (tmp_path / "x" / f"{name}.csv").write_bytes(content)
+    seen = []
+    for size in ("700b", "128m"):
+        before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = files.file_state(spark, str(tmp_path / "x"), whole=1000).collect()
+            plain = files.file_state(spark, str(tmp_path / "x")).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert sorted((r.path, r.mtime) for r in rows) == sorted((r.path, r.mtime) for r in plain)
+        seen.append({r.path.rsplit("/", 1)[1]: r.hash for r in rows})
+    assert seen[0] == seen[1] and len(seen[0]) == len(set(seen[0].values())) == 5
+    assert seen[0]["s mall+%41.csv"] == hashlib.md5(others["s mall+%41"]).hexdigest()
+    assert {r.path.rsplit("/", 1)[1][:-4]: r.hash for r in plain} == {n: hashlib.md5(x).hexdigest() for n, x in others.items()}
