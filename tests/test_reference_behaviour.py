@@ -328,3 +328,18 @@ def test_large_files_are_hashed_by_splits(spark, tmp_path):
     assert seen[0] == seen[1] and len(seen[0]) == len(set(seen[0].values())) == 5
     assert seen[0]["s mall+%41.csv"] == hashlib.md5(others["s mall+%41"]).hexdigest()
     assert {r.path.rsplit("/", 1)[1][:-4]: r.hash for r in plain} == {n: hashlib.md5(x).hexdigest() for n, x in others.items()}
+
+
+def test_the_loop_aligns_each_passage_once(spark, monkeypatch):
+    from verisift.config import Settings
+    from verisift.operators import pipeline
+    from verisift.plans import evidence
+    from verisift.sources import tables
+
+    asked, tabled = [], []
+    align, written = pipeline.E.align, pipeline.written
+    monkeypatch.setattr(pipeline.E, "align", lambda *a: asked.append(1) or align(*a))
+    monkeypatch.setattr(pipeline, "written", lambda df, name, *by: tabled.append(df.columns) or written(df, name, *by))
+    got = pipeline.sufficiency(evidence.passages(spark, "/root/testdata/sf0.001"), tables.facets(spark), Settings())
+    assert got.select("query_id").distinct().count() == got.count() > 0
+    assert len(asked) == 1 and len(tabled) > 3 and not any("text" in c for c in tabled)
